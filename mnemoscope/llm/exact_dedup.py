@@ -67,8 +67,8 @@ class DigestIndex:
             .agg(pick(F.struct("id", row.alias("row"))).alias("top"), F.sum("n").alias("n"))
             .select("digest", F.abs("top.row").alias("row"), "top.id", "n")
         )
-        self.runs, merged = [[], []], self._flush(merged, 1)
-        return merged
+        self.runs = [[], []]
+        return self._flush(merged, 1)
 
     def entries(self) -> DataFrame:
         """One entry a digest."""

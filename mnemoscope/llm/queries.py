@@ -2,19 +2,62 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat import formatted, read_back, turns_of
 from .exact_dedup import exact_duplicates
 from .line_dedup import drop_common_lines
+from .pii import KINDS, find_personal_data
+from .sharding import shard_rows
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_rows(table(spark, sf_dir, "documents"), 16)
+
+
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each row of conversations is a record of one turn; conversation -7 is one record of messages."""
+    rows = table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").alias("record_id"),
+        F.to_json(F.struct("turn", "role", "text"), {"ignoreNullFields": "false"}).alias("payload"),
+    )
+    said = "\\### Assistant: </turn> ok"
+    messages = {"messages": [{"role": r, "content": said} for r in ("user", "assistant")]}
+    extra = spark.range(1).select(F.lit(-7).cast("long").alias("record_id"), F.lit(json.dumps(messages)).alias("payload"))
+    out = read_back(formatted(turns_of(rows.unionByName(extra))))
+    return out.select(F.col("record_id").alias("conv_id"), "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+
+
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_personal_data(table(spark, sf_dir, "documents"))
+    names = F.array(*(F.lit(k.name) for k in KINDS))
+    base = [i for i, k in enumerate(KINDS) if k.base]
+
+    def listed(spans: Column) -> Column:
+        return F.array_join(
+            F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ","
+        )
+
+    def count(kind: int) -> Column:
+        return F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long")
+
+    counts = {f"n_{KINDS[i].name}": count(i) for i in base}
+    return found.select(
+        "doc_id",
+        *(c.alias(n) for n, c in counts.items()),
+        F.sha2(listed(F.filter("found", lambda s: s["kind"].isin(base))), 256).alias("base_sha256"),
+        listed(F.col("found")).alias("spans"),
+    )
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = drop_common_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select(
@@ -30,4 +73,4 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_line_dedup, op10_exact_dedup)}
+    return {f.__name__: f for f in (op3_hash_tree_shards, op4_chat_format, op6_personal_data, op7_line_dedup, op10_exact_dedup)}
