@@ -13,6 +13,7 @@ from .exact_dedup import exact_duplicates
 from .line_dedup import drop_common_lines
 from .pii import KINDS, find_personal_data
 from .sharding import shard_rows
+from .token_store import tokens_stored
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,9 +69,15 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokens_stored(table(spark, sf_dir, "documents"), str(public_tokenizers.path("byte_bpe_50k.json")))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"), keep="max")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_hash_tree_shards, op4_chat_format, op6_personal_data, op7_line_dedup, op10_exact_dedup)}
+    return {f.__name__: f for f in (op3_hash_tree_shards, op4_chat_format, op6_personal_data, op7_line_dedup, op9_token_store, op10_exact_dedup)}
