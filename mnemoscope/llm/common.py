@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 ROWS_A_CHUNK = 100_000
 LEAST_CHUNKS = 64
+#: What stands for a null identifier.
+NO_ID = -(2**63)
 
 
 def shared_dir(spark: SparkSession) -> str:
