@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat import formatted, read_back, turns_of
+from .decontaminate import contaminated
 from .exact_dedup import exact_duplicates
 from .line_dedup import drop_common_lines
 from .near_dedup import near_duplicates
@@ -74,6 +75,10 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -85,4 +90,4 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_dart_minhash, op3_hash_tree_shards, op4_chat_format, op6_personal_data, op7_line_dedup, op9_token_store, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_dart_minhash, op3_hash_tree_shards, op4_chat_format, op6_personal_data, op7_line_dedup, op8_string_tiling, op9_token_store, op10_exact_dedup)}
