@@ -13,6 +13,7 @@ from .decontaminate import contaminated
 from .exact_dedup import exact_duplicates
 from .line_dedup import drop_common_lines
 from .near_dedup import near_duplicates
+from .packing import packed
 from .pii import KINDS, find_personal_data
 from .sharding import shard_rows
 from .token_store import tokens_stored
@@ -26,6 +27,10 @@ def op1_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(table(spark, sf_dir, "documents"))
+
+
 def op3_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_rows(table(spark, sf_dir, "documents"), 16)
 
@@ -90,4 +95,4 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_dart_minhash, op3_hash_tree_shards, op4_chat_format, op6_personal_data, op7_line_dedup, op8_string_tiling, op9_token_store, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_dart_minhash, op2_length_buckets, op3_hash_tree_shards, op4_chat_format, op6_personal_data, op7_line_dedup, op8_string_tiling, op9_token_store, op10_exact_dedup)}
