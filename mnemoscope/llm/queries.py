@@ -17,6 +17,7 @@ from .packing import packed
 from .pii import KINDS, find_personal_data
 from .sharding import shard_rows
 from .token_store import tokens_stored
+from .toxicity import toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +49,10 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("record_id").alias("conv_id"), "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_personal_data(table(spark, sf_dir, "documents"))
     names = F.array(*(F.lit(k.name) for k in KINDS))
@@ -95,4 +100,4 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_dart_minhash, op2_length_buckets, op3_hash_tree_shards, op4_chat_format, op6_personal_data, op7_line_dedup, op8_string_tiling, op9_token_store, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_dart_minhash, op2_length_buckets, op3_hash_tree_shards, op4_chat_format, op5_toxicity, op6_personal_data, op7_line_dedup, op8_string_tiling, op9_token_store, op10_exact_dedup)}
