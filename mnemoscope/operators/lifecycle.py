@@ -81,7 +81,7 @@ def confidence(scores: DataFrame, weights: DataFrame, by: str = "target_id") ->
     joined = scores.join(weights.where("enabled"), "category").withColumns(exact)
     total = F.sum("weight")
     value = F.round(F.sum(F.col("subscore") * F.col("weight")) / F.when(total != 0, total), 4)
-    return joined.groupBy(by).agg(F.least(F.lit(1.0), value.cast("double")).alias("confidence"))
+    return joined.groupBy(by).agg(F.when(value > 1, 1.0).otherwise(value.cast("double")).alias("confidence"))
 
 
 def confidence_summary(scores: DataFrame, by: str = "target_id") -> DataFrame:

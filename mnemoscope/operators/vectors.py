@@ -130,6 +130,6 @@ class CellIndex:
 
         return nearest(vector)
 
-    def search(self, query: Sequence[float], k: int, probes: int = 8) -> DataFrame:
+    def search(self, query: Sequence[float], k: int, probes: int = 12) -> DataFrame:
         order = np.argsort(-(self.centroids @ np.asarray(query, np.float64)), kind="stable")[:probes]
         return exact_topk(self.rows.where(F.col("cell").isin([int(c) for c in order])), query_vector(query), k)
