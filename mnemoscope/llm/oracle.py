@@ -2,6 +2,24 @@
 
 from __future__ import annotations
 
+OP4 = r"""
+WITH said AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), made AS (
+  SELECT *, replace(replace(replace(text, '\', '\\'), '</turn>', '\e'), '###', '\h') AS body,
+         replace(replace(replace(replace(role, '\', '\\'), '</turn>', '\e'), '###', '\h'), ':', '\c') AS head
+  FROM said
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       sum(length('### ' || head || ': ' || body || '</turn>' || chr(10)))::BIGINT AS formatted_chars
+FROM made GROUP BY conv_id
+"""
+
 OP7 = r"""
 WITH lines AS (
   SELECT doc_id, unnest(range(len(l))) AS pos, unnest(l) AS line
@@ -35,4 +53,4 @@ WINDOW same AS (PARTITION BY coalesce(text, ''))
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_line_dedup": OP7, "op10_exact_dedup": OP10}
+    return {"op4_chat_format": OP4, "op7_line_dedup": OP7, "op10_exact_dedup": OP10}
