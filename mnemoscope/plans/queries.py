@@ -11,7 +11,7 @@ from mnemoscope.functions import governance as G
 from mnemoscope.functions import strings as S
 from mnemoscope.functions import temporal as T
 from mnemoscope.functions import vectors as VF
-from mnemoscope.operators import graph, lifecycle, logs, text, vectors
+from mnemoscope.operators import graph, lifecycle, logs, records, text, vectors
 from mnemoscope.sources import ingest
 from mnemoscope.sources.catalog import Catalog
 
@@ -791,3 +791,116 @@ def vector_norms(c):
 def validity_window(c):
     end = F.col("o_orderdate") + F.expr("INTERVAL 30 DAYS")
     return c.orders.select("o_orderkey", T.valid_at(F.col("o_orderdate"), end, lifecycle.at_time("1998-01-01")).alias("valid"))
+
+
+# Grants, models, phrases, communities, pools.
+
+
+@query("""
+SELECT doc_id AS object_id FROM documents WHERE doc_id IN (
+  SELECT o_orderkey FROM orders WHERE o_orderpriority = '2-HIGH' AND o_orderstatus <> 'F' AND o_orderdate > TIMESTAMP '1997-01-01')""")
+def grant_check(c):
+    grants = c.orders.select(
+        F.col("o_orderkey").alias("object_id"),
+        F.col("o_orderpriority").alias("level"),
+        F.when(F.col("o_orderstatus") == "F", F.col("o_orderdate")).alias("revoked_at"),
+        F.col("o_orderdate").alias("expires_at"),
+    )
+    return records.granted(c.documents.select(F.col("doc_id").alias("object_id")), grants, "2-HIGH", lifecycle.at_time("1997-01-01"))
+
+
+@query("""
+SELECT p_partkey AS model_id, p_size AS context FROM part WHERE p_size >= 40
+ORDER BY (p_type = 'ECONOMY') DESC, CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE p_retailprice END DESC NULLS LAST, p_partkey LIMIT 25""")
+def model_negotiation(c):
+    models = c.part.select(
+        F.col("p_partkey").alias("model_id"), (F.col("p_type") == "ECONOMY").alias("gpu"), F.col("p_size").alias("context"), F.when(F.col("p_partkey") % 7 != 0, F.col("p_retailprice")).alias("speed")
+    )
+    return records.negotiated(models, 40).limit(25).select("model_id", "context")
+
+
+@query("""
+SELECT phrase, n_nationkey AS verb_id, CASE WHEN phrase = lower(n_name) THEN 1 WHEN phrase = 'alias ' || n_nationkey THEN 2 ELSE 3 END AS source
+FROM nation, LATERAL (SELECT unnest([lower(n_name), 'alias ' || n_nationkey, 'to do ' || n_nationkey]) AS phrase)""")
+def verb_phrase_lookup(c):
+    number = F.col("n_nationkey")
+    verbs = c.nation.select(
+        number.alias("verb_id"), F.col("n_name").alias("canonical"), F.array(F.concat(F.lit("Alias "), number)).alias("aliases"), F.array(F.concat(F.lit("To do "), number), F.concat(F.lit("alias "), number)).alias("phrases")
+    )
+    asked = c.nation.select(F.explode(F.array(F.lower("n_name"), F.concat(F.lit("alias "), number), F.concat(F.lit("to do "), number))).alias("phrase"))
+    return records.phrase_lookup(asked, verbs).select("phrase", "verb_id", "source")
+
+
+@query("SELECT c_custkey, 'seg' AS owner, c_custkey AS id FROM customer WHERE c_custkey % 2 = 0")
+def address_resolve(c):
+    address = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("mdo://seg/"), F.col("c_custkey"))).otherwise(F.concat(F.lit("http://seg/"), F.col("c_custkey")))
+    return c.customer.select("c_custkey", records.resolved_address(address).alias("r")).where("r is not null").select("c_custkey", "r.*")
+
+
+@query("""
+SELECT 'old' AS namespace, c_mktsegment AS community, c_custkey AS member FROM customer UNION ALL
+SELECT 'new', 'n' || c_nationkey, c_custkey FROM customer WHERE c_acctbal > 0""")
+def community_replace(c):
+    own = c.customer.select(F.lit("old").alias("namespace"), F.col("c_mktsegment").alias("community"), F.col("c_custkey").alias("member"))
+    stale = own.withColumn("namespace", F.lit("new"))
+    fresh = c.customer.select(F.lit("new").alias("namespace"), F.concat(F.lit("n"), F.col("c_nationkey")).alias("community"), F.col("c_custkey").alias("member"))
+    known = c.customer.where("c_acctbal > 0").select(F.col("c_custkey").alias("member"))
+    return records.replaced_communities(own.unionByName(stale), fresh, known, "new")[0]
+
+
+@query("SELECT event_id FROM events WHERE event_type = 'click' AND CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) = 7")
+def json_containment(c):
+    return c.events.where(records.contains_fields(F.col("props"), {"k": 7}) & (F.col("event_type") == "click")).select("event_id")
+
+
+@query("""
+SELECT user_id AS pool_id, event_type AS subject, count(*) AS support FROM events GROUP BY user_id, event_type HAVING count(*) >= 12""")
+def pool_promote(c):
+    seen = c.events.select(F.col("user_id").alias("pool_id"), F.col("event_type").alias("subject"), F.lit("did").alias("verb"), F.lit("it").alias("value"))
+    return records.promoted(seen, 12)[0].select("pool_id", "subject", "support")
+
+
+@query("""
+SELECT 1000000 + c_nationkey AS memory_id, string_agg(c_name, chr(10) ORDER BY c_custkey) AS title, 'active' AS lifecycle_state FROM customer GROUP BY c_nationkey""")
+def memory_consolidate(c):
+    memories = c.customer.select(F.col("c_custkey").alias("memory_id"), F.col("c_name").alias("title"))
+    groups = c.customer.select(F.col("c_nationkey").cast("long").alias("group_id"), F.col("c_custkey").alias("memory_id"))
+    return records.consolidated(memories, groups, 1_000_000)[0]
+
+
+@query("""
+SELECT s_suppkey AS target_id, coalesce(CASE WHEN s_suppkey % 3 = 0 THEN CAST(s_nationkey AS VARCHAR) END, s_name) AS value,
+       CASE WHEN s_suppkey % 5 = 0 THEN 'reference' WHEN s_suppkey % 3 = 0 THEN 'numeric' ELSE 'text' END AS value_type FROM supplier""")
+def attribute_types(c):
+    none = F.lit(None).cast("string")
+    made = c.supplier.select(
+        F.col("s_suppkey").alias("target_id"),
+        F.lit("home").alias("attr_name"),
+        F.lit(None).cast("timestamp").alias("value_timestamp"),
+        F.when(F.col("s_suppkey") % 3 == 0, F.col("s_nationkey")).alias("value_numeric"),
+        F.col("s_name").alias("value_text"),
+        none.alias("value_json"),
+        F.when(F.col("s_suppkey") % 5 == 0, "erp").alias("ref_source"),
+    )
+    return records.typed_attributes(made).select("target_id", "value", "value_type")
+
+
+@query("""
+SELECT o_orderkey, o_orderstatus IN ('O', 'P') AND o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderpriority <> '5-LOW' AS fits FROM orders""")
+def applicability(c):
+    rule = F.struct(
+        F.lit("live").alias("environment"), F.array(F.lit("O"), F.lit("P")).alias("stack"), lifecycle.at_time("1996-01-01").alias("from"), F.lit(None).cast("timestamp").alias("until")
+    )
+    live = F.when(F.col("o_orderpriority") == "5-LOW", "test").otherwise("live")
+    return c.orders.select("o_orderkey", records.applicable(live, F.array("o_orderstatus"), F.col("o_orderdate"), rule).alias("fits"))
+
+
+@query()
+def chat_descent(c):
+    """Topics of conversations as a tree; the walk follows the words of a question."""
+    turns = text.chat_topics(c.conversations).join(c.conversations.select("conv_id", "turn", "text"), ["conv_id", "turn"])
+    topic = turns.groupBy("conv_id", "topic_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), " ").alias("title"))
+    leaf = topic.select(F.concat_ws(":", F.lit("topic"), "conv_id", "topic_no").alias("node"), F.concat_ws(":", F.lit("chat"), "conv_id").alias("parent"), F.lit("topic").alias("kind"), F.col("topic_no").alias("ordinal"), "title")
+    root = topic.select("conv_id").distinct().select(F.concat_ws(":", F.lit("chat"), "conv_id").alias("node"), F.lit(None).cast("string").alias("parent"), F.lit("chat").alias("kind"), F.col("conv_id").alias("ordinal"), F.lit("").alias("title"))
+    tree = leaf.unionByName(root)
+    return graph.descend(tree.drop("title"), text.overlap_scores(tree, "with this and for"), 2)
