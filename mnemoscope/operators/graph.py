@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mnemoscope.sources.scratch import settled
+
 DIRECTIONS = ("out", "in", "both")
 
 
@@ -46,26 +48,26 @@ def walk(edges: DataFrame, node: str, depth: int = 4, direction: str = "both", r
     """All simple paths from a node: (depth, node, rel, path); the seed itself isn't a row."""
     if not 0 <= depth <= 32:
         raise ValueError("depth is 0 to 32")
-    steps = arcs(edges, direction, rels).distinct()
+    steps = arcs(edges, direction, rels)
     seed = edges.sparkSession.range(1).select(F.lit(node).alias("at"), F.array(F.lit(node)).alias("path"))
     front, out = seed, None
     for level in range(1, depth + 1):
         grown = front.join(steps, front["at"] == steps["node"]).where(~F.array_contains("path", F.col("next")))
-        front = grown.select(F.col("next").alias("at"), F.concat("path", F.array("next")).alias("path"), "rel")
+        front = settled(grown.select(F.col("next").alias("at"), F.concat("path", F.array("next")).alias("path"), "rel").distinct(), "walk")
         rows = front.select(F.lit(level).alias("depth"), F.col("at").alias("node"), "rel", F.array_join("path", ">").alias("path"))
         out = rows if out is None else out.unionByName(rows)
-        front = front.drop("rel")
+        front = front.drop("rel").distinct()
     return out if out is not None else seed.select(F.lit(0).alias("depth"), F.col("at").alias("node"), F.lit("").alias("rel"), F.lit("").alias("path")).limit(0)
 
 
 def reachable(edges: DataFrame, node: str, depth: int, direction: str = "both") -> DataFrame:
     """Distinct nodes with their least depth: breadth first, so dense graphs don't multiply paths."""
-    steps = arcs(edges, direction).select("node", "next").distinct()
+    steps = arcs(edges, direction).select("node", "next")
     seen = edges.sparkSession.range(1).select(F.lit(node).alias("node"), F.lit(0).alias("depth"))
     front = seen
     for level in range(1, depth + 1):
         front = front.select("node").join(steps, "node").select(F.col("next").alias("node")).distinct()
-        front = front.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(level))
+        front = settled(front.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(level)), "reach")
         seen = seen.unionByName(front)
     return seen
 
@@ -150,7 +152,7 @@ def best_children(tree: DataFrame, scores: DataFrame) -> DataFrame:
 
 def descend(tree: DataFrame, scores: DataFrame, depth: int = 6) -> DataFrame:
     """(depth, node) of the greedy descent from the lowest root along the best children."""
-    best = best_children(tree, scores)
+    best = settled(best_children(tree, scores), "best")
     first = tree.where(F.col("parent").isNull()).orderBy("ordinal").limit(1).select("node", F.lit(0).alias("depth"))
     out, level = first, first
     for i in range(1, depth + 1):
