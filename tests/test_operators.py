@@ -7,7 +7,7 @@ from mnemoscope.functions import governance as G
 from mnemoscope.functions import strings as S
 from mnemoscope.functions import temporal as T
 from mnemoscope.functions import vectors as V
-from mnemoscope.operators import graph, lifecycle, logs, text, vectors
+from mnemoscope.operators import graph, lifecycle, logs, records, text, vectors
 from mnemoscope.sources import ingest
 from mnemoscope.sources.catalog import Catalog
 from mnemoscope.streaming import windows
@@ -161,3 +161,28 @@ def test_streams_equal_batches(spark, small, tmp_path):
     source = spark.readStream.schema(jobs.schema).parquet(f"{tmp_path}/jobs")
     windows.drain(windows.enqueued(source), f"{tmp_path}/queue", f"{tmp_path}/qat").awaitTermination()
     assert spark.read.json(f"{tmp_path}/queue").count() == 2
+
+
+def test_records(spark):
+    at = lifecycle.at_time
+    objects = spark.createDataFrame([(1,), (2,), (3,)], "object_id long")
+    grants = spark.createDataFrame(
+        [(1, "read", None, None), (2, "read", datetime(2024, 1, 1), None), (3, "read", None, datetime(2024, 1, 1)), (3, "write", None, None)],
+        "object_id long, level string, revoked_at timestamp, expires_at timestamp",
+    )
+    assert [r.object_id for r in records.granted(objects, grants, "read", at("2024-06-01")).collect()] == [1]
+    assert records.authorized_types({"a": objects, "b": objects.limit(0)}, ["a", "b"]) == ["a"]
+    with pytest.raises(ValueError):
+        records.authorized_types({}, ["a"])
+    old = spark.createDataFrame([("x", "c1", 1), ("y", "c1", 1)], "namespace string, community string, member long")
+    new = spark.createDataFrame([("x", "c2", 2), ("x", "c2", 9)], "namespace string, community string, member long")
+    kept, unknown = records.replaced_communities(old, new, spark.createDataFrame([(1,), (2,)], "member long"), "x")
+    assert {tuple(r) for r in kept.collect()} == {("y", "c1", 1), ("x", "c2", 2)} and [r.member for r in unknown.collect()] == [9]
+    seen = spark.createDataFrame([(1, "s", "v", "o")] * 3 + [(1, "s", "v", "p")], "pool_id long, subject string, verb string, value string")
+    claims, rest = records.promoted(seen, 3)
+    assert [r.support for r in claims.collect()] == [3] and rest.count() == 1
+    made, edges = records.consolidated(
+        spark.createDataFrame([(2, "b"), (1, "a")], "memory_id long, title string"), spark.createDataFrame([(0, 1), (0, 2)], "group_id long, memory_id long"), 100
+    )
+    assert [(r.memory_id, r.title) for r in made.collect()] == [(100, "a\nb")] and edges.count() == 2
+    assert records.tenant_view(spark.createDataFrame([("t", 1), ("u", 2)], "owner_schema string, v int"), "t").collect()[0].asDict() == {"v": 1}
