@@ -70,6 +70,36 @@ def retracted(facts: DataFrame, retractions: DataFrame, at: Column) -> DataFrame
     return facts.join(hit.select("fact_id"), "fact_id", "left_anti").unionByName(retired)
 
 
+MODES = ("current_valid", "historical", "as_of_transaction_time", "full_bitemporal")
+
+
+def replayed(facts: DataFrame, mode: str, at: Column, by: str = "subject_id") -> DataFrame:
+    """Each subject's facts as JSON steps under a mode, those after the anchor, and how many the mode hides.
+
+    current_valid: valid at the anchor and active; historical: valid at the anchor
+    in any state; as_of_transaction_time: known at the anchor (recorded_from,
+    recorded_to; without these columns the valid window stands for them);
+    full_bitemporal: both, in any state.
+    """
+    if mode not in MODES:
+        raise ValueError(f"mode is one of {MODES}")
+    known = ("recorded_from", "recorded_to") if "recorded_from" in facts.columns else ("valid_from", "valid_to")
+    valid = T.valid_at(F.col("valid_from"), F.col("valid_to"), at)
+    recorded = T.valid_at(F.col(known[0]), F.col(known[1]), at)
+    shown = {
+        "current_valid": valid & (F.col("lifecycle_state") == "active"),
+        "historical": valid,
+        "as_of_transaction_time": recorded,
+        "full_bitemporal": valid & recorded,
+    }[mode]
+    later = F.col("valid_from") > at
+    step = F.struct("valid_from", "fact_id", "verb", "lifecycle_state")
+    steps = F.array_sort(F.collect_list(F.when(shown, step)))
+    return facts.groupBy(by).agg(
+        F.to_json(steps).alias("steps"), F.count_if(later).alias("later_changes"), F.count_if(~shown & ~later).alias("hidden")
+    )
+
+
 def upserted(base: DataFrame, delta: DataFrame, keys: list[str]) -> DataFrame:
     """``base`` with the rows of ``delta`` put in or replaced by key."""
     return base.join(delta, keys, "left_anti").unionByName(delta)

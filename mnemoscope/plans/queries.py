@@ -320,10 +320,17 @@ def correct_fact(c):
     return lifecycle.corrected(c.facts(), fixes, lifecycle.at_time("1998-06-01")).select("fact_id", "object_value", "valid_to", "lifecycle_state")
 
 
-@query()
+@query(f"""
+SELECT subject_id, count(*) FILTER (WHERE valid_from > {AT}) AS later_changes,
+       count(*) FILTER (WHERE valid_from <= {AT} AND NOT ({VALID} AND lifecycle_state = 'active')) AS hidden
+FROM {FACTS} f GROUP BY subject_id""")
 def replay_episode(c):
-    own = F.array_sort(F.collect_list(F.struct("valid_from", "fact_id", "verb", "lifecycle_state")))
-    return c.facts().where("subject_id < 50").groupBy("subject_id").agg(F.to_json(own).alias("steps"), F.count_if(F.col("valid_from") > lifecycle.at_time("1998-06-01")).alias("later_changes"))
+    return lifecycle.replayed(c.facts(), "current_valid", lifecycle.at_time("1998-06-01")).select("subject_id", "later_changes", "hidden")
+
+
+@query()
+def replay_steps(c):
+    return lifecycle.replayed(c.facts(), "historical", lifecycle.at_time("1998-06-01"))
 
 
 SCORES = """(

@@ -75,6 +75,10 @@ def test_lifecycle(spark):
     assert fixed[10].supersedes == 1 and fixed[10].object_value == 5.0 and fixed[10].verb == "v"
     gone = lifecycle.retracted(facts, spark.createDataFrame([(1, "wrong"), (2, " ")], "fact_id long, reason string"), at("2025-03-01"))
     assert {r.fact_id: r.lifecycle_state for r in gone.collect()} == {1: "retired", 2: "active"}
+    replay = {m: lifecycle.replayed(facts, m, at("2025-05-15")).first() for m in lifecycle.MODES}
+    assert all(r.hidden == 0 and r.steps.count("fact_id") == 2 for r in replay.values())
+    before = lifecycle.replayed(facts, "historical", at("2025-02-01")).first()
+    assert before.later_changes == 1 and before.hidden == 0 and before.steps.count("fact_id") == 1
     scores = spark.createDataFrame([(1, "supporting_facts", 0.9), (1, "source_diversity", 0.6), (1, "claim_consistency", 0.95), (2, "recency", 0.5)], "target_id long, category string, subscore double")
     weights = spark.createDataFrame([("supporting_facts", 0.2, True), ("source_diversity", 0.15, True), ("claim_consistency", 0.15, True), ("recency", 0.0, True)], "category string, weight double, enabled boolean")
     assert {r.target_id: r.confidence for r in lifecycle.confidence(scores, weights).collect()} == {1: 0.825, 2: None}
