@@ -7,7 +7,9 @@
    byte a dart give estimates, and only few pairs leave it: first a spanning forest
    of the best estimates, and in the last round every pair between nodes that are
    still in different classes. Pairs inside a class can't change it, so a group of
-   n near copies costs about n checks, not their square.
+   n near copies costs about n checks, not their square. Nodes that a big class may
+   hold are not paired with its members: blocks of such nodes meet blocks of the
+   class, texts and all, and only links leave.
 3. Every pair that leaves is checked on the whole sets of shingles; pairs of at
    least ``LEAST`` are links, and classes are their connected components.
 
@@ -39,6 +41,10 @@ BLOCK = 256
 #: Estimates from which a pair is checked; and those that a forest is made of.
 CHECKED, JOINED = 0.66, 0.76
 FORESTS = 2
+#: Bands whose buckets the first forest is made of; they join most of what belongs together.
+FIRST = 8
+#: Nodes of a class from which on it is met as a whole, not by pairs.
+BIG = 32
 
 SKETCH = "id long, d1 long, d2 long, bands array<long>, sketch binary"
 
@@ -121,20 +127,43 @@ def _forest(left: np.ndarray, right: np.ndarray, of: np.ndarray) -> list[int]:
     return taken
 
 
+def _whole_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of rows sorted by key and cell, cut anew so that no cell goes on in the next."""
+    held: pa.RecordBatch | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if held is not None and held.num_rows:
+            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        key, at = batch.column("key").to_numpy(), batch.column("cell").to_numpy()
+        other = np.flatnonzero((key != key[-1]) | (at != at[-1]))
+        whole = int(other[-1]) + 1 if len(other) else 0
+        if whole:
+            yield batch.slice(0, whole)
+        held = batch.slice(whole)
+    if held is not None and held.num_rows:
+        yield held
+
+
 def _pairs(least: float, forest: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Pairs (a, b) of each cell: rows (key, cell, side, rep, class, sketch), sorted by key and cell.
+    """Pairs of each cell: rows (key, cell, side, band, rep, cls, big, sketch), sorted by key and cell.
 
-    side 0 are nodes that meet all of the cell; side 1 are nodes that meet side 0 only.
+    side 0 are nodes that meet all of the cell; side 1 are nodes that meet side 0
+    only. A pair is (a, b, false), or (a, class, true) for a node and a big class.
     """
 
-    def cell(side: np.ndarray, rep: np.ndarray, cls: np.ndarray, sketch: np.ndarray) -> list[tuple[int, int]]:
+    def cell(band: int, side: np.ndarray, rep: np.ndarray, cls: np.ndarray, big: np.ndarray, sketch: np.ndarray) -> list[tuple[int, int, bool]]:
         order = np.lexsort((rep, side))
-        side, rep, cls, sketch = side[order], rep[order], cls[order], sketch[order]
+        side, rep, cls, big, sketch = side[order], rep[order], cls[order], big[order], sketch[order]
         first = np.flatnonzero(side == 0)
         left, right, score = [], [], []
         for i in first.tolist():
             near = (sketch[i + 1 :] == sketch[i]).mean(axis=1)
             good = np.flatnonzero((near >= least) & (cls[i + 1 :] != cls[i]))
+            if not forest and len(good):
+                # Two nodes meet in every band they share; the first of those bands speaks for all.
+                shared = (sketch[i + 1 :][good] == sketch[i]).reshape(len(good), BANDS, ROWS).all(axis=2)
+                good = good[shared.argmax(axis=1) == band]
             left.append(np.full(len(good), i))
             right.append(good + i + 1)
             score.append(near[good])
@@ -146,39 +175,33 @@ def _pairs(least: float, forest: bool) -> Callable[[Iterator[pa.RecordBatch]], I
             a, b = a[best], b[best]
             taken = _forest(a, b, cls)
             a, b = a[taken], b[taken]
-        low, high = np.minimum(rep[a], rep[b]), np.maximum(rep[a], rep[b])
-        return [(x, y) for x, y in zip(low.tolist(), high.tolist(), strict=True) if x != y]
-
-    def table(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
-        return pa.Table.from_batches(batches).combine_chunks().to_batches()[0] if len(batches) > 1 else batches[0]
+            whole = np.zeros(len(a), bool)
+        else:
+            whole = big[a] | big[b]
+        # Of two big classes the one of the lesser number is met as a whole.
+        turn = big[a] & (~big[b] | (cls[a] < cls[b]))
+        one, other = np.where(turn, b, a), np.where(turn, a, b)
+        met = {(x, y, True) for x, y in zip(rep[one[whole]].tolist(), cls[other[whole]].tolist(), strict=True)}
+        low, high = np.minimum(rep[a], rep[b])[~whole], np.maximum(rep[a], rep[b])[~whole]
+        return [*met, *((x, y, False) for x, y in zip(low.tolist(), high.tolist(), strict=True) if x != y)]
 
     def results(batch: pa.RecordBatch) -> pa.RecordBatch:
         key, at = batch.column("key").to_numpy(), batch.column("cell").to_numpy()
-        side, rep, cls = (batch.column(c).to_numpy() for c in ("side", "rep", "cls"))
+        band, side, rep, cls, big = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("band", "side", "rep", "cls", "big"))
         sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(len(rep), -1)
         edges = np.flatnonzero((key[1:] != key[:-1]) | (at[1:] != at[:-1])) + 1
         bounds = [0, *edges.tolist(), len(rep)]
-        out: set[tuple[int, int]] = set()
+        out: set[tuple[int, int, bool]] = set()
         for a, b in zip(bounds[:-1], bounds[1:], strict=True):
             if b - a > 1:
-                out.update(cell(side[a:b], rep[a:b], cls[a:b], sketch[a:b]))
+                out.update(cell(int(band[a]), side[a:b], rep[a:b], cls[a:b], big[a:b], sketch[a:b]))
         listed = sorted(out)
-        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in listed], pa.int64()), pa.array([y for _, y in listed], pa.int64())], names=["a", "b"])
+        types = (pa.int64(), pa.int64(), pa.bool_())
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in listed], t) for i, t in enumerate(types)], names=["a", "b", "whole"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.RecordBatch | None = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held = table([held, batch]) if held is not None and held.num_rows else batch
-            key, at = held.column("key").to_numpy(), held.column("cell").to_numpy()
-            # The last cell may go on in the next batch.
-            whole = int(np.flatnonzero((key != key[-1]) | (at != at[-1]))[-1]) + 1 if ((key != key[-1]) | (at != at[-1])).any() else 0
-            if whole:
-                yield results(held.slice(0, whole))
-            held = held.slice(whole)
-        if held is not None and held.num_rows:
-            yield results(held)
+        for batch in _whole_cells(batches):
+            yield results(batch)
 
     return run
 
@@ -216,6 +239,53 @@ def _checked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return written(both.mapInArrow(_links, "a long, b long, similarity double").groupBy("a", "b").agg(F.max("similarity").alias("similarity")), "links")
 
 
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links between the sides of each cell: rows (key, cell, side, id, text), sorted by key and cell."""
+    for batch in _whole_cells(batches):
+        key, at = batch.column("key").to_numpy(), batch.column("cell").to_numpy()
+        edges = np.flatnonzero((key[1:] != key[:-1]) | (at[1:] != at[:-1])) + 1
+        bounds = [0, *edges.tolist(), batch.num_rows]
+        a, b, near = [], [], []
+        for start, end in zip(bounds[:-1], bounds[1:], strict=True):
+            part = batch.slice(start, end - start)
+            side, ids = part.column("side").to_numpy(), part.column("id").to_numpy()
+            texts = part.column("text").to_pylist()
+            members = np.flatnonzero(side == 1)
+            sets, sizes = [], []
+            for x, y in pieces(texts):
+                found, _, owner = weighted_sets(texts[x:y])
+                cut = np.searchsorted(owner, np.arange(y - x + 1))
+                sets += [found[i:j] for i, j in zip(cut[:-1], cut[1:], strict=True)]
+            sizes = np.array([len(x) for x in sets])
+            every = np.concatenate([sets[i] for i in members]) if len(members) else np.zeros(0, np.uint64)
+            owner = np.repeat(np.arange(len(members)), sizes[members])
+            for i in np.flatnonzero(side == 0).tolist():
+                spot = np.minimum(np.searchsorted(sets[i], every), max(0, sizes[i] - 1))
+                both = np.bincount(owner[sets[i][spot] == every], minlength=len(members)) if sizes[i] else np.zeros(len(members))
+                share = both / np.maximum(sizes[i] + sizes[members] - both, 1)
+                for m in np.flatnonzero(share >= LEAST).tolist()[:1]:
+                    # One link joins the classes; more would say nothing new.
+                    a.append(int(ids[i]))
+                    b.append(int(ids[members[m]]))
+                    near.append(float(share[m]))
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(near, pa.float64())], names=["a", "b", "similarity"])
+
+
+def _met_classes(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links of nodes to big classes, pairs (a, cls): blocks of nodes meet blocks of members, with their texts."""
+    groups = pairs.groupBy("cls").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_groups"))
+    blocks = classes.join(groups, "cls").groupBy("cls", "_groups").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_blocks"))
+    own = pairs.join(blocks, "cls").join(texts.withColumnRenamed("id", "a"), "a").select(
+        F.col("cls").alias("key"), F.pmod(F.xxhash64("a"), F.col("_groups")).alias("_g"), F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_b"), "_blocks", F.lit(0).alias("side"), F.col("a").alias("id"), "text"
+    )
+    members = classes.join(blocks, "cls").join(texts.withColumnRenamed("id", "node"), "node").select(
+        F.col("cls").alias("key"), F.explode(F.sequence(F.lit(0), F.col("_groups") - 1)).alias("_g"), F.pmod(F.xxhash64("node"), F.col("_blocks")).alias("_b"), "_blocks", F.lit(1).alias("side"), F.col("node").alias("id"), "text"
+    )
+    cells = own.unionByName(members).select("key", (F.col("_g") * F.col("_blocks") + F.col("_b")).cast("long").alias("cell"), "side", "id", "text")
+    dealt = cells.repartition("key", "cell").sortWithinPartitions("key", "cell")
+    return written(dealt.mapInArrow(_met, "a long, b long, similarity double"), "met")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, cls): the least node of each node's component, for nodes that have links (a, b).
 
@@ -244,13 +314,13 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _cells(banded: DataFrame, last: bool) -> DataFrame:
-    """Rows of cells (key, cell, side, rep, cls, sketch) of buckets that hold several classes."""
+    """Rows of cells (key, cell, side, band, rep, cls, big, sketch) of buckets that hold several classes."""
     sizes = banded.groupBy("key").agg(F.min("cls").alias("_low"), F.max("cls").alias("_high"), F.count(F.lit(1)).alias("_n"))
     mixed = sizes.where(F.col("_low") != F.col("_high")).select("key", "_n")
     if not last:
         dealt = banded.join(mixed, "key")
         block = F.pmod(F.xxhash64("rep", "key"), F.ceil(F.col("_n") / BLOCK)).cast("int")
-        return dealt.select("key", block.alias("cell"), F.lit(0).alias("side"), "rep", "cls", "sketch")
+        return dealt.select("key", block.alias("cell"), F.lit(0).alias("side"), "band", "rep", "cls", "big", "sketch")
     # Nodes outside the largest class of a bucket meet each other and all others.
     shares = banded.join(mixed, "key").groupBy("key", "cls").agg(F.count(F.lit(1)).alias("n"))
     first = shares.groupBy("key").agg(F.max(F.struct("n", "cls")).alias("top"), F.sum("n").alias("_all"))
@@ -261,12 +331,12 @@ def _cells(banded: DataFrame, last: bool) -> DataFrame:
     hashed = F.xxhash64("rep", "key")
     width = F.col("_columns")
     few = dealt.where(F.col("cls") != F.col("_main")).select(
-        "key", F.explode(F.sequence(F.lit(0), width - 1)).alias("_c"), F.pmod(hashed, F.col("_rows")).cast("int").alias("_r"), width.alias("_w"), F.lit(0).alias("side"), "rep", "cls", "sketch"
+        "key", F.explode(F.sequence(F.lit(0), width - 1)).alias("_c"), F.pmod(hashed, F.col("_rows")).cast("int").alias("_r"), width.alias("_w"), F.lit(0).alias("side"), "band", "rep", "cls", "big", "sketch"
     )
     all_ = dealt.select(
-        "key", F.explode(F.sequence(F.lit(0), F.col("_rows") - 1)).alias("_r"), F.pmod(hashed, width).cast("int").alias("_c"), width.alias("_w"), F.lit(1).alias("side"), "rep", "cls", "sketch"
+        "key", F.explode(F.sequence(F.lit(0), F.col("_rows") - 1)).alias("_r"), F.pmod(hashed, width).cast("int").alias("_c"), width.alias("_w"), F.lit(1).alias("side"), "band", "rep", "cls", "big", "sketch"
     )
-    return few.unionByName(all_).select("key", (F.col("_r") * F.col("_w") + F.col("_c")).cast("int").alias("cell"), "side", "rep", "cls", "sketch")
+    return few.unionByName(all_).select("key", (F.col("_r") * F.col("_w") + F.col("_c")).cast("int").alias("cell"), "side", "band", "rep", "cls", "big", "sketch")
 
 
 def near_duplicates(
@@ -278,7 +348,7 @@ def near_duplicates(
     nodes = sketched.groupBy("d1", "d2").agg(F.min("id").alias("rep"))
     member = written(sketched.select("id", "d1", "d2").join(nodes, ["d1", "d2"]).select("id", "rep"), "members")
     heads = sketched.join(nodes, ["d1", "d2"]).where(F.col("id") == F.col("rep"))
-    spread = heads.select("rep", "sketch", F.explode("bands").alias("key"))
+    spread = heads.select("rep", "sketch", F.posexplode("bands").alias("band", "key"))
     full = spread.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).select("key")
     banded = written(spread.join(full, "key"), "banded")
     near = banded.select(F.col("rep").alias("id")).distinct()
@@ -287,17 +357,24 @@ def near_duplicates(
     for turn in range(FORESTS + 1):
         last = turn == FORESTS
         if classes is None:
-            current = banded.withColumn("cls", F.col("rep"))
+            current = banded.withColumns({"cls": F.col("rep"), "big": F.lit(False)})
         else:
-            current = banded.join(classes.withColumnRenamed("node", "rep"), "rep", "left").withColumn("cls", F.coalesce("cls", "rep"))
+            sizes = classes.groupBy("cls").agg((F.count(F.lit(1)) > BIG).alias("big"))
+            own = classes.join(sizes, "cls").withColumnRenamed("node", "rep")
+            current = banded.join(own, "rep", "left").withColumns({"cls": F.coalesce("cls", "rep"), "big": F.coalesce("big", F.lit(False))})
+        if turn == 0:
+            current = current.where(F.col("band") < FIRST)
         cells = _cells(current, last).repartition("key", "cell").sortWithinPartitions("key", "cell")
-        pairs = cells.mapInArrow(_pairs(CHECKED if last else JOINED, not last), "a long, b long").distinct()
+        pairs = cells.mapInArrow(_pairs(CHECKED if last else JOINED, not last), "a long, b long, whole boolean").distinct()
         if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+            pairs = pairs.join(tested, ["a", "b", "whole"], "left_anti")
         pairs = written(pairs, "pairs")
         tested = pairs if tested is None else tested.unionByName(pairs)
-        found = _checked(pairs, texts)
-        links = found if links is None else links.unionByName(found)
+        found = _checked(pairs.where(~F.col("whole")), texts)
+        if last:
+            found = found.unionByName(_met_classes(pairs.where("whole").select("a", F.col("b").alias("cls")), classes, texts))
+        # Classes stand for the links that made them.
+        links = found if classes is None else found.select("a", "b").unionByName(classes.toDF("a", "b"))
         classes = written(components(links), "classes")
     out = member.join(classes.withColumnRenamed("node", "rep"), "rep", "left")
     real = lambda c: F.when(c != NO_ID, c)

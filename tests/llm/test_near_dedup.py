@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from mnemoscope.llm import near_dedup as nd
 from mnemoscope.llm.dart import sketches
@@ -68,7 +69,13 @@ def test_shingles_equal_plain_sets():
     assert twice.sum() == 6
 
 
-def test_near_duplicates_brute(spark):
+@pytest.mark.parametrize("big", [nd.BIG, 1])
+def test_near_duplicates_brute(spark, monkeypatch, big):
+    """Also with classes of two met as a whole, after one forest of only the best estimates."""
+    monkeypatch.setattr(nd, "BIG", big)
+    if big == 1:
+        monkeypatch.setattr(nd, "FORESTS", 1)
+        monkeypatch.setattr(nd, "JOINED", 0.9)
     rng = random.Random(8)
     vocabulary = ["".join(rng.choices("abcdefgh", k=4)) for _ in range(400)]
     rows, n = [], 0
