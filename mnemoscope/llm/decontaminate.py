@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import utf8_size
-from .textvec import pieces, shingles, words
+from .textvec import column_pieces, shingles, words
 
 TILE, COVERAGE = 5, 0.5
 BLOCK_BYTES = 16 << 20
@@ -137,8 +137,8 @@ def _find(block: Broadcast, least: float) -> Callable[[Iterator[pa.RecordBatch]]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = block.value
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            rows = [(ids[a + t], items.ids[i], *more) for a, b in pieces(texts) for t, i, *more in hits(texts[a:b], items, least)]
+            ids = batch.column(0).to_pylist()
+            rows = [(ids[a + t], items.ids[i], *more) for a, texts in column_pieces(batch.column(1)) for t, i, *more in hits(texts, items, least)]
             yield pa.RecordBatch.from_pylist([dict(zip(("id", "item_id", "coverage", "tiles", "longest"), r, strict=True)) for r in rows], schema=FOUND)
 
     return run
@@ -163,9 +163,8 @@ def _keep(block: Broadcast, text_col: str, least: float) -> Callable[[Iterator[p
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = block.value
         for batch in batches:
-            texts = [t or "" for t in batch.column(text_col).to_pylist()]
-            bad = {a + t for a, b in pieces(texts) for t, *_ in hits(texts[a:b], items, least)}
-            yield batch.filter(pa.array([i not in bad for i in range(len(texts))], pa.bool_()))
+            bad = {a + t for a, texts in column_pieces(batch.column(text_col)) for t, *_ in hits(texts, items, least)}
+            yield batch.filter(pa.array([i not in bad for i in range(batch.num_rows)], pa.bool_()))
 
     return run
 

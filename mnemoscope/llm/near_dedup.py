@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import NO_ID, written
 from .dart import EMPTY, sketches
-from .textvec import mix, pieces, shingles, words
+from .textvec import column_pieces, mix, pieces, shingles, words
 
 WORDS, LEAST = 5, 0.8
 BANDS, ROWS = 26, 5
@@ -96,9 +96,8 @@ def _sketch(weigh: Callable[[np.ndarray], np.ndarray]) -> Callable[[Iterator[pa.
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in pieces(texts):
-                yield rows(batch.column(0).slice(a, b - a), texts[a:b])
+            for a, texts in column_pieces(batch.column(1)):
+                yield rows(batch.column(0).slice(a, len(texts)), texts)
 
     return run
 

@@ -9,12 +9,14 @@ from __future__ import annotations
 import sys
 import types
 import unicodedata
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Code points of texts that are worked on at once; one longer text is a piece of its own.
-PIECE = 1 << 20
+PIECE = 1 << 19
 #: An odd base and its inverse modulo 2**64, for Karp-Rabin hashes.
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -58,7 +60,7 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers(1 << max(20, (size - 1).bit_length()))
+    return _powers(1 << max(18, (size - 1).bit_length()))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -74,16 +76,26 @@ def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def pieces(texts: list[str]) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about PIECE code points together."""
-    start = held = 0
-    for i, t in enumerate(texts):
-        held += len(t) + 1
-        if held >= PIECE:
+def pieces(texts: list[str], size: int = PIECE) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about ``size`` code points together."""
+    return ranges(map(len, texts), size)
+
+
+def column_pieces(column: pa.Array, size: int = PIECE) -> Iterator[tuple[int, list[str]]]:
+    """First row and texts of pieces of a column; only one piece at a time becomes Python strings, nulls empty."""
+    for a, b in ranges(pc.fill_null(pc.utf8_length(column), 0).to_pylist(), size):
+        yield a, [t or "" for t in column.slice(a, b - a).to_pylist()]
+
+
+def ranges(lengths: Iterable[int], size: int) -> Iterator[tuple[int, int]]:
+    start = held = end = 0
+    for i, length in enumerate(lengths):
+        held, end = held + length + 1, i + 1
+        if held >= size:
             yield start, i + 1
             start, held = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+    if start < end:
+        yield start, end
 
 
 def range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

@@ -39,6 +39,8 @@ from .tokens import encoder
 
 #: Least, usual and most ids of a chunk, and ids that the rolling hash sees.
 LEAST, USUAL, MOST, SEEN = 64, 256, 1024, 16
+#: Code points that are encoded at once: the more there are, the fewer look-ups of the same words.
+TEXT = 1 << 20
 #: Names that a task remembers having sent.
 SENT = 500_000
 NAME = 32
@@ -114,7 +116,7 @@ def _encode(path: str, end_id: int, width: int) -> Callable[[Iterator[pa.RecordB
         sent: set[bytes] = set()
         for batch in batches:
             ids_of, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in pieces(texts):
+            for a, b in pieces(texts, TEXT):
                 yield rows(ids_of[a:b], texts[a:b], sent)
 
     return run

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
-from .textvec import code_points, mix, pieces, range_hashes, shingles, words
+from .textvec import code_points, column_pieces, mix, pieces, range_hashes, shingles, words
 
 EXAMPLES, NEIGHBOURS, BLOCK = 4096, 15, 64
 STEMS = (4, 5, 6)
@@ -223,10 +223,9 @@ def _frequencies(vocabulary: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]],
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, have = 0, np.zeros(len(vocabulary), np.int64)
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            total += len(texts)
-            for a, b in pieces(texts):
-                found, owner = terms(texts[a:b])
+            total += batch.num_rows
+            for _, texts in column_pieces(batch.column(0)):
+                found, owner = terms(texts)
                 spot = np.minimum(np.searchsorted(vocabulary, found), len(vocabulary) - 1)
                 same = vocabulary[spot] == found
                 pairs = np.unique(owner[same] * len(vocabulary) + spot[same])
@@ -321,11 +320,11 @@ def _calibrated(vocabulary: np.ndarray, idf: np.ndarray, rows: list[tuple], size
     return index
 
 
-def _scores(index: Index, texts: list[str]) -> tuple[np.ndarray, list[list[int]]]:
-    scores, evidence = np.full(len(texts), index.alone), [[] for _ in texts]
+def _scores(index: Index, column: pa.Array) -> tuple[np.ndarray, list[list[int]]]:
+    scores, evidence = np.full(len(column), index.alone), [[] for _ in range(len(column))]
     seen: dict[bytes, tuple[float, list[int]]] = {}
-    for a, b in pieces(texts):
-        for i, at, counts in index.look(texts[a:b]):
+    for a, texts in column_pieces(column):
+        for i, at, counts in index.look(texts):
             key = at.tobytes() + counts.tobytes()
             if key not in seen:
                 best, cosines = index.nearest(at, index.vector(at, counts))
@@ -337,7 +336,7 @@ def _scores(index: Index, texts: list[str]) -> tuple[np.ndarray, list[list[int]]
 def _score(model: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores, evidence = _scores(model.value, batch.column("text").to_pylist())
+            scores, evidence = _scores(model.value, batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores), pa.array(evidence, pa.list_(pa.int64()))], names=["doc_id", "score", "evidence"])
 
     return run
@@ -356,7 +355,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 def _keep(model: Broadcast, text_col: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores, _ = _scores(model.value, [t or "" for t in batch.column(text_col).to_pylist()])
+            scores, _ = _scores(model.value, batch.column(text_col))
             yield batch.filter(pa.array(scores < TOXIC))
 
     return run
