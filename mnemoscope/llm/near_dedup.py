@@ -145,24 +145,24 @@ def _whole_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _pairs(least: float, forest: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Pairs of each cell: rows (key, cell, side, band, rep, cls, big, sketch), sorted by key and cell.
+    """Pairs of each cell: rows (key, cell, side, before, rep, cls, big, sketch), sorted by key and cell.
 
     side 0 are nodes that meet all of the cell; side 1 are nodes that meet side 0
     only. A pair is (a, b, false), or (a, class, true) for a node and a big class.
+    before are a node's keys of the bands before the cell's own (none for a forest).
     """
 
-    def cell(band: int, side: np.ndarray, rep: np.ndarray, cls: np.ndarray, big: np.ndarray, sketch: np.ndarray) -> list[tuple[int, int, bool]]:
+    def cell(before: np.ndarray, side: np.ndarray, rep: np.ndarray, cls: np.ndarray, big: np.ndarray, sketch: np.ndarray) -> list[tuple[int, int, bool]]:
         order = np.lexsort((rep, side))
-        side, rep, cls, big, sketch = side[order], rep[order], cls[order], big[order], sketch[order]
+        before, side, rep, cls, big, sketch = before[order], side[order], rep[order], cls[order], big[order], sketch[order]
         first = np.flatnonzero(side == 0)
         left, right, score = [], [], []
         for i in first.tolist():
             near = (sketch[i + 1 :] == sketch[i]).mean(axis=1)
             good = np.flatnonzero((near >= least) & (cls[i + 1 :] != cls[i]))
             if not forest and len(good):
-                # Two nodes meet in every band they share; the first of those bands speaks for all.
-                shared = (sketch[i + 1 :][good] == sketch[i]).reshape(len(good), BANDS, ROWS).all(axis=2)
-                good = good[shared.argmax(axis=1) == band]
+                # Two nodes meet in every band whose keys are equal; the first of those bands speaks for all.
+                good = good[~(before[i + 1 :][good] == before[i]).any(axis=1)]
             left.append(np.full(len(good), i))
             right.append(good + i + 1)
             score.append(near[good])
@@ -186,14 +186,17 @@ def _pairs(least: float, forest: bool) -> Callable[[Iterator[pa.RecordBatch]], I
 
     def results(batch: pa.RecordBatch) -> pa.RecordBatch:
         key, at = batch.column("key").to_numpy(), batch.column("cell").to_numpy()
-        band, side, rep, cls, big = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("band", "side", "rep", "cls", "big"))
+        side, rep, cls, big = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("side", "rep", "cls", "big"))
         sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(len(rep), -1)
+        keys = batch.column("before").flatten().to_numpy()
+        ends = np.concatenate([[0], np.cumsum(batch.column("before").value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
         edges = np.flatnonzero((key[1:] != key[:-1]) | (at[1:] != at[:-1])) + 1
         bounds = [0, *edges.tolist(), len(rep)]
         out: set[tuple[int, int, bool]] = set()
         for a, b in zip(bounds[:-1], bounds[1:], strict=True):
             if b - a > 1:
-                out.update(cell(int(band[a]), side[a:b], rep[a:b], cls[a:b], big[a:b], sketch[a:b]))
+                before = keys[ends[a] : ends[b]].reshape(b - a, int(ends[a + 1] - ends[a]))
+                out.update(cell(before, side[a:b], rep[a:b], cls[a:b], big[a:b], sketch[a:b]))
         listed = sorted(out)
         types = (pa.int64(), pa.int64(), pa.bool_())
         return pa.RecordBatch.from_arrays([pa.array([x[i] for x in listed], t) for i, t in enumerate(types)], names=["a", "b", "whole"])
@@ -313,13 +316,13 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _cells(banded: DataFrame, last: bool) -> DataFrame:
-    """Rows of cells (key, cell, side, band, rep, cls, big, sketch) of buckets that hold several classes."""
+    """Rows of cells (key, cell, side, before, rep, cls, big, sketch) of buckets that hold several classes."""
     sizes = banded.groupBy("key").agg(F.min("cls").alias("_low"), F.max("cls").alias("_high"), F.count(F.lit(1)).alias("_n"))
     mixed = sizes.where(F.col("_low") != F.col("_high")).select("key", "_n")
     if not last:
         dealt = banded.join(mixed, "key")
         block = F.pmod(F.xxhash64("rep", "key"), F.ceil(F.col("_n") / BLOCK)).cast("int")
-        return dealt.select("key", block.alias("cell"), F.lit(0).alias("side"), "band", "rep", "cls", "big", "sketch")
+        return dealt.select("key", block.alias("cell"), F.lit(0).alias("side"), "before", "rep", "cls", "big", "sketch")
     # Nodes outside the largest class of a bucket meet each other and all others.
     shares = banded.join(mixed, "key").groupBy("key", "cls").agg(F.count(F.lit(1)).alias("n"))
     first = shares.groupBy("key").agg(F.max(F.struct("n", "cls")).alias("top"), F.sum("n").alias("_all"))
@@ -330,12 +333,12 @@ def _cells(banded: DataFrame, last: bool) -> DataFrame:
     hashed = F.xxhash64("rep", "key")
     width = F.col("_columns")
     few = dealt.where(F.col("cls") != F.col("_main")).select(
-        "key", F.explode(F.sequence(F.lit(0), width - 1)).alias("_c"), F.pmod(hashed, F.col("_rows")).cast("int").alias("_r"), width.alias("_w"), F.lit(0).alias("side"), "band", "rep", "cls", "big", "sketch"
+        "key", F.explode(F.sequence(F.lit(0), width - 1)).alias("_c"), F.pmod(hashed, F.col("_rows")).cast("int").alias("_r"), width.alias("_w"), F.lit(0).alias("side"), "before", "rep", "cls", "big", "sketch"
     )
     all_ = dealt.select(
-        "key", F.explode(F.sequence(F.lit(0), F.col("_rows") - 1)).alias("_r"), F.pmod(hashed, width).cast("int").alias("_c"), width.alias("_w"), F.lit(1).alias("side"), "band", "rep", "cls", "big", "sketch"
+        "key", F.explode(F.sequence(F.lit(0), F.col("_rows") - 1)).alias("_r"), F.pmod(hashed, width).cast("int").alias("_c"), width.alias("_w"), F.lit(1).alias("side"), "before", "rep", "cls", "big", "sketch"
     )
-    return few.unionByName(all_).select("key", (F.col("_r") * F.col("_w") + F.col("_c")).cast("int").alias("cell"), "side", "band", "rep", "cls", "big", "sketch")
+    return few.unionByName(all_).select("key", (F.col("_r") * F.col("_w") + F.col("_c")).cast("int").alias("cell"), "side", "before", "rep", "cls", "big", "sketch")
 
 
 def near_duplicates(
@@ -347,7 +350,7 @@ def near_duplicates(
     nodes = sketched.groupBy("d1", "d2").agg(F.min("id").alias("rep"))
     member = written(sketched.select("id", "d1", "d2").join(nodes, ["d1", "d2"]).select("id", "rep"), "members")
     heads = sketched.join(nodes, ["d1", "d2"]).where(F.col("id") == F.col("rep"))
-    spread = heads.select("rep", "sketch", F.posexplode("bands").alias("band", "key"))
+    spread = heads.select("rep", "d1", "sketch", F.posexplode("bands").alias("band", "key"))
     full = spread.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).select("key")
     banded = written(spread.join(full, "key"), "banded")
     near = banded.select(F.col("rep").alias("id")).distinct()
@@ -363,6 +366,13 @@ def near_duplicates(
             current = banded.join(own, "rep", "left").withColumns({"cls": F.coalesce("cls", "rep"), "big": F.coalesce("big", F.lit(False))})
         if turn == 0:
             current = current.where(F.col("band") < FIRST)
+        if last:
+            # One row a node; rows of equal identifiers can be several nodes of one rep.
+            keys = sketched.select("d1", "d2", "bands").join(nodes, ["d1", "d2"]).join(near, F.col("rep") == F.col("id"), "left_semi")
+            current = current.join(keys.dropDuplicates(["rep", "d1"]).select("rep", "d1", "bands"), ["rep", "d1"])
+            current = current.withColumn("before", F.slice("bands", F.lit(1), F.col("band")))
+        else:
+            current = current.withColumn("before", F.array().cast("array<long>"))
         cells = _cells(current, last).repartition("key", "cell").sortWithinPartitions("key", "cell")
         pairs = cells.mapInArrow(_pairs(CHECKED if last else JOINED, not last), "a long, b long, whole boolean").distinct()
         if tested is not None:

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from mnemoscope.llm import near_dedup as nd
@@ -105,6 +106,23 @@ def test_chain_of_near_copies(spark, monkeypatch):
     assert got[1000] == 1000 and {v for k, v in got.items() if k != 1000} == {0}
 
 
+def test_pairs_meet_despite_equal_bytes_in_an_earlier_band():
+    """Two nodes share the key of band 3; in band 0 only the bytes of their darts agree, so no bucket of it holds both."""
+    rng = np.random.default_rng(6)
+    one = rng.integers(0, 256, nd.BANDS * nd.ROWS).astype(np.uint8)
+    other = one.copy()
+    other[[5, 10, *range(20, 70, 5)]] += 1
+    row = {"key": [77, 77], "cell": [0, 0], "side": [0, 0], "band": [3, 3], "rep": [1, 2], "cls": [1, 2], "big": [False, False]}
+    row["sketch"] = [one.tobytes(), other.tobytes()]
+
+    def met(before):
+        (got,) = nd._pairs(nd.CHECKED, False)(iter([pa.RecordBatch.from_pydict({**row, "before": before})]))
+        return got.to_pylist()
+
+    assert met([[1, 2, 3], [4, 5, 6]]) == [{"a": 1, "b": 2, "whole": False}]
+    assert met([[1, 2, 3], [4, 2, 6]]) == []
+
+
 def test_odd_rows(spark):
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, "x " * 30_000), (3, "y")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
