@@ -255,3 +255,11 @@ def test_chat_round_trip(spark):
 
 def test_chat_empty(spark):
     assert chat.read_back(chat.formatted(chat.turns_of(as_records(spark, [])))).count() == 0
+
+
+def test_chat_turn_of_more_than_a_json_string(spark, tmp_path):
+    """Turns of 21,000,000 characters, one of them alone in its conversation."""
+    rows = spark.createDataFrame([(1, 0, "human", "hi"), (1, 1, None, None), (1, 2, "gpt", "long"), (2, 0, "user", "long")], "conv_id long, turn int, role string, text string")
+    rows.withColumn("text", F.when(F.col("text") == "long", F.repeat(F.lit("a"), 21_000_000)).otherwise(F.col("text"))).write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.conv_id: (r.n_turns, r.loss_chars) for r in queries.op4_chat_format(spark, str(tmp_path)).collect()}
+    assert got == {1: (3, 21_000_000), 2: (1, 0), -7: (2, 26)}
