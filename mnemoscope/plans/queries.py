@@ -645,7 +645,7 @@ WHERE n = 1 AND object_id % 10 <> 0 AND coalesce(quality, 1) >= 0.5 ORDER BY ran
 def retrieval_execute(c):
     kind = F.lit("document").alias("object_type")
     fts = text.text_search(c.documents, "this with", 50).select(kind, F.col("doc_id").alias("object_id"), "rank", F.lit("fts").alias("strategy"))
-    # The source strategy has a fixed rank; its list ends at a document number, a part of the query.
+    # The source strategy has a fixed rank; its list is cut at a document number because the SQL is; see the README.
     own = c.documents.where("source = 'src3' AND doc_id < 400").select(kind, F.col("doc_id").alias("object_id"), F.lit(1.0).alias("rank"), F.lit("source_filter").alias("strategy"))
     retired = c.documents.where("doc_id % 10 = 0").select(kind, F.col("doc_id").alias("object_id"))
     sure = c.labels.select(kind, F.col("doc_id").alias("object_id"), F.col("quality").cast("double").alias("confidence"))
