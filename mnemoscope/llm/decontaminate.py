@@ -36,7 +36,7 @@ class Items:
     """Words of some benchmark items, and the places of every seed."""
 
     def __init__(self, ids: list[int], texts: list[str]):
-        hashes, of, _, _ = words(texts)
+        hashes, of = words(texts)
         cut = np.searchsorted(of, np.arange(len(texts) + 1))
         self.ids = ids
         self.words = [hashes[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
@@ -84,7 +84,7 @@ def tiles(text: np.ndarray, item: np.ndarray, at: np.ndarray, place: np.ndarray)
 
 def hits(texts: list[str], items: Items, least: float) -> list[tuple[int, int, float, int, int]]:
     """(text number, item number, coverage, tiles, longest tile) of texts of one piece."""
-    hashes, of, _, _ = words(texts)
+    hashes, of = words(texts)
     sizes = np.bincount(of, minlength=len(texts))
     starts = np.cumsum(sizes) - sizes
     long = np.isin(of, np.flatnonzero(sizes >= TILE))

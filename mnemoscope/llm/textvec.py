@@ -6,10 +6,12 @@ piece at a time, so the cost of one very long text is its length.
 
 from __future__ import annotations
 
+import hashlib
 import sys
 import types
 import unicodedata
 from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -17,9 +19,10 @@ import pyarrow.compute as pc
 
 #: Code points of texts that are worked on at once; one longer text is a piece of its own.
 PIECE = 1 << 19
-#: An odd base and its inverse modulo 2**64, for Karp-Rabin hashes.
+#: An odd multiplier, for hashes of a few words in sequence.
 BASE = 0x9E3779B97F4A7C15
-INVERSE = pow(BASE, -1, 1 << 64)
+#: Bytes from which on a word is hashed by itself, not eight bytes at a time beside others.
+LONG = 256
 
 LETTER, NUMBER, SPACE, MARK, OTHER = 1, 2, 3, 4, 0
 #: The code points of the Unicode property White_Space.
@@ -51,18 +54,6 @@ def classes() -> np.ndarray:
     return table
 
 
-@remembered
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, for at least ``size`` places."""
-    up, down = np.full(size, BASE, np.uint64), np.full(size, INVERSE, np.uint64)
-    up[0] = down[0] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
-
-
-def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers(1 << max(18, (size - 1).bit_length()))
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit values."""
     x = x ^ (x >> np.uint64(32))
@@ -98,30 +89,90 @@ def ranges(lengths: Iterable[int], size: int) -> Iterator[tuple[int, int]]:
         yield start, end
 
 
-def range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Karp-Rabin hashes of values[start:end], by differences of one running sum."""
-    up, down = powers(len(values) + 1)
-    total = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum((values.astype(np.uint64) + np.uint64(1)) * up[: len(values)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+def byte_places(points: np.ndarray) -> np.ndarray | None:
+    """Where each code point, and the end, stands in UTF-8; None if every place is the code point's own."""
+    wide = np.flatnonzero(points >= 0x80)
+    if not len(wide):
+        return None
+    sizes = np.ones(len(points) + 1, np.int64)
+    sizes[0] = 0
+    sizes[wide + 1] += 1 + (points[wide] >= 0x800).astype(np.int64) + (points[wide] >= 0x10000)
+    return np.cumsum(sizes)
 
 
-def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, text number, start and end (in the lower-cased text) of each word.
+def range_hashes(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of data[start:end].
 
-    A word is a run of letters, numbers and marks, lower-cased.
+    Eight bytes at a time go through a scrambling that isn't linear, so words of a
+    special form don't collide more than others. Hashes propose; where two words
+    must be the same, their bytes are compared.
     """
+    size = ends - starts
+    lanes = np.ndarray((len(data) + 1,), "<u8", data + bytes(8), strides=(1,))
+    masks = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+    out = mix(size.astype(np.uint64) + np.uint64(BASE))
+    at, done = np.flatnonzero((size > 0) & (size < LONG)), 0
+    while len(at):
+        left = size[at] - done
+        out[at] = mix(out[at] ^ (lanes[starts[at] + done] & masks[np.minimum(left, 8)]))
+        at, done = at[left > 8], done + 8
+    for i in np.flatnonzero(size >= LONG).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]], digest_size=8).digest(), "little")
+    return out
+
+
+def same_bytes(one: np.ndarray, first: np.ndarray, other: np.ndarray, second: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether one[first:first + size] equals other[second:second + size], for each of many ranges."""
+    stops = np.cumsum(sizes)
+    every = np.arange(stops[-1] if len(stops) else 0)
+    before = stops - sizes
+    differ = np.flatnonzero(one[every + np.repeat(first - before, sizes)] != other[every + np.repeat(second - before, sizes)])
+    out = np.ones(len(sizes), bool)
+    out[np.searchsorted(stops, differ, side="right")] = False
+    return out
+
+
+@dataclass
+class Words:
+    """Words of lower-cased texts, runs of letters, numbers and marks: their bytes in all, and for each word where
+    it starts and ends in them, its text's number, its letters and its first letter's place among all."""
+
+    data: bytes
+    starts: np.ndarray
+    ends: np.ndarray
+    of: np.ndarray
+    letters: np.ndarray
+    first: np.ndarray
+    place: np.ndarray | None
+
+    def after(self, which: np.ndarray, n: int) -> np.ndarray:
+        """Where the first n letters of some words end."""
+        return self.starts[which] + n if self.place is None else self.place[self.first[which] + n]
+
+    def hashes(self) -> np.ndarray:
+        return range_hashes(self.data, self.starts, self.ends)
+
+
+def found_words(texts: list[str]) -> Words:
     lowered = [t.lower() for t in texts]
-    sizes = np.fromiter((len(t) + 1 for t in lowered), np.int64, len(lowered))
-    points = code_points("\n".join([*lowered, ""]))
+    joined = "\n".join([*lowered, ""])
+    points = code_points(joined)
     kinds = classes()[points]
     inside = np.zeros(len(points) + 2, np.int8)
     inside[1:-1] = (kinds == LETTER) | (kinds == NUMBER) | (kinds == MARK)
     edges = np.flatnonzero(np.diff(inside))
     starts, ends = edges[::2], edges[1::2]
-    first = np.concatenate([[0], np.cumsum(sizes)])
-    of = np.searchsorted(first, starts, side="right") - 1
-    return range_hashes(points, starts, ends), of, starts - first[of], ends - first[of]
+    sizes = np.fromiter((len(t) + 1 for t in lowered), np.int64, len(lowered))
+    of = np.searchsorted(np.concatenate([[0], np.cumsum(sizes)]), starts, side="right") - 1
+    place = byte_places(points)
+    at, to = (starts, ends) if place is None else (place[starts], place[ends])
+    return Words(joined.encode("utf-8", "surrogatepass"), at, to, of, ends - starts, starts, place)
+
+
+def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and text number of each word."""
+    found = found_words(texts)
+    return found.hashes(), found.of
 
 
 def shingles(hashes: np.ndarray, of: np.ndarray, n: int, count: int) -> tuple[np.ndarray, np.ndarray]:
@@ -129,7 +180,7 @@ def shingles(hashes: np.ndarray, of: np.ndarray, n: int, count: int) -> tuple[np
 
     A text of fewer than n words, but some, has one shingle of all its words.
     """
-    up, _ = powers(n)
+    up = np.array([pow(BASE, i, 1 << 64) for i in range(n + 1)], np.uint64)
     window = np.zeros(max(0, len(hashes) - n + 1), np.uint64)
     for i in range(n):
         window += hashes[i : i + len(window)] * up[n - i]

@@ -10,13 +10,17 @@ and each file's manifest holds the Merkle root of its documents' roots.
 Reading: every chunk is hashed again, and each chunk's checksum is shifted by the
 length of what follows it in the document. The sum (exclusive or) of the shifted
 checksums is the checksum of the document, so chunks need not move to be checked.
+Recipes must hash to their roots, roots to the roots of their files' manifests, and
+these to the root of the store; a recipe that is missing, out of place or altered
+raises an error, and so does a chunk.
 
 Layout below a store's path: ``objects/kind=chunk`` (name, n, body: little-endian
 ids of ``width`` bytes), ``recipes/kind=recipe`` (file, nth, doc_id, start in the
-file, n, chunks: 32 bytes of name and 4 of length each, root) and
-``recipes/kind=manifest`` (file, documents, ids, root).
+file, n, chunks: 32 bytes of name and 4 of length each, root),
+``recipes/kind=manifest`` (file, documents, ids, root) and ``manifest``, one row
+(documents, ids, root) for the whole store.
 
-Defined results: null and empty texts have the end id alone; repeated rows and
+Defined results: an id that ``width`` bytes can't hold raises an error; null and empty texts have the end id alone; repeated rows and
 null identifiers (first in order) are documents like any other; an empty table
 gives an empty store; other columns of the input are not read.
 """
@@ -87,6 +91,8 @@ def _encode(path: str, end_id: int, width: int) -> Callable[[Iterator[pa.RecordB
         docs = [np.append(x, np.uint32(end_id)) for x in encoder(path).encode(texts)]
         ids = np.concatenate(docs)
         bounds = np.concatenate([[0], np.cumsum([len(x) for x in docs])])
+        if int(ids.max()) >> 8 * width:
+            raise ValueError(f"id {ids.max()} doesn't fit into {width} bytes")
         packed = ids.astype(f"<u{width}")
         out: dict[str, list] = {"kind": [], "name": [], "doc_id": [], "n": [], "body": []}
 
@@ -122,22 +128,42 @@ def _encode(path: str, end_id: int, width: int) -> Callable[[Iterator[pa.RecordB
     return run
 
 
+class Tree:
+    """Merkle root of documents' roots that come one by one: full subtrees by height, closed at the end."""
+
+    def __init__(self):
+        self.documents, self.ids, self.peaks = 0, 0, []
+
+    def add(self, roots: list[bytes], sizes: np.ndarray) -> None:
+        self.documents, self.ids = self.documents + len(roots), self.ids + int(sizes.sum())
+        for root in roots:
+            node = (0, root)
+            while self.peaks and self.peaks[-1][0] == node[0]:
+                node = (node[0] + 1, hashlib.sha256(self.peaks.pop()[1] + node[1]).digest())
+            self.peaks.append(node)
+
+    def root(self) -> bytes:
+        root, *rest = (x for _, x in reversed(self.peaks))
+        for left in rest:
+            root = hashlib.sha256(left + root).digest()
+        return root
+
+
 def _recipes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Recipes of one sorted file, with starts in it, then its manifest."""
-    file, nth, start = TaskContext.get().partitionId(), 0, 0
+    file, tree = TaskContext.get().partitionId(), Tree()
     names = ["kind", "file", "nth", "doc_id", "start", "n", "chunks", "root"]
     types = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-    peaks: list[tuple[int, bytes]] = []  # roots of full subtrees, by height
 
     for batch in batches:
         sizes = np.array(batch.column("n").to_numpy(zero_copy_only=False), np.int64)
-        starts = start + np.cumsum(sizes) - sizes
+        starts = tree.ids + np.cumsum(sizes) - sizes
         count = len(sizes)
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(["recipe"] * count, types[0]),
                 pa.array(np.full(count, file), types[1]),
-                pa.array(nth + np.arange(count), types[2]),
+                pa.array(tree.documents + np.arange(count), types[2]),
                 batch.column("doc_id"),
                 pa.array(starts, types[4]),
                 pa.array(sizes, types[5]),
@@ -146,17 +172,53 @@ def _recipes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ],
             names=names,
         )
-        for root in batch.column("name").to_pylist():
-            node = (0, root)
-            while peaks and peaks[-1][0] == node[0]:
-                node = (node[0] + 1, hashlib.sha256(peaks.pop()[1] + node[1]).digest())
-            peaks.append(node)
-        start, nth = start + int(sizes.sum()), nth + count
-    if nth:
-        root = peaks.pop()[1]
-        while peaks:
-            root = hashlib.sha256(peaks.pop()[1] + root).digest()
-        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(("manifest", file, nth, None, 0, start, None, root), types, strict=True)], names=names)
+        tree.add(batch.column("name").to_pylist(), sizes)
+    if tree.documents:
+        last = ("manifest", file, tree.documents, None, 0, tree.ids, None, tree.root())
+        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(last, types, strict=True)], names=names)
+
+
+def _manifests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(file, documents, ids, root) of recipes (file, nth, start, n, root), sorted by file and nth."""
+    trees: dict[int, Tree] = {}
+
+    def closed() -> pa.RecordBatch:
+        (file, tree), = trees.items()
+        trees.clear()
+        row = zip((file, tree.documents, tree.ids, tree.root()), (pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in row], names=["file", "documents", "ids", "root"])
+
+    for batch in batches:
+        files, nth, start, n = (batch.column(c).to_numpy() for c in ("file", "nth", "start", "n"))
+        cut = np.flatnonzero(np.diff(files)) + 1
+        for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(files)], strict=True):
+            if a == b:
+                continue
+            file = int(files[a])
+            if trees and file not in trees:
+                yield closed()
+            tree = trees.setdefault(file, Tree())
+            sizes = n[a:b].astype(np.int64)
+            if (nth[a:b] != tree.documents + np.arange(b - a)).any() or (start[a:b] != tree.ids + np.cumsum(sizes) - sizes).any():
+                raise ValueError(f"recipes of file {file} are missing or out of place")
+            tree.add(batch.column("root").slice(a, b - a).to_pylist(), sizes)
+    if trees:
+        yield closed()
+
+
+def _store_root(manifests: DataFrame) -> DataFrame:
+    """One row (documents, ids, root) over the files' manifests, one row a file."""
+    roots = F.array_sort(F.collect_list(F.struct("file", F.hex("root").alias("root"))))
+    return manifests.agg(
+        F.coalesce(F.sum("documents"), F.lit(0)).alias("documents"),
+        F.coalesce(F.sum("ids"), F.lit(0)).alias("ids"),
+        F.sha2(F.array_join(F.transform(roots, lambda x: x["root"]), ""), 256).alias("root"),
+    )
+
+
+def _stored_manifests(spark: SparkSession, path: str) -> DataFrame:
+    read = spark.read.schema(RECIPES).parquet(f"{path}/recipes").where(F.col("kind") == "manifest")
+    return read.select("file", F.col("nth").alias("documents"), F.col("n").alias("ids"), "root")
 
 
 def write_store(
@@ -173,6 +235,7 @@ def write_store(
     listed = docs.sparkSession.read.schema(OBJECTS).parquet(f"{path}/objects").where(F.col("kind") == "document")
     ordered = listed.select("doc_id", "name", "n", "body").repartitionByRange("doc_id", "name").sortWithinPartitions("doc_id", "name")
     ordered.mapInArrow(_recipes, RECIPES).write.partitionBy("kind").parquet(f"{path}/recipes")
+    _store_root(_stored_manifests(docs.sparkSession, path)).write.parquet(f"{path}/manifest")
 
 
 # The checksum's polynomial, reflected.
@@ -223,21 +286,34 @@ def _shift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def recipes(spark: SparkSession, path: str) -> DataFrame:
-    """Recipes with each document's start among all ids, from files and their manifests."""
-    read = spark.read.schema(RECIPES).parquet(f"{path}/recipes")
+    """Recipes with each document's start among all ids; raises where recipes, manifests and the store's root differ."""
+    stored = _stored_manifests(spark, path)
+    if [tuple(r) for r in _store_root(stored).collect()] != [tuple(r) for r in spark.read.parquet(f"{path}/manifest").collect()]:
+        raise ValueError("the files' manifests don't make the root of the store")
+    own = spark.read.schema(RECIPES).parquet(f"{path}/recipes").where(F.col("kind") == "recipe")
+    ordered = own.select("file", "nth", "start", "n", "root").repartition("file").sortWithinPartitions("file", "nth")
+    made = ordered.mapInArrow(_manifests, "file int, documents long, ids long, root binary")
+    both = made.join(stored.select("file", *(F.col(c).alias(f"_{c}") for c in ("documents", "ids", "root"))), "file", "full")
+    same = F.lit(True)
+    for c in ("documents", "ids", "root"):
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    checked = F.when(same, F.col("ids")).otherwise(F.raise_error(F.lit("a file's recipes don't make its manifest")).cast("long"))
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    # One row a file, so this window is as small as the list of files.
-    files = read.where(F.col("kind") == "manifest").select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
-    own = read.where(F.col("kind") == "recipe").join(files, "file")
-    return own.withColumn("start", F.col("start") + F.col("ahead")).drop("ahead", "kind")
+    # One row a file, so this window is as small as the list of files; the file's own size is checked with it.
+    files = both.select("file", checked.alias("ids")).select("file", (F.coalesce(F.sum("ids").over(before), F.lit(0)) + F.col("ids")).alias("upto"), "ids")
+    own = own.join(files, "file")
+    return own.withColumn("start", F.col("start") + F.col("upto") - F.col("ids")).drop("upto", "ids", "kind")
 
 
 def _references(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per chunk of a recipe: file, nth, name, n and after, the ids behind it in the document."""
+    """One row per chunk of a recipe that hashes to its root: file, nth, name, n and after, the ids behind it in the document."""
     kind = np.dtype([("name", f"V{NAME}"), ("n", "<u4")])
     for batch in batches:
         parts = [np.frombuffer(x, kind) for x in batch.column("chunks").to_pylist()]
         counts = [len(x) for x in parts]
+        for x, root in zip(batch.column("chunks").to_pylist(), batch.column("root").to_pylist(), strict=True):
+            if merkle([x[i : i + NAME] for i in range(0, len(x), NAME + 4)]) != root:
+                raise ValueError("a recipe's chunks don't make its root")
         every = np.concatenate(parts) if parts else np.zeros(0, kind)
         n = every["n"].astype(np.int64)
         ends = np.concatenate([np.cumsum(x["n"].astype(np.int64)) for x in parts]) if parts else n
@@ -255,7 +331,7 @@ def read_store(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
     chunks = spark.read.schema(OBJECTS).parquet(f"{path}/objects").where(F.col("kind") == "chunk")
     held = chunks.select("name", "body").mapInArrow(_checked(width), "name binary, crc long, held int")
     made = recipes(spark, path)
-    used = made.select("file", "nth", "chunks").mapInArrow(_references, "file int, nth long, name binary, n long, after long")
+    used = made.select("file", "nth", "chunks", "root").mapInArrow(_references, "file int, nth long, name binary, n long, after long")
     parts = used.join(held, "name").where(F.col("n") == F.col("held")).select("file", "nth", "n", "crc", "after")
     sums = (
         parts.mapInArrow(_shift, "file int, nth long, n long, crc long")

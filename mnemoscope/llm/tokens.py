@@ -3,18 +3,20 @@
 A byte-level BPE tokenizer first cuts a text into words by a fixed pattern, and a
 word's ids don't depend on what stands around it. ``Encoder`` cuts whole batches
 with array operations, by the same rules, and lets the library's model encode each
-distinct word once. Texts that hold an added token's string, and tokenizers of
-another kind, take the library's own way from end to end.
+distinct word once. Which words are distinct is decided on their bytes. Texts that
+hold an added token's string, and tokenizers of another kind, take the library's
+own way from end to end.
 """
 
 from __future__ import annotations
 
 import json
+from itertools import chain
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 
-from .textvec import LETTER, MARK, NUMBER, OTHER, SPACE, classes, code_points, range_hashes, remembered
+from .textvec import LETTER, MARK, NUMBER, OTHER, SPACE, byte_places, classes, code_points, range_hashes, remembered, same_bytes
 
 #: Distinct words that an encoder remembers before it starts anew.
 REMEMBERED = 1_000_000
@@ -61,6 +63,18 @@ def word_starts(points: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.flatnonzero(starts)
 
 
+def _added(flat: np.ndarray, bounds: np.ndarray, have: int, more: np.ndarray, sizes: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Growing lists in one array, cut at bounds: ``more`` behind the first ``have`` of them."""
+    end = int(bounds[have])
+    if end + len(more) > len(flat):
+        flat = np.concatenate([flat[:end], np.zeros(end + 2 * len(more), flat.dtype)])
+    flat[end : end + len(more)] = more
+    if have + len(sizes) + 1 > len(bounds):
+        bounds = np.concatenate([bounds, np.zeros(len(bounds) + len(sizes), np.int64)])
+    bounds[have + 1 : have + 1 + len(sizes)] = end + np.cumsum(sizes)
+    return flat, bounds
+
+
 class Encoder:
     """Ids of texts; one per Python worker."""
 
@@ -81,24 +95,55 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[int, int] = {}
-        self.flat = np.zeros(1 << 16, np.uint32)
-        self.bounds = np.zeros(1 << 14, np.int64)
-
-    def _learn(self, hashes: list[int], found: list[str]) -> None:
-        model, spelt = self.tokenizer.model, byte_letters()
-        made = [[t.id for t in model.tokenize(w.encode().decode("latin-1").translate(spelt))] for w in found]
-        have = len(self.known)
-        sizes = np.fromiter(map(len, made), np.int64, len(made))
-        ends = self.bounds[have] + np.cumsum(sizes)
-        need = int(ends[-1])
-        if need > len(self.flat):
-            self.flat = np.concatenate([self.flat[: self.bounds[have]], np.zeros(2 * need - self.bounds[have], np.uint32)])
-        self.flat[self.bounds[have] : need] = np.fromiter((i for x in made for i in x), np.uint32, int(sizes.sum()))
-        if have + len(made) + 1 > len(self.bounds):
-            self.bounds = np.concatenate([self.bounds, np.zeros(len(self.bounds) + len(made), np.int64)])
-        self.bounds[have + 1 : have + 1 + len(made)] = ends
-        self.known.update(zip(hashes, range(have, have + len(made)), strict=True))
+        """Remembered words: their bytes one after another, cut at ``cut``, and their ids, cut at ``bounds``."""
+        self.known = 0
+        self.spelt, self.cut = np.zeros(1 << 16, np.uint8), np.zeros(1 << 14, np.int64)
+        self.flat, self.bounds = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64)
+        # Sorted hashes and the words that they propose; words whose hash another word has are in ``twins``.
+        self.hashes, self.places = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.twins: dict[bytes, int] = {}
+
+    def _learn(self, hashes: np.ndarray, found: list[bytes]) -> None:
+        model, letters = self.tokenizer.model, byte_letters()
+        made = [[t.id for t in model.tokenize(w.decode("latin-1").translate(letters))] for w in found]
+        have, self.known = self.known, self.known + len(found)
+        ids = np.fromiter(chain.from_iterable(made), np.uint32, sum(map(len, made)))
+        self.flat, self.bounds = _added(self.flat, self.bounds, have, ids, list(map(len, made)))
+        self.spelt, self.cut = _added(self.spelt, self.cut, have, np.frombuffer(b"".join(found), np.uint8), list(map(len, found)))
+        order = np.argsort(hashes)
+        hashes = hashes[order]
+        spot = np.searchsorted(self.hashes, hashes)
+        first = np.append(True, hashes[1:] != hashes[:-1])
+        if have:
+            first &= self.hashes[np.minimum(spot, len(self.hashes) - 1)] != hashes
+        self.twins.update((found[i], have + i) for i in order[~first].tolist())
+        self.hashes = np.insert(self.hashes, spot[first], hashes[first])
+        self.places = np.insert(self.places, spot[first], have + order[first])
+
+    def _numbers(self, distinct: pa.BinaryArray) -> np.ndarray:
+        """The number of each of some distinct words; new ones are learnt. Hashes propose, bytes decide."""
+        cut, data = (distinct.buffers()[i] for i in (1, 2))
+        cut = np.frombuffer(cut, np.int32)[distinct.offset : distinct.offset + len(distinct) + 1].astype(np.int64)
+        hashes = range_hashes(data.to_pybytes(), cut[:-1], cut[1:])
+        out = np.full(len(distinct), -1)
+        if self.known:
+            spot = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+            at = np.flatnonzero(self.hashes[spot] == hashes)
+            word, sizes = self.places[spot[at]], cut[at + 1] - cut[at]
+            good = sizes == self.cut[word + 1] - self.cut[word]
+            at, word, sizes = at[good], word[good], sizes[good]
+            good = same_bytes(np.frombuffer(data, np.uint8), cut[at], self.spelt, self.cut[word], sizes)
+            out[at[good]] = word[good]
+        rest = np.flatnonzero(out < 0)
+        found = distinct.take(pa.array(rest)).to_pylist()
+        if self.twins:
+            out[rest] = [self.twins.get(w, -1) for w in found]
+            new = np.flatnonzero(out[rest] < 0)
+            rest, found = rest[new], [found[i] for i in new.tolist()]
+        if found:
+            out[rest] = np.arange(self.known, self.known + len(found))
+            self._learn(hashes[rest], found)
+        return out
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -120,18 +165,12 @@ class Encoder:
             return [np.zeros(0, np.uint32) for _ in texts]
         points = code_points(joined)
         starts = word_starts(points, first[:-1])
-        ends = np.append(starts[1:], len(points))
-        codes, distinct = pd.factorize(range_hashes(points, starts, ends))
-        if len(self.known) + len(distinct) > REMEMBERED:
+        place, data = byte_places(points), joined.encode("utf-8", "surrogatepass")
+        edges = np.append(starts if place is None else place[starts], len(data)).astype(np.int32)
+        listed = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(edges), pa.py_buffer(data)]).dictionary_encode()
+        if self.known + len(listed.dictionary) > REMEMBERED:
             self.forget()
-        place = np.zeros(len(distinct), np.int64)
-        at = np.zeros(len(distinct), np.int64)
-        at[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
-        new = [(i, h) for i, h in enumerate(distinct.tolist()) if h not in self.known]
-        if new:
-            self._learn([h for _, h in new], [joined[starts[at[i]] : ends[at[i]]] for i, _ in new])
-        place[:] = [self.known[h] for h in distinct.tolist()]
-        word = place[codes]
+        word = self._numbers(listed.dictionary)[listed.indices.to_numpy()]
         sizes = self.bounds[word + 1] - self.bounds[word]
         stops = np.cumsum(sizes)
         ids = self.flat[np.arange(stops[-1]) + np.repeat(self.bounds[word] - (stops - sizes), sizes)]

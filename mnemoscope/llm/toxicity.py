@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
-from .textvec import code_points, column_pieces, mix, pieces, range_hashes, shingles, words
+from .textvec import column_pieces, found_words, mix, pieces, range_hashes, shingles, words
 
 EXAMPLES, NEIGHBOURS, BLOCK = 4096, 15, 64
 STEMS = (4, 5, 6)
@@ -58,14 +58,12 @@ def held_out(doc_id: Column) -> Column:
 
 def terms(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Term hashes and the number of their text: every word, and its beginnings of STEMS letters."""
-    hashes, of, starts, ends = words(texts)
-    points = code_points("".join(lowered := [t.lower() for t in texts]))
-    first = np.concatenate([[0], np.cumsum([len(t) for t in lowered])])[of] + starts
-    out, owner = [hashes], [of]
+    found = found_words(texts)
+    out, owner = [found.hashes()], [found.of]
     for n in STEMS:
-        long = np.flatnonzero(ends - starts >= n)
-        out.append(mix(range_hashes(points, first[long], first[long] + n) + np.uint64(n)))
-        owner.append(of[long])
+        long = np.flatnonzero(found.letters >= n)
+        out.append(mix(range_hashes(found.data, found.starts[long], found.after(long, n)) + np.uint64(n)))
+        owner.append(found.of[long])
     return np.concatenate(out), np.concatenate(owner)
 
 
@@ -168,7 +166,7 @@ def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts, marks = batch.column("text").to_pylist(), []
         for a, b in pieces(texts):
-            hashes, of, _, _ = words(texts[a:b])
+            hashes, of = words(texts[a:b])
             found, owner = shingles(hashes, of, 5, b - a)
             least = np.full((b - a, MARKS), np.iinfo(np.uint64).max, np.uint64)
             for i in range(MARKS):

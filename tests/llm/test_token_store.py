@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from mnemoscope.llm import token_store as ts
+from mnemoscope.llm import tokens
+from mnemoscope.llm.textvec import range_hashes
 from mnemoscope.llm.tokens import Encoder
 
 PATH = str(public_tokenizers.path("byte_bpe_50k.json"))
@@ -27,6 +29,41 @@ def test_encoder_equals_library():
     assert words.encode(["Some Text"])[0].tolist() == Tokenizer.from_file(str(public_tokenizers.path("word_bpe_49k.json"))).encode("Some Text", add_special_tokens=False).ids
 
 
+def thue_morse(n):
+    word = "a"
+    while len(word) < n:
+        word += word.translate({97: "b", 98: "a"})
+    return word
+
+
+def test_words_are_told_apart_by_their_bytes(monkeypatch):
+    """Also words whose hashes a polynomial modulo 2**64 can't tell apart, long ones, and when all hashes collide."""
+    word = thue_morse(2048)
+    other = word.translate({97: "b", 98: "a"})
+    texts = [word, other, f"{word} {other}", "x" * 50_000, "x" * 50_001, "日本語" * 400, "日本語" * 400 + "本", "a aa aaa b bb ab ba"]
+    want = [e.ids for e in Tokenizer.from_file(PATH).encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in Encoder(PATH).encode(texts)] == want
+    rng = random.Random(3)
+    some = [" ".join("".join(rng.choices("abcd", k=rng.randint(1, 5))) for _ in range(300)) for _ in range(6)] + texts
+    want = [e.ids for e in Tokenizer.from_file(PATH).encode_batch(some, add_special_tokens=False)]
+    for bits in (0, 3):
+        few = np.uint64((1 << bits) - 1)
+        monkeypatch.setattr(tokens, "range_hashes", lambda *x, few=few: range_hashes(*x) & few)
+        encoder = Encoder(PATH)
+        for t, ids in [*zip(some, want, strict=True), *zip(some, want, strict=True)]:
+            assert encoder.encode([t])[0].tolist() == ids
+        assert encoder.twins
+
+
+def test_forgetting_words(monkeypatch):
+    monkeypatch.setattr(tokens, "REMEMBERED", 50)
+    rng = random.Random(5)
+    texts = [" ".join("".join(rng.choices("abcde", k=rng.randint(1, 9))) for _ in range(40)) for _ in range(30)]
+    encoder, plain = Encoder(PATH), Tokenizer.from_file(PATH)
+    for t in texts:
+        assert encoder.encode([t])[0].tolist() == plain.encode(t, add_special_tokens=False).ids
+
+
 def test_cuts_follow_content():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 50_000, 20_000).astype(np.uint32)
@@ -77,12 +114,42 @@ def test_store_odd_rows(spark):
     assert ts.tokens_stored(df.limit(0), PATH).count() == 0
 
 
+PARTS = ("objects", "recipes", "manifest")
+
+
+def copied(spark, at, to, part=None, change=None):
+    """The store at ``at`` written again to ``to``, one of its parts changed."""
+    for p in PARTS:
+        df = spark.read.parquet(f"{at}/{p}")
+        df = change(df) if p == part else df
+        (df.write if p == "manifest" else df.write.partitionBy("kind")).parquet(f"{to}/{p}")
+    return to
+
+
 def test_store_notices_damage(spark, tmp_path):
-    df = spark.createDataFrame([(1, "one text"), (2, "another")], "doc_id long, text string")
+    texts = [" ".join(random.Random(i).choices("some few words for a text of many chunks".split(), k=400 * i)) for i in range(1, 9)]
+    df = spark.createDataFrame(list(enumerate(texts, 1)), "doc_id long, text string")
     at = f"file://{tmp_path}/a"
     ts.write_store(df, at, PATH)
-    read = spark.read.schema(ts.OBJECTS).parquet(f"{at}/objects").where("kind = 'chunk'")
-    read.withColumn("body", F.lit(b"\x01\x00")).write.partitionBy("kind").parquet(f"file://{tmp_path}/b/objects")
-    spark.read.parquet(f"{at}/recipes").write.partitionBy("kind").parquet(f"file://{tmp_path}/b/recipes")
-    with pytest.raises(Exception, match="name says"):
-        ts.read_store(spark, f"file://{tmp_path}/b").collect()
+    assert ts.read_store(spark, copied(spark, at, f"file://{tmp_path}/same")).count() == 8
+    first = F.col("doc_id") == 1
+    turned = F.concat(F.expr("substring(chunks, 37, 36)"), F.expr("substring(chunks, 1, 36)"), F.expr("substring(chunks, 73)"))
+    damage = (
+        ("objects", lambda d: d.withColumn("body", F.when(F.col("kind") == "chunk", F.lit(b"\x01\x00")).otherwise(F.col("body"))), "name says"),
+        ("objects", lambda d: d.where((F.col("kind") != "chunk") | (F.col("n") < 100)), "missing"),
+        ("recipes", lambda d: d.where(~first | F.col("doc_id").isNull()), "out of place|manifest"),
+        ("recipes", lambda d: d.where(F.coalesce(F.col("doc_id"), F.lit(0)) != 8), "manifest"),
+        ("recipes", lambda d: d.withColumn("chunks", F.when(F.col("doc_id") == 8, turned).otherwise(F.col("chunks"))), "make its root"),
+        ("recipes", lambda d: d.withColumn("root", F.when(F.col("doc_id") == 8, F.lit(bytes(32))).otherwise(F.col("root"))), "root|manifest"),
+        ("recipes", lambda d: d.withColumn("root", F.when(F.col("kind") == "manifest", F.lit(bytes(32))).otherwise(F.col("root"))), "root of the store"),
+        ("manifest", lambda d: d.withColumn("documents", F.lit(9).cast("long")), "root of the store"),
+    )
+    for i, (part, change, said) in enumerate(damage):
+        with pytest.raises(Exception, match=said):
+            ts.read_store(spark, copied(spark, at, f"file://{tmp_path}/b{i}", part, change)).collect()
+
+
+def test_ids_must_fit(spark):
+    df = spark.createDataFrame([(1, "some text")], "doc_id long, text string")
+    with pytest.raises(Exception, match="doesn't fit"):
+        ts.write_store(df, ts.scratch(spark, "narrow"), PATH, width=1)
