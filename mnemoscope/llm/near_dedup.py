@@ -1,21 +1,26 @@
 """Near duplicates: DartMinHash sketches of word shingles, banded buckets, exact check.
 
-1. Each text becomes a weighted set of shingles of ``WORDS`` words, and a sketch of
-   ``BANDS * ROWS`` darts. Texts with equal sets are one node from here on.
+1. Each text becomes a weighted set: its shingles of ``WORDS`` words, each with the
+   number of its occurrences, and a sketch of ``BANDS * ROWS`` darts. Texts of the same
+   words in sequence (by a SHA-256 of their bytes) are one node from here on.
 2. Nodes that agree on all darts of a band share a bucket. A bucket is dealt into
    blocks of about ``BLOCK`` nodes. Inside a cell (a block, or two) sketches of one
    byte a dart give estimates, and only few pairs leave it: first a spanning forest
-   of the best estimates, and in the last round every pair between nodes that are
-   still in different classes. Pairs inside a class can't change it, so a group of
+   of the best estimates in FIRST bands, and then, in all bands, every pair between
+   nodes that are still in different classes. Pairs inside a class can't change it, so a group of
    n near copies costs about n checks, not their square. Nodes that a big class may
    hold are not paired with its members: blocks of such nodes meet blocks of the
    class, texts and all, and only links leave.
-3. Every pair that leaves is checked on the whole sets of shingles; pairs of at
-   least ``LEAST`` are links, and classes are their connected components.
+3. Every pair that leaves is checked on the whole sets; pairs whose weighted Jaccard
+   similarity (sum of least over sum of largest counts) is at least ``LEAST`` are links,
+   and classes are their connected components.
 
 A link at similarity 0.8 is missed with a probability below 0.0001 (no shared
 bucket, or an estimate more than four standard deviations too low).
 
+Hot keys: rows of one text, and nodes of one bucket, are dealt over tasks once they
+are more than one in 4,096 of all (``with_entries``).
+
 Defined results: rows with equal identifiers are one document (a null identifier
 too); equal texts are one class; a text without words is near to no other; a text
 of fewer than WORDS words is one shingle; an empty table gives an empty result;
@@ -24,6 +29,7 @@ columns other than the two named are not read.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -31,28 +37,44 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, written
+from .common import NO_ID, with_entries, written
 from .dart import EMPTY, sketches
-from .textvec import column_pieces, mix, pieces, shingles, words
+from .textvec import Words, column_pieces, found_words, mix, pieces, shingles, words
 
 WORDS, LEAST = 5, 0.8
 BANDS, ROWS = 26, 5
 BLOCK = 256
 #: Estimates from which a pair is checked; and those that a forest is made of.
 CHECKED, JOINED = 0.66, 0.76
-FORESTS = 2
-#: Bands whose buckets the first forest is made of; they join most of what belongs together.
+FORESTS = 1
+#: Bands whose buckets the forest is made of; they join most of what belongs together.
 FIRST = 8
 #: Nodes of a class from which on it is met as a whole, not by pairs.
 BIG = 32
 
-SKETCH = "id long, d1 long, d2 long, bands array<long>, sketch binary"
+SKETCH = "id long, print binary, bands array<long>, sketch binary"
+
+#: Weights of shingles from their counts.
+Weigh = Callable[[np.ndarray], np.ndarray]
+
+
+def counted(counts: np.ndarray) -> np.ndarray:
+    """A shingle weighs as often as it stands in the text."""
+    return counts.astype(np.float64)
+
+
+def once(counts: np.ndarray) -> np.ndarray:
+    """Every distinct shingle weighs 1: the weighted similarity is that of sets."""
+    return np.ones(len(counts))
 
 
 def weighted_sets(texts: list[str], n: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct shingles, their counts, and the number of their text."""
-    hashes, of, _, _ = words(texts)
-    found, owner = shingles(hashes, of, n, len(texts))
+    return _sets(*words(texts), n, len(texts))
+
+
+def _sets(hashes: np.ndarray, of: np.ndarray, n: int, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    found, owner = shingles(hashes, of, n, count)
     order = np.lexsort((found, owner))
     found, owner = found[order], owner[order]
     lead = np.ones(len(found), bool)
@@ -61,26 +83,40 @@ def weighted_sets(texts: list[str], n: int = WORDS) -> tuple[np.ndarray, np.ndar
     return found[at], np.diff(np.append(at, len(found))), owner[at]
 
 
-def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """Jaccard similarity of two arrays of distinct values."""
+def similarity(a: np.ndarray, weight_a: np.ndarray, b: np.ndarray, weight_b: np.ndarray) -> float:
+    """Weighted Jaccard similarity of two arrays of distinct values in order."""
     if not len(a) or not len(b):
         return 0.0
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (len(a) + len(b) - both)
-
-
-def _sketch(weigh: Callable[[np.ndarray], np.ndarray]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    _, at, to = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+    both = np.minimum(weight_a[at], weight_b[to]).sum()
+    return float(both / (weight_a.sum() + weight_b.sum() - both))
+
+
+def _prints(texts: list[str], found: Words) -> list[bytes]:
+    """A digest of each text's words in sequence, or of the text itself if it has none."""
+    cut = np.searchsorted(found.of, np.arange(len(texts) + 1)).tolist()
+    inside = np.zeros(len(found.data), np.int8)
+    inside[found.starts] += 1
+    inside[found.ends] -= 1
+    inside = np.cumsum(inside, dtype=np.int8).view(bool)
+    # A word is followed by one byte at least; it becomes a line feed, which no word holds.
+    keep = inside.copy()
+    keep[found.ends] = True
+    plain = np.where(inside, np.frombuffer(found.data, np.uint8), np.uint8(10))[keep]
+    upto = np.concatenate([[0], np.cumsum(found.ends - found.starts + 1)])
+    out = []
+    for i, t in enumerate(texts):
+        a, b = cut[i], cut[i + 1]
+        out.append(hashlib.sha256(plain[upto[a] : upto[b]].tobytes() if b > a else b"\n" + t.encode("utf-8", "surrogatepass")).digest())
+    return out
+
+
+def _sketch(weigh: Weigh) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def rows(ids: pa.Array, texts: list[str]) -> pa.RecordBatch:
         count = len(texts)
-        found, counts, owner = weighted_sets(texts)
+        heard = found_words(texts)
+        found, counts, owner = _sets(heard.hashes(), heard.of, WORDS, count)
         darts = sketches(found, weigh(counts), owner, count, BANDS * ROWS)
-        sums = np.zeros((2, count), np.uint64)
-        for i in range(2):
-            np.add.at(sums[i], owner, mix(found + np.uint64(i + 1)))
-        for i in np.flatnonzero(np.bincount(owner, minlength=count) == 0):
-            raw = np.frombuffer(texts[i].encode("utf-32-le"), np.uint32).astype(np.uint64)
-            place = np.arange(len(raw), dtype=np.uint64)
-            sums[:, i] = [mix(raw + (place << np.uint64(32)) + np.uint64(j + 7)).sum() for j in range(2)]
         keys = np.zeros((count, BANDS), np.uint64)
         for r in range(ROWS):
             keys = mix(keys + darts.reshape(count, BANDS, ROWS)[:, :, r])
@@ -90,8 +126,8 @@ def _sketch(weigh: Callable[[np.ndarray], np.ndarray]) -> Callable[[Iterator[pa.
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(keys[some].reshape(-1).view(np.int64)))
         short = (darts >> np.uint64(8)).astype(np.uint8)
         return pa.RecordBatch.from_arrays(
-            [ids, pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), lists, pa.array([x.tobytes() for x in short], pa.binary())],
-            names=["id", "d1", "d2", "bands", "sketch"],
+            [ids, pa.array(_prints(texts, heard), pa.binary()), lists, pa.array([x.tobytes() for x in short], pa.binary())],
+            names=["id", "print", "bands", "sketch"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,11 +138,6 @@ def _sketch(weigh: Callable[[np.ndarray], np.ndarray]) -> Callable[[Iterator[pa.
     return run
 
 
-def once(counts: np.ndarray) -> np.ndarray:
-    """Every distinct shingle weighs 1: the weighted similarity is that of sets."""
-    return np.ones(len(counts))
-
-
 def _forest(left: np.ndarray, right: np.ndarray, of: np.ndarray) -> list[int]:
     """Which of the pairs, taken in order, join two classes (Kruskal)."""
     top = {int(c): int(c) for c in np.unique(of)}
@@ -145,24 +176,21 @@ def _whole_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _pairs(least: float, forest: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Pairs of each cell: rows (key, cell, side, before, rep, cls, big, sketch), sorted by key and cell.
+    """Pairs of each cell: rows (key, cell, side, rep, cls, big, sketch), sorted by key and cell.
 
     side 0 are nodes that meet all of the cell; side 1 are nodes that meet side 0
-    only. A pair is (a, b, false), or (a, class, true) for a node and a big class.
-    before are a node's keys of the bands before the cell's own (none for a forest).
+    only. A pair is (a, b, false), or (a, class, true) for a node and a big class. It
+    leaves every cell in which its nodes meet.
     """
 
-    def cell(before: np.ndarray, side: np.ndarray, rep: np.ndarray, cls: np.ndarray, big: np.ndarray, sketch: np.ndarray) -> list[tuple[int, int, bool]]:
+    def cell(side: np.ndarray, rep: np.ndarray, cls: np.ndarray, big: np.ndarray, sketch: np.ndarray) -> list[tuple[int, int, bool]]:
         order = np.lexsort((rep, side))
-        before, side, rep, cls, big, sketch = before[order], side[order], rep[order], cls[order], big[order], sketch[order]
+        side, rep, cls, big, sketch = side[order], rep[order], cls[order], big[order], sketch[order]
         first = np.flatnonzero(side == 0)
         left, right, score = [], [], []
         for i in first.tolist():
             near = (sketch[i + 1 :] == sketch[i]).mean(axis=1)
             good = np.flatnonzero((near >= least) & (cls[i + 1 :] != cls[i]))
-            if not forest and len(good):
-                # Two nodes meet in every band whose keys are equal; the first of those bands speaks for all.
-                good = good[~(before[i + 1 :][good] == before[i]).any(axis=1)]
             left.append(np.full(len(good), i))
             right.append(good + i + 1)
             score.append(near[good])
@@ -188,15 +216,12 @@ def _pairs(least: float, forest: bool) -> Callable[[Iterator[pa.RecordBatch]], I
         key, at = batch.column("key").to_numpy(), batch.column("cell").to_numpy()
         side, rep, cls, big = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("side", "rep", "cls", "big"))
         sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(len(rep), -1)
-        keys = batch.column("before").flatten().to_numpy()
-        ends = np.concatenate([[0], np.cumsum(batch.column("before").value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
         edges = np.flatnonzero((key[1:] != key[:-1]) | (at[1:] != at[:-1])) + 1
         bounds = [0, *edges.tolist(), len(rep)]
         out: set[tuple[int, int, bool]] = set()
         for a, b in zip(bounds[:-1], bounds[1:], strict=True):
             if b - a > 1:
-                before = keys[ends[a] : ends[b]].reshape(b - a, int(ends[a + 1] - ends[a]))
-                out.update(cell(before, side[a:b], rep[a:b], cls[a:b], big[a:b], sketch[a:b]))
+                out.update(cell(side[a:b], rep[a:b], cls[a:b], big[a:b], sketch[a:b]))
         listed = sorted(out)
         types = (pa.int64(), pa.int64(), pa.bool_())
         return pa.RecordBatch.from_arrays([pa.array([x[i] for x in listed], t) for i, t in enumerate(types)], names=["a", "b", "whole"])
@@ -208,28 +233,35 @@ def _pairs(least: float, forest: bool) -> Callable[[Iterator[pa.RecordBatch]], I
     return run
 
 
-def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _links(weigh: Weigh) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Pairs whose whole texts are similar: rows (a, b, text_a, text_b), sorted by a."""
-    last, held = None, None
-    for batch in batches:
-        a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-        out = []
-        texts_a, texts_b = batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist()
-        for start, end in pieces(texts_b):
-            found, _, owner = weighted_sets(texts_b[start:end])
-            cut = np.searchsorted(owner, np.arange(end - start + 1))
-            for i in range(start, end):
-                if texts_a[i] != last:
-                    last = texts_a[i]
-                    held = weighted_sets([last])[0]
-                out.append(similarity(held, found[cut[i - start] : cut[i - start + 1]]))
-        good = [i for i, s in enumerate(out) if s >= LEAST]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([a[i] for i in good], pa.int64()), pa.array([b[i] for i in good], pa.int64()), pa.array([out[i] for i in good], pa.float64())], names=["a", "b", "similarity"]
-        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, None
+        for batch in batches:
+            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
+            out = []
+            texts_a, texts_b = batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist()
+            for start, end in pieces(texts_b):
+                found, counts, owner = weighted_sets(texts_b[start:end])
+                weights = weigh(counts)
+                cut = np.searchsorted(owner, np.arange(end - start + 1))
+                for i in range(start, end):
+                    if texts_a[i] != last:
+                        last = texts_a[i]
+                        own, many, _ = weighted_sets([last])
+                        held = own, weigh(many)
+                    x, y = cut[i - start], cut[i - start + 1]
+                    out.append(similarity(*held, found[x:y], weights[x:y]))
+            good = [i for i, s in enumerate(out) if s >= LEAST]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([a[i] for i in good], pa.int64()), pa.array([b[i] for i in good], pa.int64()), pa.array([out[i] for i in good], pa.float64())], names=["a", "b", "similarity"]
+            )
+
+    return run
 
 
-def _checked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _checked(pairs: DataFrame, texts: DataFrame, weigh: Weigh) -> DataFrame:
     """Pairs (a, b) that are links. Pairs of one node are dealt over salts, its text once a salt."""
     counts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_salts"))
     other = pairs.join(counts, "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
@@ -238,122 +270,146 @@ def _checked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         "a", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)).alias("_salt"), "text_a"
     )
     both = other.join(own, ["a", "_salt"]).select("a", "b", "text_a", "text_b")
-    return written(both.mapInArrow(_links, "a long, b long, similarity double").groupBy("a", "b").agg(F.max("similarity").alias("similarity")), "links")
+    return written(both.mapInArrow(_links(weigh), "a long, b long, similarity double").groupBy("a", "b").agg(F.max("similarity").alias("similarity")), "links")
 
 
-def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _met(weigh: Weigh) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Links between the sides of each cell: rows (key, cell, side, id, text), sorted by key and cell."""
-    for batch in _whole_cells(batches):
-        key, at = batch.column("key").to_numpy(), batch.column("cell").to_numpy()
-        edges = np.flatnonzero((key[1:] != key[:-1]) | (at[1:] != at[:-1])) + 1
-        bounds = [0, *edges.tolist(), batch.num_rows]
-        a, b, near = [], [], []
-        for start, end in zip(bounds[:-1], bounds[1:], strict=True):
-            part = batch.slice(start, end - start)
-            side, ids = part.column("side").to_numpy(), part.column("id").to_numpy()
-            texts = part.column("text").to_pylist()
-            members = np.flatnonzero(side == 1)
-            sets, sizes = [], []
-            for x, y in pieces(texts):
-                found, _, owner = weighted_sets(texts[x:y])
-                cut = np.searchsorted(owner, np.arange(y - x + 1))
-                sets += [found[i:j] for i, j in zip(cut[:-1], cut[1:], strict=True)]
-            sizes = np.array([len(x) for x in sets])
-            every = np.concatenate([sets[i] for i in members]) if len(members) else np.zeros(0, np.uint64)
-            owner = np.repeat(np.arange(len(members)), sizes[members])
-            for i in np.flatnonzero(side == 0).tolist():
-                spot = np.minimum(np.searchsorted(sets[i], every), max(0, sizes[i] - 1))
-                both = np.bincount(owner[sets[i][spot] == every], minlength=len(members)) if sizes[i] else np.zeros(len(members))
-                share = both / np.maximum(sizes[i] + sizes[members] - both, 1)
-                for m in np.flatnonzero(share >= LEAST).tolist()[:1]:
-                    # One link joins the classes; more would say nothing new.
-                    a.append(int(ids[i]))
-                    b.append(int(ids[members[m]]))
-                    near.append(float(share[m]))
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(near, pa.float64())], names=["a", "b", "similarity"])
-
-
-def _met_classes(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+
+    def links(part: pa.RecordBatch) -> Iterator[tuple[int, int, float]]:
+        side, ids = part.column("side").to_numpy(), part.column("id").to_numpy()
+        texts = part.column("text").to_pylist()
+        members = np.flatnonzero(side == 1)
+        sets, weights = [], []
+        for x, y in pieces(texts):
+            found, counts, owner = weighted_sets(texts[x:y])
+            cut = np.searchsorted(owner, np.arange(1, y - x))
+            sets += np.split(found, cut)
+            weights += np.split(weigh(counts), cut)
+        total = np.array([w.sum() for w in weights])
+        if not len(members):
+            return
+        every, many = np.concatenate([sets[i] for i in members]), np.concatenate([weights[i] for i in members])
+        owner = np.repeat(np.arange(len(members)), [len(sets[i]) for i in members])
+        for i in np.flatnonzero(side == 0).tolist():
+            if not len(sets[i]):
+                continue
+            spot = np.minimum(np.searchsorted(sets[i], every), len(sets[i]) - 1)
+            same = sets[i][spot] == every
+            both = np.bincount(owner[same], np.minimum(weights[i][spot[same]], many[same]), minlength=len(members))
+            share = both / (total[i] + total[members] - both)
+            for m in np.flatnonzero(share >= LEAST).tolist()[:1]:
+                # One link joins the classes; more would say nothing new.
+                yield int(ids[i]), int(ids[members[m]]), float(share[m])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _whole_cells(batches):
+            key, at = batch.column("key").to_numpy(), batch.column("cell").to_numpy()
+            edges = np.flatnonzero((key[1:] != key[:-1]) | (at[1:] != at[:-1])) + 1
+            bounds = [0, *edges.tolist(), batch.num_rows]
+            rows = [x for a, b in zip(bounds[:-1], bounds[1:], strict=True) for x in links(batch.slice(a, b - a))]
+            types = (pa.int64(), pa.int64(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["a", "b", "similarity"])
+
+    return run
+
+
+def _met_classes(pairs: DataFrame, classes: DataFrame, texts: DataFrame, weigh: Weigh) -> DataFrame:
     """Links of nodes to big classes, pairs (a, cls): blocks of nodes meet blocks of members, with their texts."""
-    groups = pairs.groupBy("cls").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_groups"))
-    blocks = classes.join(groups, "cls").groupBy("cls", "_groups").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_blocks"))
-    own = pairs.join(blocks, "cls").join(texts.withColumnRenamed("id", "a"), "a").select(
-        F.col("cls").alias("key"), F.pmod(F.xxhash64("a"), F.col("_groups")).alias("_g"), F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_b"), "_blocks", F.lit(0).alias("side"), F.col("a").alias("id"), "text"
+    groups = pairs.groupBy("cls").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_groups"), F.count(F.lit(1)).alias("_rows"))
+    counts = classes.groupBy("cls").agg(F.count(F.lit(1)).alias("_n"))
+    blocks = groups.join(counts, "cls").withColumn("_blocks", F.ceil(F.col("_n") / BLOCK).cast("int"))
+    blocks = written(blocks, "blocks")
+
+    def placed(rows: DataFrame, weight: str, node: str) -> DataFrame:
+        found = with_entries(rows, blocks, ["cls"], weight, [node]).where(F.col("_entry").isNotNull())
+        found = found.select(F.col("cls").alias("key"), F.col(node).alias("id"), "_entry._groups", "_entry._blocks")
+        return found.join(texts, "id")
+
+    own = placed(pairs, "_rows", "a").select(
+        "key", F.pmod(F.xxhash64("id"), F.col("_groups")).alias("_g"), F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_b"), "_blocks", F.lit(0).alias("side"), "id", "text"
     )
-    members = classes.join(blocks, "cls").join(texts.withColumnRenamed("id", "node"), "node").select(
-        F.col("cls").alias("key"), F.explode(F.sequence(F.lit(0), F.col("_groups") - 1)).alias("_g"), F.pmod(F.xxhash64("node"), F.col("_blocks")).alias("_b"), "_blocks", F.lit(1).alias("side"), F.col("node").alias("id"), "text"
+    members = placed(classes, "_n", "node").select(
+        "key", F.explode(F.sequence(F.lit(0), F.col("_groups") - 1)).alias("_g"), F.pmod(F.xxhash64("id"), F.col("_blocks")).alias("_b"), "_blocks", F.lit(1).alias("side"), "id", "text"
     )
     cells = own.unionByName(members).select("key", (F.col("_g") * F.col("_blocks") + F.col("_b")).cast("long").alias("cell"), "side", "id", "text")
     dealt = cells.repartition("key", "cell").sortWithinPartitions("key", "cell")
-    return written(dealt.mapInArrow(_met, "a long, b long, similarity double"), "met")
+    return written(dealt.mapInArrow(_met(weigh), "a long, b long, similarity double"), "met")
+
+
+def _least(edges: DataFrame) -> DataFrame:
+    """Edges (u, v) with m, the least v of their u; a u of very many edges is no hot task."""
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("_n"))
+    return with_entries(edges, written(least, "least"), ["u"], "_n", ["v"]).select("u", "v", F.col("_entry.m").alias("m"))
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, cls): the least node of each node's component, for nodes that have links (a, b).
 
     Rounds of hooking to the least neighbour and of pointing stars at their least
-    node, until nothing changes; the number of rounds is logarithmic in the
-    diameter. Sums go first, so a node of very many links is no hot task.
+    node, until nothing changes; the number of rounds is logarithmic in the diameter.
     """
     edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    while True:
+    before = None
+    # Two sums of hashes and a count stand for a set of edges.
+    look = F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % (1 << 40)), F.bit_xor(F.xxhash64("v", "u"))
+    while before != (now := tuple(edges.agg(*look).first())):
+        before = now
         # Larger neighbours of each node go to the least of its neighbourhood.
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = written(large, "edges")
+        both = _least(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))))
+        large = written(both.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct(), "edges")
         # Smaller neighbours of each node, and the node, go to the least of them.
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
-        small = small.where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        same = small.count() == edges.count() and small.join(edges, ["u", "v"], "left_anti").isEmpty()
-        edges = small
-        if same:
-            break
+        small = _least(large).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+        edges = written(small.select("e.*").where("u <> v").distinct(), "edges")
     tops = edges.groupBy("u").agg(F.min("v").alias("cls")).withColumnRenamed("u", "node")
     return tops.unionByName(tops.select(F.col("cls").alias("node"), "cls").distinct())
 
 
 def _cells(banded: DataFrame, last: bool) -> DataFrame:
-    """Rows of cells (key, cell, side, before, rep, cls, big, sketch) of buckets that hold several classes."""
+    """Rows of cells (key, cell, side, rep, cls, big, sketch) of buckets that hold several classes."""
+    node = ["rep", "cls", "big", "sketch"]
     sizes = banded.groupBy("key").agg(F.min("cls").alias("_low"), F.max("cls").alias("_high"), F.count(F.lit(1)).alias("_n"))
     mixed = sizes.where(F.col("_low") != F.col("_high")).select("key", "_n")
     if not last:
-        dealt = banded.join(mixed, "key")
-        block = F.pmod(F.xxhash64("rep", "key"), F.ceil(F.col("_n") / BLOCK)).cast("int")
-        return dealt.select("key", block.alias("cell"), F.lit(0).alias("side"), "before", "rep", "cls", "big", "sketch")
+        dealt = with_entries(banded, written(mixed, "buckets"), ["key"], "_n", ["rep"]).where(F.col("_entry").isNotNull())
+        block = F.pmod(F.xxhash64("rep", "key"), F.ceil(F.col("_entry._n") / BLOCK)).cast("int")
+        return dealt.select("key", block.alias("cell"), F.lit(0).alias("side"), *node)
     # Nodes outside the largest class of a bucket meet each other and all others.
-    shares = banded.join(mixed, "key").groupBy("key", "cls").agg(F.count(F.lit(1)).alias("n"))
+    shares = banded.groupBy("key", "cls").agg(F.count(F.lit(1)).alias("n"))
     first = shares.groupBy("key").agg(F.max(F.struct("n", "cls")).alias("top"), F.sum("n").alias("_all"))
-    first = first.select("key", F.col("top.cls").alias("_main"), "_all", (F.col("_all") - F.col("top.n")).alias("_few"))
-    dealt = banded.join(first, "key").withColumns(
-        {"_rows": F.ceil(F.col("_few") / BLOCK).cast("int"), "_columns": F.ceil(F.col("_all") / BLOCK).cast("int")}
-    )
+    first = first.where(F.col("_all") > F.col("top.n"))
+    first = written(first.select("key", F.col("top.cls").alias("_main"), "_all", (F.col("_all") - F.col("top.n")).alias("_few")), "buckets")
+    dealt = with_entries(banded, first, ["key"], "_all", ["rep"]).where(F.col("_entry").isNotNull())
+    dealt = dealt.select("key", *node, F.col("_entry._main").alias("_main"), *(F.ceil(F.col(f"_entry.{c}") / BLOCK).cast("int").alias(w) for c, w in (("_few", "_rows"), ("_all", "_w"))))
     hashed = F.xxhash64("rep", "key")
-    width = F.col("_columns")
     few = dealt.where(F.col("cls") != F.col("_main")).select(
-        "key", F.explode(F.sequence(F.lit(0), width - 1)).alias("_c"), F.pmod(hashed, F.col("_rows")).cast("int").alias("_r"), width.alias("_w"), F.lit(0).alias("side"), "before", "rep", "cls", "big", "sketch"
+        "key", F.explode(F.sequence(F.lit(0), F.col("_w") - 1)).alias("_c"), F.pmod(hashed, F.col("_rows")).cast("int").alias("_r"), "_w", F.lit(0).alias("side"), *node
     )
     all_ = dealt.select(
-        "key", F.explode(F.sequence(F.lit(0), F.col("_rows") - 1)).alias("_r"), F.pmod(hashed, width).cast("int").alias("_c"), width.alias("_w"), F.lit(1).alias("side"), "before", "rep", "cls", "big", "sketch"
+        "key", F.explode(F.sequence(F.lit(0), F.col("_rows") - 1)).alias("_r"), F.pmod(hashed, F.col("_w")).cast("int").alias("_c"), "_w", F.lit(1).alias("side"), *node
     )
-    return few.unionByName(all_).select("key", (F.col("_r") * F.col("_w") + F.col("_c")).cast("int").alias("cell"), "side", "before", "rep", "cls", "big", "sketch")
+    return few.unionByName(all_).select("key", (F.col("_r") * F.col("_w") + F.col("_c")).cast("int").alias("cell"), "side", *node)
 
 
-def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", weigh: Callable[[np.ndarray], np.ndarray] = once
-) -> DataFrame:
-    """Per row: id, rep (the least identifier with an equal set of shingles), class_id (the least of the class)."""
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", weigh: Weigh = counted) -> DataFrame:
+    """Per row: id, rep (the least identifier with the same words in sequence), class_id (the least of the class)."""
     source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     sketched = written(source.mapInArrow(_sketch(weigh), SKETCH), "sketches")
-    nodes = sketched.groupBy("d1", "d2").agg(F.min("id").alias("rep"))
-    member = written(sketched.select("id", "d1", "d2").join(nodes, ["d1", "d2"]).select("id", "rep"), "members")
-    heads = sketched.join(nodes, ["d1", "d2"]).where(F.col("id") == F.col("rep"))
-    spread = heads.select("rep", "d1", "sketch", F.posexplode("bands").alias("band", "key"))
-    full = spread.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).select("key")
-    banded = written(spread.join(full, "key"), "banded")
-    near = banded.select(F.col("rep").alias("id")).distinct()
+    # A text that stands alone is its own node and needs no entry.
+    same = written(sketched.groupBy("print").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1), "same")
+    named = with_entries(sketched.select("id", "print", "bands"), same, ["print"], "_n", ["id"])
+    rep = F.coalesce("_entry.rep", "id")
+    # Rows of equal identifiers can be several nodes of one name, so a node is a name and a text.
+    node = F.xxhash64("print").alias("node")
+    member = written(named.select("id", rep.alias("rep"), node, F.when(F.col("id") == rep, F.col("bands")).alias("bands")), "members")
+    spread = member.where(F.col("id") == F.col("rep")).select("rep", "node", F.posexplode("bands").alias("band", "key"))
+    full = spread.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1)
+    shared = with_entries(spread, written(full, "full"), ["key"], "_n", ["rep"]).where(F.col("_entry").isNotNull())
+    shared = written(shared.select("rep", "node", "band", "key"), "shared")
+    # Sketches go only to nodes that share a bucket.
+    drawn = sketched.select(F.col("id").alias("rep"), node, "sketch").join(shared.select("rep", "node").distinct(), ["rep", "node"], "left_semi")
+    banded = written(shared.join(drawn.dropDuplicates(["rep", "node"]), ["rep", "node"]).drop("node"), "banded")
+    near = shared.select(F.col("rep").alias("id")).distinct()
     texts = written(source.join(near, "id", "left_semi"), "near-texts")
     tested, links, classes = None, None, None
     for turn in range(FORESTS + 1):
@@ -361,32 +417,27 @@ def near_duplicates(
         if classes is None:
             current = banded.withColumns({"cls": F.col("rep"), "big": F.lit(False)})
         else:
-            sizes = classes.groupBy("cls").agg((F.count(F.lit(1)) > BIG).alias("big"))
-            own = classes.join(sizes, "cls").withColumnRenamed("node", "rep")
+            sizes = written(classes.groupBy("cls").agg(F.count(F.lit(1)).alias("_n")), "sizes")
+            own = with_entries(classes, sizes, ["cls"], "_n", ["node"]).select(F.col("node").alias("rep"), "cls", (F.col("_entry._n") > BIG).alias("big"))
             current = banded.join(own, "rep", "left").withColumns({"cls": F.coalesce("cls", "rep"), "big": F.coalesce("big", F.lit(False))})
         if turn == 0:
             current = current.where(F.col("band") < FIRST)
-        if last:
-            # One row a node; rows of equal identifiers can be several nodes of one rep.
-            keys = sketched.select("d1", "d2", "bands").join(nodes, ["d1", "d2"]).join(near, F.col("rep") == F.col("id"), "left_semi")
-            current = current.join(keys.dropDuplicates(["rep", "d1"]).select("rep", "d1", "bands"), ["rep", "d1"])
-            current = current.withColumn("before", F.slice("bands", F.lit(1), F.col("band")))
-        else:
-            current = current.withColumn("before", F.array().cast("array<long>"))
         cells = _cells(current, last).repartition("key", "cell").sortWithinPartitions("key", "cell")
         pairs = cells.mapInArrow(_pairs(CHECKED if last else JOINED, not last), "a long, b long, whole boolean").distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b", "whole"], "left_anti")
         pairs = written(pairs, "pairs")
         tested = pairs if tested is None else tested.unionByName(pairs)
-        found = _checked(pairs.where(~F.col("whole")), texts)
+        found = _checked(pairs.where(~F.col("whole")), texts, weigh)
         if last:
-            found = found.unionByName(_met_classes(pairs.where("whole").select("a", F.col("b").alias("cls")), classes, texts))
+            found = found.unionByName(_met_classes(pairs.where("whole").select("a", F.col("b").alias("cls")), classes, texts, weigh))
         # Classes stand for the links that made them.
         links = found if classes is None else found.select("a", "b").unionByName(classes.toDF("a", "b"))
         classes = written(components(links), "classes")
-    out = member.join(classes.withColumnRenamed("node", "rep"), "rep", "left")
+    copies = same.groupBy("rep").agg(F.sum("_n").alias("_n"))
+    entries = classes.withColumnRenamed("node", "rep").join(copies, "rep", "left").select("rep", "cls", F.coalesce("_n", F.lit(1)).alias("_n"))
+    out = with_entries(member.select("id", "rep"), written(entries, "entries"), ["rep"], "_n", ["id"])
     real = lambda c: F.when(c != NO_ID, c)
     return out.select(
-        real(F.col("id")).alias(id_col), real(F.col("rep")).alias("rep"), real(F.coalesce("cls", "rep")).alias("class_id")
+        real(F.col("id")).alias(id_col), real(F.col("rep")).alias("rep"), real(F.coalesce("_entry.cls", "rep")).alias("class_id")
     )
