@@ -8,16 +8,29 @@ from mnemoscope.llm import packing
 
 def plain_padding(histogram, ends):
     total = 0
-    for b, r, t in histogram:
-        total += min(e for e in ends if e >= b) * r - t
+    for b, r in histogram:
+        total += (min(e for e in ends if e >= b) - b) * r
     return total
 
 
+def least_padding(histogram, buckets):
+    """By the plain table over all splits."""
+    best = [0] + [float("inf")] * len(histogram)
+    for _ in range(buckets):
+        now = list(best)
+        for j in range(1, len(best)):
+            for i in range(j):
+                cost = sum((histogram[j - 1][0] - b) * r for b, r in histogram[i:j])
+                now[j] = min(now[j], best[i] + cost)
+        best = now
+    return best[-1]
+
+
 def test_boundaries_are_optimal():
     rng = random.Random(1)
     for _ in range(200):
         lengths = sorted(rng.sample(range(1, 60), rng.randint(1, 9)))
-        histogram = [(x, r, x * r) for x in lengths for r in [rng.randint(1, 30)]]
+        histogram = [(x, rng.randint(1, 30)) for x in lengths]
         buckets = rng.randint(1, 5)
         got = packing.boundaries(histogram, buckets)
         assert len(got) <= buckets and got[-1] == lengths[-1]
@@ -30,12 +43,19 @@ def test_boundaries_are_optimal():
     assert packing.boundaries([], 4) == []
 
 
-def test_rounding(spark):
-    values = [1, 2, 4095, 4096, 4097, 5000, 8192, 8193, 100_001]
-    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v long").select(packing.rounded(F.col("v"))).collect()]
-    for v, g in zip(values, got, strict=True):
-        unit = 1 << max(0, (v - 1).bit_length() - 12)
-        assert g == -(-v // unit) * unit
+def test_long_lengths_are_exact(spark):
+    """Lengths far above 4,096, close to each other: the padding is least, and no boundary is a rounded one."""
+    rng = random.Random(4)
+    lengths = sorted({*rng.sample(range(4097, 4400), 14), *rng.sample(range(100_000, 100_200), 8), 1_000_003})
+    histogram = [(x, rng.randint(1, 3)) for x in lengths]
+    for buckets in (1, 3, 7):
+        assert plain_padding(histogram, packing.boundaries(histogram, buckets)) == least_padding(histogram, buckets)
+    rows = [(1000 * x + i, x) for x, n in histogram for i in range(n)]
+    df = spark.createDataFrame(rows, "doc_id long, n long").withColumn("text", F.lit(""))
+    got = packing.packed(df, buckets=5, length=F.col("n")).collect()
+    assert sum(r.padding for r in got) == least_padding(histogram, 5)
+    assert {r.bucket_len for r in got} <= set(lengths)
+    held(got, packing.BUDGET)
 
 
 def held(rows, budget):
