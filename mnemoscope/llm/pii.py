@@ -2,9 +2,12 @@
 
 Each kind's pattern proposes leftmost, non-overlapping spans; a proposal that
 fails its check (Luhn, mod-97, number ranges, digit counts) is dropped and not
-tried again in another length. Words before a span adjust its score. The base
-kinds stay whatever their score is; kinds that this module adds must reach
-LEAST_SCORE.
+tried again in another length. Words within CONTEXT_CHARS on either side of a span,
+as far as the next match of its kind, adjust its score: the kind's own words raise
+it, words of part and serial numbers lower it. The base kinds stay whatever their
+score is; kinds that this module adds must reach LEAST_SCORE, so an account number
+(mod-97 confirms it) goes if it is called a serial number, and a social security
+number (no checksum confirms it) stays only if it is called one.
 
 A text is cut by the pattern, so that the lengths of matches and of the gaps
 between them sum to positions in code points. The sums are window sums over the
@@ -23,10 +26,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import let, written
 
 CONTEXT_CHARS = 48
 LEAST_SCORE = 0.5
+#: What the words around a span add to its score or take from it.
+RAISED, LOWERED = 0.25, 0.25
+#: Words that speak of numbers of other kinds.
+OTHER_NUMBERS = r"serial|\bparts?\b|\bsku\b|model|version|\bbuild\b|\bisbn\b|tracking|checksum|article no"
 
 
 def _digits(match: Column) -> Column:
@@ -65,6 +72,11 @@ def _iban(match: Column) -> Column:
     return F.when(F.length(plain).between(15, 34), mod97(plain)).otherwise(F.lit(False))
 
 
+def _ssn(match: Column) -> Column:
+    """Area, group and serial of numbers that are given out."""
+    return ~F.rlike(match, F.lit("^(?:000|666|9)|-00-|-0000$"))
+
+
 _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
 
 
@@ -121,7 +133,16 @@ KINDS = (
         _iban,
         lambda t: F.rlike(t, F.lit("[A-Z]{2}[0-9]{2}")),
         r"iban|account|bank|konto|compte|cuenta",
-        0.7,
+        0.6,
+        base=False,
+    ),
+    Kind(
+        "ssn",
+        r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
+        _ssn,
+        lambda t: F.rlike(t, F.lit("[0-9]{3}-[0-9]{2}-[0-9]{4}")),
+        r"\bssn\b|social security|sozialversicherung|sécurité sociale|seguridad social",
+        0.3,
         base=False,
     ),
 )
@@ -131,21 +152,29 @@ def _proposals(text: Column, number: int, kind: Kind) -> Column:
     """Array of (kind, place, gap before, length, confirmed, score)."""
     hits = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
     gaps = F.split(text, kind.pattern, -1)
-
-    def row(pair: Column, i: Column) -> Column:
-        near = F.lower(F.right(pair["gap"], F.lit(CONTEXT_CHARS)))
-        score = F.lit(kind.score) + F.when(F.rlike(near, F.lit(kind.words)), F.lit(0.2)).otherwise(F.lit(0.0))
+    reach = F.lit(CONTEXT_CHARS)
+
+    def row(hit: Column, i: Column, before: Column, behind: Column) -> Column:
+        near = F.lower(F.concat_ws("\n", F.right(before, reach), F.left(behind, reach)))
+        score = (
+            F.lit(kind.score)
+            + F.when(F.rlike(near, F.lit(kind.words)), F.lit(RAISED)).otherwise(F.lit(0.0))
+            - F.when(F.rlike(near, F.lit(OTHER_NUMBERS)), F.lit(LOWERED)).otherwise(F.lit(0.0))
+        )
         return F.struct(
             F.lit(number).alias("kind"),
             i.alias("place"),
-            F.length(pair["gap"]).alias("gap"),
-            F.length(pair["hit"]).alias("len"),
-            kind.check(pair["hit"]).alias("ok"),
-            score.alias("score"),
+            F.length(before).alias("gap"),
+            F.length(hit).alias("len"),
+            kind.check(hit).alias("ok"),
+            F.round(score, 2).alias("score"),
         )
 
-    pairs = F.filter(F.zip_with(hits, gaps, lambda h, g: F.struct(h.alias("hit"), g.alias("gap"))), lambda p: p["hit"].isNotNull())
-    return F.when(kind.hint(text), F.transform(pairs, row)).otherwise(F.array().cast("array<struct<kind:int,place:int,gap:int,len:int,ok:boolean,score:double>>"))
+    found = let(
+        hits.alias("hits"), gaps.alias("gaps"),
+        lambda x: F.transform(x.hits, lambda hit, i: row(hit, i, F.element_at(x.gaps, i + 1), F.element_at(x.gaps, i + 2))),
+    )
+    return F.when(kind.hint(text), found).otherwise(F.array().cast("array<struct<kind:int,place:int,gap:int,len:int,ok:boolean,score:double>>"))
 
 
 def proposals(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

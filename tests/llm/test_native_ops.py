@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import brute
-from mnemoscope.llm import chat, exact_dedup, line_dedup, pii, queries, sharding
+from mnemoscope.llm import chat, common, exact_dedup, line_dedup, pii, queries, sharding
 
 SCHEMA = "doc_id long, text string, size int, row string"
 
@@ -47,13 +47,53 @@ def test_exact_dedup_empty(spark):
 
 def test_digest_index_compacts(spark):
     index = exact_dedup.DigestIndex(spark, keep="min")
-    for k in range(5):
+    for k in range(17):
         index.insert(
             spark.createDataFrame([(f"d{i % 3}", i + 10 * k, i + 10 * k) for i in range(6)], "digest string, row long, id long")
         )
-    assert len(index.runs[0]) == 1 and len(index.runs[1]) == 1
-    assert {r.digest: (r.id, r.n) for r in index.entries().collect()} == {f"d{i}": (i, 10) for i in range(3)}
-    assert index.lookup(["d1"]).count() == 1
+        assert all(len(runs) < exact_dedup.FANOUT for runs in index.runs)
+    assert [len(runs) for runs in index.runs] == [1, 0, 1]
+    assert index.lookup(["d1"]).count() == 3
+    assert {r.digest: (r.id, r.n) for r in index.entries().collect()} == {f"d{i}": (i, 34) for i in range(3)}
+    assert index.lookup(["d1"]).count() == 1 and index.lookup(["d9"]).count() == 0
+
+
+def test_exact_dedup_in_batches(spark):
+    """Several inserts and levels, one group of a third of all rows, also when one text stands for three of a digest."""
+    rows = [(i, "hot" if i % 3 == 0 else f"t{i % 400}") for i in range(3000)]
+    want = {}
+    for i, t in rows:
+        want[t] = max(want.get(t, 0), i)
+    sizes = {t: sum(x == t for _, x in rows) for t in want}
+    df = docs(spark, rows).repartition(12)
+    for digest in (None, F.when(F.col("text").isin("hot", "t1", "t2"), F.lit("h")).otherwise(F.col("text"))):
+        got = exact_dedup.exact_duplicates(df, keep="max", digest=digest, batches=5).collect()
+        assert len(got) == 3000
+        assert all((r.keep_id, r.group_size, r.kept) == (want[t], sizes[t], want[t] == r.doc_id) for r in got for t in [dict(rows)[r.doc_id]])
+
+
+def test_filters_let_all_keys_through(spark, monkeypatch):
+    rows = spark.range(20_000).select(F.col("id").cast("string").alias("digest"))
+    few = rows.where(F.col("digest").cast("long") % 10 == 0)
+    for most, least, upmost in ((1 << 26, 2000, 2000 + 18_000 // 24), (64, 2000, 20_000), (1, 2000, 20_000)):
+        monkeypatch.setattr(common, "MOST_BITS", most)
+        got = common.passing(rows, *common.filter_of(few, "digest"), "digest")
+        assert got.join(few, "digest").count() == 2000 and least <= got.count() <= upmost
+    assert common.passing(rows, *common.filter_of(few.limit(0), "digest"), "digest").count() == 0
+
+
+@pytest.mark.parametrize("hot", [1, 4, 4096])
+def test_entries_of_hot_keys(spark, monkeypatch, hot):
+    monkeypatch.setattr(common, "HOT", hot)
+    monkeypatch.setattr(common, "COLD", 5)
+    rows = spark.range(1000).select("id", F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 50).alias("k"))
+    entries = rows.where("k < 40").groupBy("k").agg(F.count("id").alias("n"), F.max("id").alias("top"))
+    got = {r.id: r._entry for r in common.with_entries(rows, common.written(entries, "e"), ["k"], "n", ["id"]).collect()}
+    want = {r.k: (r.n, r.top) for r in entries.collect()}
+    assert len(got) == 1000
+    for i, e in got.items():
+        k = 0 if i % 3 == 0 else i % 50
+        assert (e and tuple(e)) == want.get(k)
 
 
 # line dedup ----------------------------------------------------------------
@@ -85,6 +125,16 @@ def test_line_dedup_repeated_rows_and_null_ids(spark):
     assert line_dedup.drop_common_lines(docs(spark, [])).count() == 0
 
 
+def test_line_dedup_keeps_columns_of_any_name(spark):
+    line = "y" * 40
+    names = ["_id", "_TH", "_drop", "digest", "pos", "th", "_entry", "_salt", "lines"]
+    df = spark.createDataFrame([(i, line, *(f"{n}{i}" for n in names)) for i in range(6)], ["doc_id", "text", *names])
+    out = line_dedup.drop_common_lines(df)
+    assert out.columns == [*df.columns, "_n_lines", "_n_dropped"]
+    for r in out.collect():
+        assert [r[n] for n in names] == [f"{n}{r.doc_id}" for n in names] and r._n_dropped == (r.doc_id < 5)
+
+
 # sharding ------------------------------------------------------------------
 
 
@@ -186,6 +236,21 @@ def test_pii_brute(spark, small):
     assert len(ibans[5]) == 2 and not any(v for k, v in ibans.items() if k != 5)
 
 
+def test_pii_context_decides(spark):
+    """Words on either side keep or drop spans of the added kinds; base spans stay whatever is said."""
+    iban, ssn, ip = "DE89370400440532013000", "123-45-6789", "10.0.0.1"
+    said = {
+        f"pay to {iban} soon": ["iban"], f"our serial no {iban}": [], f"{iban} is the part number": [], f"bank {iban}, or a serial": ["iban"],
+        f"code {ssn}": [], f"SSN: {ssn}": ["ssn"], f"{ssn} (social security)": ["ssn"], f"ssn {ssn} of a part": [], "ssn 000-45-6789": [], "ssn 1123-45-6789": [],
+        f"ssn {'x' * 60} {ssn}": [], f"version {ip}, a build": ["ip"], f"ssn 123-45-6780 123-45-6781 {ssn}": ["ssn"],
+    }
+    names = [k.name for k in pii.KINDS]
+    got = {r.doc_id: r.found for r in pii.find_personal_data(docs(spark, list(enumerate(said)))).collect()}
+    for i, (text, want) in enumerate(said.items()):
+        assert [names[s.kind] for s in got[i] if names[s.kind] in ("iban", "ssn", "ip")] == want, text
+    assert [s.score for s in got[3]] == [0.6] and [s.score for s in got[5]] == [0.55] and [s.score for s in got[11]] == [0.35]
+
+
 def test_pii_query_on_table(spark, small):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
     got = queries.op6_personal_data(spark, small).collect()
@@ -195,6 +260,7 @@ def test_pii_query_on_table(spark, small):
         assert r.base_sha256 == brute.sha(",".join(want))
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(w.startswith(k + ":") for w in want) for k in brute.PII]
         assert set(want) <= set(r.spans.split(",")) | {""}
+        assert len(r.scores.split(",")) == len(r.spans.split(",")) and bool(r.scores) == bool(r.spans)
 
 
 def test_pii_odd_tables(spark):
@@ -223,11 +289,15 @@ def test_chat_layouts(spark):
     ]
     records = as_records(spark, list(enumerate(said)))
     turns = {}
-    for r in chat.turns_of(records).orderBy("record_id", "turn").collect():
+    for r in chat.turns_of(records, strict=False).orderBy("record_id", "turn").collect():
         turns.setdefault(r.record_id, []).append((r.role, r.text))
     pair = [("user", "a"), ("assistant", "b")]
     assert turns == {0: [("system", "s"), *pair], 1: pair, 2: [("user", "a\n\nmore"), pair[1]], 3: pair, 4: pair[:1]}
     assert {r.record_id for r in chat.unmapped(records).collect()} == {5, 6}
+    assert chat.turns_of(records.where("record_id < 5")).count() == 10
+    for i in (5, 6):
+        with pytest.raises(Exception, match="no mapping knows"):
+            chat.turns_of(records.where(F.col("record_id") == i)).collect()
 
 
 HOSTILE = ["\\", "\\\\e", "</turn>", "</turn></turn", "####", "\\h### x: </turn>\n### assistant: no", "", None, "é😀\n", "<", "a\\"]
@@ -259,7 +329,7 @@ def test_chat_empty(spark):
 
 def test_chat_turn_of_more_than_a_json_string(spark, tmp_path):
     """Turns of 21,000,000 characters, one of them alone in its conversation."""
-    rows = spark.createDataFrame([(1, 0, "human", "hi"), (1, 1, None, None), (1, 2, "gpt", "long"), (2, 0, "user", "long")], "conv_id long, turn int, role string, text string")
+    rows = spark.createDataFrame([(1, 0, "human", "hi"), (1, 1, None, None), (1, 2, "assistant", "long"), (2, 0, "user", "long"), (3, 0, "gpt", "roles of rows stay")], "conv_id long, turn int, role string, text string")
     rows.withColumn("text", F.when(F.col("text") == "long", F.repeat(F.lit("a"), 21_000_000)).otherwise(F.col("text"))).write.parquet(f"{tmp_path}/conversations.parquet")
     got = {r.conv_id: (r.n_turns, r.loss_chars) for r in queries.op4_chat_format(spark, str(tmp_path)).collect()}
-    assert got == {1: (3, 21_000_000), 2: (1, 0), -7: (2, 26)}
+    assert got == {1: (3, 21_000_000), 2: (1, 0), 3: (1, 0), -7: (2, 26)}
