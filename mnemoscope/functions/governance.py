@@ -86,11 +86,11 @@ def route(percent: Column) -> Column:
 
 
 #: States that may follow one another.
-MODEL_MOVES = {"proposed": ("canary",), "canary": ("active",), "active": ("retiring",), "retiring": ("retired",)}
+MODEL_MOVES = {"proposed": ("canary", "retired"), "canary": ("active", "retired"), "active": ("retiring",), "retiring": ("retired",)}
 INDEX_MOVES = {
     "proposed": ("shadow_building", "aborted"),
     "shadow_building": ("dual_serve", "aborted"),
-    "dual_serve": ("cutover", "aborted"),
+    "dual_serve": ("dual_serve", "cutover", "aborted"),
     "cutover": ("cleanup", "aborted"),
     "cleanup": ("done",),
 }

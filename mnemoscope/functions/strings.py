@@ -1,6 +1,7 @@
 """Scalars over texts: slugs, tokens, trigrams, templates, hashes."""
 
-from collections.abc import Mapping
+import re
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -27,6 +28,18 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^a-z0-9_]+", -1), lambda x: x != "")
 
 
+def token_count(lowered: Column) -> Column:
+    """How many tokens a lower-cased text has."""
+    return F.regexp_count(lowered, F.lit("[a-z0-9_]+"))
+
+
+def word_count(lowered: Column, words: Sequence[str]) -> Column:
+    """How often words stand in sequence among the tokens of a lower-cased text; nothing else than tokens is found."""
+    if not all(re.fullmatch("[a-z0-9_]+", w) for w in words):
+        return F.lit(0)
+    return F.regexp_count(lowered, F.lit(f"(?<![a-z0-9_]){'[^a-z0-9_]+'.join(words)}(?![a-z0-9_])"))
+
+
 def trigrams(text: Column) -> Column:
     """Distinct trigrams of every word, padded by two blanks before and one behind."""
     padded = F.transform(tokens(text), lambda w: F.concat(F.lit("  "), w, F.lit(" ")))

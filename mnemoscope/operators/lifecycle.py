@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,12 +12,12 @@ from mnemoscope.functions import temporal as T
 #: Default weights of evidence categories.
 WEIGHTS = {
     "supporting_facts": 0.20,
-    "source_diversity": 0.15,
     "claim_consistency": 0.15,
-    "recency": 0.10,
-    "verification": 0.15,
-    "provenance": 0.15,
-    "feedback": 0.10,
+    "source_diversity": 0.15,
+    "inference": 0.10,
+    "temporal_coherence": 0.15,
+    "contradiction_status": 0.15,
+    "staleness_status": 0.10,
 }
 
 
@@ -24,14 +26,30 @@ def at_time(text: str) -> Column:
 
 
 def as_of(facts: DataFrame, at: Column, active_only: bool = True) -> DataFrame:
-    """Facts valid at a time; as the reference has it, superseded ones stay hidden unless asked for."""
+    """Facts, memories or episodes valid at a time, and recorded then (recorded_from, recorded_to, if there are such columns).
+
+    As the model has it, superseded ones stay hidden unless asked for.
+    """
     found = facts.where(T.valid_at(F.col("valid_from"), F.col("valid_to"), at))
+    if "recorded_from" in facts.columns:
+        found = found.where((F.col("recorded_from") <= at) & (F.col("recorded_to").isNull() | (F.col("recorded_to") > at)))
     return found.where(F.col("lifecycle_state") == "active") if active_only else found
 
 
-def overlapping(facts: DataFrame) -> DataFrame:
-    """Facts of a subject that begin before an earlier one ends: one look back per fact instead of a self-join."""
-    own = Window.partitionBy("subject_id").orderBy("valid_from", "fact_id")
+def current(objects: DataFrame, at: Column | None = None) -> DataFrame:
+    """Active objects whose window holds the time (now): begun, and not ended."""
+    at = F.current_timestamp() if at is None else at
+    return objects.where(T.valid_at(F.col("valid_from"), F.col("valid_to"), at) & (F.col("lifecycle_state") == "active"))
+
+
+def edges_as_of(edges: DataFrame, at: Column) -> DataFrame:
+    """Relationship edges whose window (valid_from, valid_to) holds a time."""
+    return edges.where(T.valid_at(F.col("valid_from"), F.col("valid_to"), at))
+
+
+def overlapping(facts: DataFrame, by: Sequence[str] = ("subject_id",)) -> DataFrame:
+    """Facts that begin before an earlier one of the same ``by`` ends: one look back per fact instead of a self-join."""
+    own = Window.partitionBy(*by).orderBy("valid_from", "fact_id")
     open_end = at_time("9999-12-31")
     before = F.max(F.coalesce("valid_to", open_end)).over(own.rowsBetween(Window.unboundedPreceding, -1))
     return facts.withColumn("busy_until", before).where(F.col("busy_until") > F.col("valid_from"))
@@ -63,11 +81,37 @@ def corrected(facts: DataFrame, corrections: DataFrame, at: Column) -> DataFrame
     return rest.unionByName(closed.select(*facts.columns)).unionByName(successor.select(*facts.columns))
 
 
+def correction_faults(facts: DataFrame, corrections: DataFrame) -> DataFrame:
+    """(fact_id, reason) of corrections that the rules refuse: unknown facts, and facts that aren't active."""
+    state = facts.select("fact_id", F.col("lifecycle_state").alias("_state"))
+    found = corrections.select("fact_id").join(state, "fact_id", "left")
+    reason = F.when(F.col("_state").isNull(), "unknown fact").when(F.col("_state") == "superseded", "already superseded").when(F.col("_state") != "active", "not active")
+    return found.select("fact_id", reason.alias("reason")).where("reason is not null")
+
+
+def supersession_edges(corrections: DataFrame, kind: str = "correction") -> DataFrame:
+    """(predecessor_id, successor_id, supersession_kind, reason) of corrections or retractions; the latter have no successor."""
+    successor = F.col("new_fact_id") if "new_fact_id" in corrections.columns else F.lit(None).cast("long")
+    reason = F.col("reason") if "reason" in corrections.columns else F.lit(None).cast("string")
+    return corrections.select(F.col("fact_id").alias("predecessor_id"), successor.alias("successor_id"), F.lit(kind).alias("supersession_kind"), reason.alias("reason"))
+
+
 def retracted(facts: DataFrame, retractions: DataFrame, at: Column) -> DataFrame:
-    """A new snapshot in which facts of (fact_id, reason) are retired; a reason is required."""
-    hit = facts.join(retractions.where(F.length(F.trim("reason")) > 0).select("fact_id"), "fact_id", "left_semi")
-    retired = hit.withColumns({"valid_to": T.closed(F.col("valid_to"), at), "lifecycle_state": F.lit("retired")})
-    return facts.join(hit.select("fact_id"), "fact_id", "left_anti").unionByName(retired)
+    """A new snapshot in which facts of (fact_id, reason) are retired; a retraction without a reason raises an error."""
+    given = F.length(F.trim(F.coalesce("reason", F.lit("")))) > 0
+    checked = retractions.select(F.when(given, F.col("fact_id")).otherwise(F.raise_error(F.lit("a retraction needs a reason")).cast("long")).alias("fact_id")).distinct()
+    hit = facts.join(checked.withColumn("_hit", F.lit(True)), "fact_id", "left")
+    closed = {"valid_to": T.closed(F.col("valid_to"), at), "lifecycle_state": F.lit("retired")}
+    if "superseded_at" in facts.columns:
+        closed["superseded_at"] = at
+    return hit.select(*(F.when(F.col("_hit"), closed[c]).otherwise(F.col(c)).alias(c) if c in closed else F.col(c) for c in facts.columns))
+
+
+def reopened(facts: DataFrame, ids: DataFrame) -> DataFrame:
+    """A new snapshot in which the windows of ``ids`` (fact_id) are open again and their facts active."""
+    hit = facts.join(ids.select("fact_id").distinct().withColumn("_hit", F.lit(True)), "fact_id", "left")
+    opened = {"valid_to": F.lit(None).cast("timestamp"), "lifecycle_state": F.lit("active")}
+    return hit.select(*(F.when(F.col("_hit"), opened[c]).otherwise(F.col(c)).alias(c) if c in opened else F.col(c) for c in facts.columns))
 
 
 MODES = ("current_valid", "historical", "as_of_transaction_time", "full_bitemporal")
@@ -154,6 +198,12 @@ def cost_rollup(calls: DataFrame) -> DataFrame:
     )
 
 
+def usage(calls: DataFrame, start: Column, end: Column, by: Sequence[str] = ("account",)) -> DataFrame:
+    """Calls and tokens of each scope (account, kind, ...) in a time span [start, end)."""
+    span = calls.where((F.col("at") >= start) & (F.col("at") < end))
+    return span.groupBy(*by).agg(F.count(F.lit(1)).alias("n_calls"), F.sum(F.col("tokens_in") + F.col("tokens_out")).alias("tokens"))
+
+
 def over_budget(usage: DataFrame, policies: DataFrame) -> DataFrame:
     """The first policy (scope_order, account, budget) that each account's usage (account, used) reaches."""
     own = Window.partitionBy("account").orderBy("scope_order", "budget")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,6 +30,19 @@ def negotiated(models: DataFrame, least_context: int, gpu: bool | None = None) -
     return able.orderBy(F.desc("gpu"), F.desc_nulls_last("speed"), "model_id")
 
 
+def advanced_model(models: DataFrame, model_id: int, to: str) -> DataFrame:
+    """Models (model_id, kind, state) with one in a new state; one that becomes active sends the active one of its kind into retirement."""
+    from mnemoscope.functions.governance import MODEL_MOVES, advanced
+
+    found = models.where(F.col("model_id") == model_id).select("kind", "state").first()
+    if found is None:
+        raise ValueError(f"unknown model {model_id}")
+    state = F.when(F.col("model_id") == model_id, advanced(found.state, to, MODEL_MOVES))
+    if to == "active":
+        state = state.when((F.col("kind") == found.kind) & (F.col("state") == "active"), "retiring")
+    return models.withColumn("state", state.otherwise(F.col("state")))
+
+
 def phrase_lookup(phrases: DataFrame, verbs: DataFrame) -> DataFrame:
     """Each phrase's verb (verb_id, canonical, aliases, phrases): canonical name, then alias, then search phrase."""
     names = (
@@ -67,12 +80,43 @@ def applicable(environment: Column, stack: Column, at: Column, rule: Column) ->
     )
 
 
+def _holds(value: Column, wanted: object) -> Column:
+    """Whether a variant contains a JSON value: objects field by field, arrays some element for each, scalars by type and value."""
+    kind = F.schema_of_variant(value)
+    if isinstance(wanted, Mapping):
+        out = F.startswith(kind, F.lit("OBJECT"))
+        for name, inner in wanted.items():
+            out = out & _holds(F.try_variant_get(value, f"$['{name}']", "variant"), inner)
+    elif isinstance(wanted, (list, tuple)):
+        items = F.try_variant_get(value, "$", "array<variant>")
+        out = F.startswith(kind, F.lit("ARRAY"))
+        for inner in wanted:
+            out = out & F.exists(items, _holder(inner))
+    elif isinstance(wanted, bool):
+        out = (kind == "BOOLEAN") & (F.try_variant_get(value, "$", "boolean") == F.lit(wanted))
+    elif isinstance(wanted, (int, float)):
+        out = F.rlike(kind, F.lit("^(BIGINT|DECIMAL|DOUBLE|FLOAT|INT)")) & (F.try_variant_get(value, "$", "double") == F.lit(float(wanted)))
+    elif wanted is None:
+        out = kind == "VOID"
+    else:
+        out = (kind == "STRING") & (F.try_variant_get(value, "$", "string") == F.lit(str(wanted)))
+    return F.coalesce(out, F.lit(False))
+
+
+def _holder(wanted: object) -> Callable[[Column], Column]:
+    return lambda x: _holds(x, wanted)
+
+
 def contains_fields(payload: Column, wanted: Mapping[str, object]) -> Column:
-    """Whether JSON texts hold the given values at dotted paths."""
-    out = F.lit(True)
+    """Whether JSON texts contain a JSON object, types included ("7" isn't 7); a dotted name is a path."""
+    nested: dict = {}
     for path, value in wanted.items():
-        out = out & F.coalesce(F.get_json_object(payload, f"$.{path}") == F.lit(str(value)), F.lit(False))
-    return out
+        *above, last = path.split(".")
+        at = nested
+        for name in above:
+            at = at.setdefault(name, {})
+        at[last] = value
+    return _holds(F.try_parse_json(payload), nested)
 
 
 def typed_attributes(attributes: DataFrame) -> DataFrame:

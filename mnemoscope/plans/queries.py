@@ -11,7 +11,7 @@ from mnemoscope.functions import governance as G
 from mnemoscope.functions import strings as S
 from mnemoscope.functions import temporal as T
 from mnemoscope.functions import vectors as VF
-from mnemoscope.operators import graph, lifecycle, logs, records, text, vectors
+from mnemoscope.operators import graph, lifecycle, logs, records, retrieval, text, vectors
 from mnemoscope.sources import ingest
 from mnemoscope.sources.catalog import Catalog
 
@@ -57,27 +57,27 @@ SELECT chunk_id, compartment_id, distance, row_number() OVER (ORDER BY distance,
 
 @query(_topk_sql(COSINE))
 def vector_exact_cosine(c):
-    return vectors.exact_topk(c.chunks(), probe(), 10, "cosine")
+    return vectors.exact_topk(c.chunks(), probe(), 10, "cosine").drop("similarity")
 
 
 @query(_topk_sql(L2))
 def vector_exact_l2(c):
-    return vectors.exact_topk(c.chunks(), probe(), 10, "l2")
+    return vectors.exact_topk(c.chunks(), probe(), 10, "l2").drop("similarity")
 
 
 @query(_topk_sql(f"round(-{DOT}, 6)"))
 def vector_exact_ip(c):
-    return vectors.exact_topk(c.chunks(), probe(), 10, "ip")
+    return vectors.exact_topk(c.chunks(), probe(), 10, "ip").drop("similarity")
 
 
 @query(_topk_sql(COSINE, "WHERE compartment_id IN (1, 3, 5)"))
 def vector_tag_search(c):
-    return vectors.tag_search(c.chunks(), probe(), 10, [1, 3, 5])
+    return vectors.tag_search(c.chunks(), probe(), 10, [1, 3, 5]).drop("similarity")
 
 
 @query(_topk_sql(COSINE, "WHERE chunk_id % 17 <> 0"))
 def vector_tombstone_anti(c):
-    return vectors.exact_topk(vectors.without_tombstones(c.chunks(), c.tombstones()), probe(), 10)
+    return vectors.exact_topk(vectors.without_tombstones(c.chunks(), c.tombstones()), probe(), 10).drop("similarity")
 
 
 @query(f"""
@@ -130,7 +130,72 @@ def semantic_mutual_edges(c):
 
 @query()
 def ann_search(c):
-    return vectors.CellIndex(c.chunks()).search(PROBE, 10)
+    return vectors.CellIndex(c.chunks()).search(PROBE, 10).drop("similarity")
+
+
+UNIT_Q = "(SELECT list_transform(q, lambda x: x / sqrt(list_sum(list_transform(q, lambda y: y * y)))) AS q FROM (SELECT list(1.0 / (i + 1) ORDER BY i) AS q FROM range(64) t(i)))"
+
+
+@query(f"""
+SELECT chunk_id, compartment_id, distance, round(-distance, 6) AS similarity, row_number() OVER (ORDER BY distance, chunk_id) AS rank_no FROM (
+  SELECT chunk_id, compartment_id, {L2} AS distance FROM {CHUNKS} c, {UNIT_Q} p
+  WHERE compartment_id < 5 AND chunk_id % 7 <> 0 ORDER BY distance, chunk_id LIMIT 20)""")
+def vector_nulls_and_sizes(c):
+    """Chunks without a vector are passed over; those of another size stand in compartments that aren't searched."""
+    vector = F.when(F.col("chunk_id") % 7 == 0, F.lit(None)).when(F.col("compartment_id") >= 5, F.slice("embedding", 1, 3)).otherwise(F.col("embedding"))
+    own = c.chunks().where("compartment_id < 5").withColumn("embedding", vector)
+    return vectors.exact_topk(own, vectors.query_vector(vectors.unit(PROBE)), 20, "l2")
+
+
+TAGGED = f"""(SELECT chunk_id, chunk_id * 10 AS statement_id, chunk_id AS document_id, {COSINE} AS distance, compartment_id,
+  'subject ' || (compartment_id % 3) AS subject_name, 'verb ' || (compartment_id % 2) AS verb_name
+  FROM {CHUNKS} c, {Q} p WHERE compartment_id < 8 AND compartment_id % 3 = 1 AND compartment_id % 2 = 0)"""
+
+
+@query(f"""
+WITH r AS (SELECT *, row_number() OVER (ORDER BY distance, compartment_id, chunk_id) AS rank_no FROM {TAGGED} t)
+SELECT chunk_id, statement_id, r.document_id, distance, round(1 - distance, 6) AS similarity, rank_no, subject_name, verb_name
+FROM r LEFT JOIN documents d ON d.doc_id = r.document_id
+WHERE rank_no <= 30 AND coalesce(CASE d.lang WHEN 'en' THEN 0 WHEN 'de' THEN 1 WHEN 'fr' THEN 2 ELSE CASE WHEN d.doc_id IS NULL THEN 0 ELSE 3 END END, 0) <= 1""")
+def memory_search(c):
+    chunks = c.chunks().withColumns({"statement_id": F.col("chunk_id") * 10, "document_id": F.col("chunk_id")})
+    level = F.when(F.col("lang") == "en", 0).when(F.col("lang") == "de", 1).when(F.col("lang") == "fr", 2).otherwise(3)
+    levels = c.documents.select(F.col("doc_id").alias("document_id"), level.alias("level"))
+    return vectors.memory_search(chunks, c.compartments(), probe(), 30, subject="subject 1", verb="verb 0", sensitivities=levels, ceiling=1)
+
+
+@query("SELECT DISTINCT label AS compartment_id, 'subject ' || (label % 3) AS subject_name, 'verb ' || (label % 2) AS verb_name FROM embeddings WHERE label < 8 AND label % 2 = 1")
+def vector_tag_resolution(c):
+    return vectors.tagged(c.compartments(), "default", verb="verb 1")
+
+
+CARD = "(SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id % 13 <> 0 AND vec_id % 11 <> 0)"
+
+
+@query(f"""
+SELECT CASE WHEN vec_id % 2 = 0 THEN 'subject' ELSE 'svpor_statement' END AS object_kind, vec_id AS object_id, round(1 - {COSINE}, 6) AS score
+FROM {CARD} c, {Q} p ORDER BY score DESC, object_kind, object_id LIMIT 25""")
+def semantic_search(c):
+    return vectors.semantic_search(c.cards(), PROBE, 25)
+
+
+@query(f"""
+SELECT 'subject' AS neighbor_kind, vec_id AS neighbor_id, similarity FROM (
+  SELECT c.vec_id, round(1 - {COSINE}, 6) AS similarity FROM {CARD} c, (SELECT e AS q FROM {CARD} x WHERE vec_id = 2) p WHERE vec_id <> 2 AND vec_id % 2 = 0)
+WHERE similarity >= 0.05 ORDER BY similarity DESC, neighbor_id LIMIT 12""")
+def uedge_semantic_neighbors(c):
+    return vectors.semantic_neighbors(c.cards(), "subject", 2, 12, 0.05)
+
+
+@query(f"""WITH k AS {KNN}, n AS (SELECT least(source_id, target_id) AS source_id, greatest(source_id, target_id) AS target_id, max(similarity) AS similarity FROM k GROUP BY 1, 2)
+SELECT n.source_id + CASE WHEN n.source_id % 4 = 0 THEN n.target_id - n.source_id ELSE 0 END AS source_id,
+       n.target_id - CASE WHEN n.source_id % 4 = 0 THEN n.target_id - n.source_id ELSE 0 END AS target_id, n.similarity FROM n""")
+def semantic_edges_refresh(c):
+    """Edges of every fourth source stand already, the other way round and with an old similarity."""
+    found = vectors.knn_edges(c.chunks(), 5, 0.1)
+    low, high = F.least("source_id", "target_id"), F.greatest("source_id", "target_id")
+    old = found.select(high.alias("source_id"), low.alias("target_id"), F.lit(0.0).alias("similarity")).distinct().where("target_id % 4 = 0")
+    return vectors.refreshed_edges(old, found)
 
 
 # Graph.
@@ -182,6 +247,21 @@ def graph_path(c):
     return graph.paths(c.edges(), "order:1", "region:1", 4, "out")
 
 
+@query(WALK + "SELECT depth, node, rel, path FROM w ORDER BY path, rel LIMIT 60")
+def graph_walk_dfs(c):
+    return graph.ordered(graph.walk(c.edges(), "order:1", 4, "out"), "dfs").limit(60)
+
+
+@query(f"""
+WITH n AS ({NEAR['out']} UNION {NEAR['in']}), l AS (
+  SELECT 'customer:' || c_custkey AS node, c_name AS label FROM customer UNION ALL SELECT 'nation:' || n_nationkey, n_name FROM nation)
+SELECT rel, n.node, coalesce(label, n.node) AS label FROM n LEFT JOIN l ON n.node = l.node WHERE NOT starts_with(n.node, 'order') OR rel = 'placed_by'""")
+def uedge_neighbors(c):
+    """Labels where a node has one; an edge of the semantic store is held back."""
+    guess = c.nation.select(F.lit("semantic").alias("edge_store"), F.col("n_nationkey").cast("long").alias("edge_id"), F.lit("customer").alias("source_kind"), F.lit(7).cast("long").alias("source_id"), F.lit("like").alias("rel"), F.lit("nation").alias("target_kind"), F.col("n_nationkey").cast("long").alias("target_id"))
+    return graph.unified_neighbors(c.edges().unionByName(guess), c.labels_of(), "customer:7")
+
+
 @query(f"""
 WITH RECURSIVE arcs AS (SELECT s, t FROM {EDGES} e WHERE rel <> 'contains' UNION SELECT t, s FROM {EDGES} e WHERE rel <> 'contains'), w AS (
   SELECT 'nation:3' AS node, 0 AS depth UNION SELECT a.t, w.depth + 1 FROM w JOIN arcs a ON a.s = w.node WHERE w.depth < 2)
@@ -206,14 +286,10 @@ n AS (SELECT least(ca, cb) AS low, greatest(ca, cb) AS high, count(*) AS pair_co
 SELECT source, target, low, high, pair_count FROM x JOIN n ON least(ca, cb) = low AND greatest(ca, cb) = high
 WHERE ca <> cb ORDER BY pair_count, source, target LIMIT 50""")
 def uedge_surprises(c):
-    links = c.orders.select(F.concat(F.lit("o"), F.col("o_orderkey")).alias("source"), F.concat(F.lit("c"), F.col("o_custkey")).alias("target"), "o_orderkey", "o_custkey")
-    members = c.orders.select(F.concat(F.lit("o"), F.col("o_orderkey")).alias("member"), F.col("o_orderpriority").alias("community")).unionByName(
-        c.customer.select(F.concat(F.lit("c"), F.col("c_custkey")).alias("member"), F.col("c_mktsegment").alias("community"))
-    )
-    links = links.select("source", "target")
-    # Names order as text; the report orders by number, so the limit follows the numbers.
-    found = graph.surprises(links, members, 2**31 - 1)
-    return found.select(F.substring("source", 2, 20).cast("long").alias("source"), F.substring("target", 2, 20).cast("long").alias("target"), "low", "high", "pair_count").orderBy("pair_count", "source", "target").limit(50)
+    links = c.orders.select(F.col("o_orderkey").alias("source"), F.col("o_custkey").alias("target"))
+    sources = c.orders.select(F.col("o_orderkey").alias("member"), F.col("o_orderpriority").alias("community"))
+    targets = c.customer.select(F.col("c_custkey").alias("member"), F.col("c_mktsegment").alias("community"))
+    return graph.surprises(links, sources, targets, 50)
 
 
 TREE = """(
@@ -261,10 +337,23 @@ def staleness_fanout(c):
     return graph.stale(c.edges(), "supplier:3")
 
 
-@query()
+@query("""
+WITH c AS (SELECT c_nationkey, string_agg('{"node":"customer:' || c_custkey || '","children":[]}', ',' ORDER BY c_custkey) AS inner_ FROM customer GROUP BY c_nationkey),
+n AS (SELECT string_agg('{"node":"nation:' || n_nationkey || '","children":[' || coalesce(inner_, '') || ']}', ',' ORDER BY n_nationkey) AS inner_
+      FROM nation LEFT JOIN c ON c_nationkey = n_nationkey WHERE n_regionkey = 2)
+SELECT '{"node":"region:2","children":[' || inner_ || ']}' AS subtree FROM n""")
+def tree_subtree(c):
+    return graph.subtree_json(c.tree(), "region:2", 2)
+
+
+@query(f"""
+WITH RECURSIVE tree AS (SELECT *, {' + '.join(f"contains(node, '{w}')::INT" for w in ('region:2', 'nation', '7', 'customer', '4', 'order', '3'))} AS score FROM {TREE} t),
+best AS (SELECT parent, node FROM (SELECT *, row_number() OVER (PARTITION BY parent ORDER BY score DESC, ordinal) AS n FROM tree) WHERE n = 1),
+top AS (SELECT node FROM tree WHERE parent IS NULL ORDER BY ordinal LIMIT 1), w AS (SELECT 0 AS depth, node FROM top
+      UNION ALL SELECT w.depth + 1, b.node FROM w JOIN best b ON b.parent = w.node WHERE w.depth < 4)
+SELECT depth, node FROM w""")
 def tree_descent(c):
-    nodes = c.tree().withColumn("title", F.col("node"))
-    return graph.descend(c.tree(), text.overlap_scores(nodes, "region:2 nation 7 customer 4 order 3"), 4)
+    return graph.descend(c.tree(), text.overlap_score(F.col("node"), "region:2 nation 7 customer 4 order 3"), 4)
 
 
 # Time, confidence, retention, cost.
@@ -290,7 +379,7 @@ def fact_history_as_of(c):
 
 @query(f"SELECT fact_id, subject_id FROM {FACTS} f WHERE valid_to IS NULL AND lifecycle_state = 'active'")
 def current_facts(c):
-    return c.facts().where(F.col("valid_to").isNull() & (F.col("lifecycle_state") == "active")).select("fact_id", "subject_id")
+    return lifecycle.current(c.facts().where("valid_to is null")).select("fact_id", "subject_id")
 
 
 @query("""
@@ -399,8 +488,7 @@ def _calls(c):
 SELECT user_id AS account, count(*) AS n_calls, sum(floor(value)::BIGINT + floor(value / 2)::BIGINT) AS tokens FROM events
 WHERE ts >= TIMESTAMP '2024-01-15' AND ts < TIMESTAMP '2024-01-16' GROUP BY user_id""")
 def usage_today(c):
-    day = _calls(c).where((F.col("at") >= lifecycle.at_time("2024-01-15")) & (F.col("at") < lifecycle.at_time("2024-01-16")))
-    return day.groupBy("account").agg(F.count(F.lit(1)).alias("n_calls"), F.sum(F.col("tokens_in") + F.col("tokens_out")).alias("tokens"))
+    return lifecycle.usage(_calls(c), lifecycle.at_time("2024-01-15"), lifecycle.at_time("2024-01-16"))
 
 
 @query("""
@@ -615,13 +703,16 @@ def fuzzy_match(c):
 
 
 @query("""
-SELECT DISTINCT text_id, kind, cue, CASE kind WHEN 'known' THEN 1.5 WHEN 'time' THEN 0.5 ELSE 1.0 END::DOUBLE AS weight FROM (
-  SELECT p_partkey AS text_id, CASE WHEN w IN ('red', 'ring') THEN 'known' WHEN w = 'last' THEN 'time' ELSE 'term' END AS kind, w AS cue
-  FROM (SELECT p_partkey, unnest(string_split(p_name || ' last ' || lower(p_type), ' ')) AS w FROM part)
-  UNION ALL SELECT p_partkey, 'phrase', lower(p_brand) FROM part)""".replace("ELSE 1.0 END", "WHEN 'phrase' THEN 2.0 ELSE 1.0 END"))
+WITH t AS (SELECT p_partkey AS text_id, p_brand, list_filter(string_split_regex(lower(p_name || ',  ' || p_type || '  before noon!'), '[\\s,;:!?]+'), lambda x: x <> '') AS w FROM part),
+k AS (SELECT text_id, generate_subscripts(w, 1) + 1 AS nth, unnest(w) AS cue_text FROM t)
+SELECT text_id, 0 AS nth, 'phrase' AS cue_kind, p_brand AS cue_text, NULL::BIGINT AS resolved_id, 2.0::DOUBLE AS weight FROM t UNION ALL
+SELECT text_id, 1, 'time_marker', 'As of 2024-01-01T10:00Z', NULL, 0.5 FROM t UNION ALL
+SELECT text_id, nth, CASE WHEN cue_text IN ('red', 'ring') THEN 'subject' WHEN cue_text = 'economy' THEN 'verb' WHEN cue_text = 'noon' THEN 'predicate' ELSE 'term' END, cue_text,
+  CASE cue_text WHEN 'red' THEN 1 WHEN 'ring' THEN 3 WHEN 'economy' THEN 5 WHEN 'noon' THEN 6 END,
+  CASE WHEN cue_text IN ('red', 'ring', 'economy', 'noon') THEN 1.5 ELSE 1.0 END FROM k""")
 def extract_cues(c):
-    said = F.concat("p_name", F.lit(", last "), F.col("p_type"), F.lit(' "'), F.col("p_brand"), F.lit('"'))
-    return text.cues(c.part.select(F.col("p_partkey").alias("text_id"), said.alias("text")), ["red", "ring"])
+    said = F.concat("p_name", F.lit(", As of  2024-01-01T10:00Z "), "p_type", F.lit(' "'), "p_brand", F.lit('" before noon!'))
+    return retrieval.cues(c.part.select(F.col("p_partkey").alias("text_id"), said.alias("text")), c.governed().registry)
 
 
 @query("""
@@ -635,38 +726,101 @@ def note_search(c):
     return text.note_search(made, "the ring in economy", 100)
 
 
-@query(f"""
-WITH hits AS (
-  SELECT 'document' AS object_type, doc_id AS object_id, rank, 'fts' AS strategy FROM (SELECT doc_id, rank FROM {SEARCH} s ORDER BY rank DESC, doc_id LIMIT 50)
-  UNION ALL SELECT 'document', doc_id, 1.0, 'source_filter' FROM documents WHERE source = 'src3' AND doc_id < 400),
-best AS (SELECT *, row_number() OVER (PARTITION BY object_type, object_id ORDER BY rank DESC, strategy) AS n FROM hits)
-SELECT object_type, object_id, rank, strategy, coalesce(quality, 1)::DOUBLE AS confidence FROM best LEFT JOIN labels ON object_id = doc_id
-WHERE n = 1 AND object_id % 10 <> 0 AND coalesce(quality, 1) >= 0.5 ORDER BY rank DESC, object_type, object_id LIMIT 40""")
+OBJECTS = """(
+  SELECT 'claim' AS object_type, p_partkey::BIGINT AS object_id, p_name AS title, p_brand AS body FROM part UNION ALL
+  SELECT 'fact', o_orderkey, 'customer ' || o_custkey, 'order ' || o_orderkey || ' status ' || o_orderstatus FROM orders UNION ALL
+  SELECT 'memory', doc_id, source, text FROM documents UNION ALL
+  SELECT 'episode_object', n_nationkey, n_name, 'nation of region ' || n_regionkey FROM nation)"""
+
+
+def _fts_sql(words: tuple[str, ...]) -> str:
+    """All words, title weight 1.0, body 0.4, over the tokens of both."""
+
+    def n(field: str, w: str) -> str:
+        return f"len(list_filter({field}, lambda x: x = '{w}'))"
+
+    every = " AND ".join(f"{n('tw', w)} + {n('bw', w)} > 0" for w in words)
+    weight = " + ".join(f"1.0 * {n('tw', w)} + 0.4 * {n('bw', w)}" for w in words)
+    cut = WORDS.replace("lower(text)", "lower(coalesce({0}, ''))")
+    return f"""(SELECT object_type, object_id, title, substring(coalesce(body, ''), 1, 240) AS snippet, round(({weight}) / (len(tw) + len(bw)), 6)::DOUBLE AS rank, 'fts' AS strategy
+  FROM (SELECT *, {cut.format('title')} AS tw, {cut.format('body')} AS bw FROM {OBJECTS} o) WHERE {every} ORDER BY rank DESC, object_id, object_type LIMIT 50)"""
+
+
+def _retrieved_sql(hits: str, floor: float | None = None, limit: int = 40) -> str:
+    gate = f"AND (object_type <> 'memory' OR coalesce((SELECT max(quality) FROM labels WHERE doc_id = object_id), 1.0) >= {floor})" if floor is not None else ""
+    return f"""
+WITH hits AS ({hits}), best AS (SELECT *, row_number() OVER (PARTITION BY object_type, object_id ORDER BY rank DESC, strategy) AS n FROM hits)
+SELECT object_type, object_id, title, snippet, rank, strategy FROM best
+WHERE n = 1 AND NOT (object_type = 'memory' AND object_id % 10 = 0)
+  AND NOT (object_type = 'fact' AND object_id IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P')) {gate}
+ORDER BY rank DESC, object_type, object_id LIMIT {limit}"""
+
+
+@query(_retrieved_sql(f"""
+  SELECT * FROM {_fts_sql(('this', 'with'))} UNION ALL
+  SELECT 'claim', p_partkey, p_name, p_brand, 1.0, 'source_filter' FROM part WHERE p_size = 7""", 0.5))
 def retrieval_execute(c):
-    kind = F.lit("document").alias("object_type")
-    fts = text.text_search(c.documents, "this with", 50).select(kind, F.col("doc_id").alias("object_id"), "rank", F.lit("fts").alias("strategy"))
-    # The source strategy has a fixed rank; its list is cut at a document number because the SQL is; see the README.
-    own = c.documents.where("source = 'src3' AND doc_id < 400").select(kind, F.col("doc_id").alias("object_id"), F.lit(1.0).alias("rank"), F.lit("source_filter").alias("strategy"))
-    retired = c.documents.where("doc_id % 10 = 0").select(kind, F.col("doc_id").alias("object_id"))
-    sure = c.labels.select(kind, F.col("doc_id").alias("object_id"), F.col("quality").cast("double").alias("confidence"))
-    return text.assembled([fts, own], retired, sure, 0.5, 40)
+    """A source and a text under a floor of confidence; the floor alone would plan by confidence, so the intent is given."""
+    asked = retrieval.Envelope("this with", confidence_floor=0.5, hints={"source_package_id": 7, "intent_override": "by_source"})
+    return retrieval.execute(c.governed(), asked, limit=40)
 
 
-@query()
+@query(_retrieved_sql(f"""
+  SELECT * FROM {_fts_sql(('region', 'of'))} UNION ALL
+  SELECT 'fact', o_orderkey, 'customer ' || o_custkey, 'order ' || o_orderkey || ' status ' || o_orderstatus, 1.0, 'temporal_as_of' FROM orders
+  WHERE o_orderdate + INTERVAL 10 DAY <= {AT} AND o_orderdate + INTERVAL 90 DAY > {AT} UNION ALL
+  SELECT 'episode_object', n_nationkey, n_name, 'nation of region ' || n_regionkey, 1.0, 'temporal_as_of' FROM nation"""))
+def retrieval_temporal(c):
+    return retrieval.execute(c.governed(), retrieval.Envelope("region of", valid_as_of="1998-06-01"), limit=40)
+
+
+@query(_retrieved_sql(f"""
+  SELECT * FROM (SELECT object_type, object_id, subject AS title, NULL AS snippet, round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 6)::DOUBLE AS rank, 'fuzzy_subject' AS strategy
+    FROM (SELECT object_type, object_id, subject, {GRAMS.format('subject')} AS a, {GRAMS.format("'find small widget'")} AS b
+          FROM (SELECT object_type, object_id, title AS subject FROM {OBJECTS} o WHERE object_type IN ('claim', 'fact')))
+    ORDER BY rank DESC, subject, object_type, object_id LIMIT 50) WHERE rank >= 0.3 UNION ALL
+  SELECT * FROM {_fts_sql(('find', 'small', 'widget'))}"""))
+def retrieval_fuzzy(c):
+    return retrieval.execute(c.governed(), retrieval.Envelope("find small widget"), limit=40)
+
+
+@query(f"""
+SELECT object_type, object_id, rank FROM (
+  SELECT object_type, object_id, round((0.4 * (len(list_filter(bw, lambda x: x = 'this')) + len(list_filter(bw, lambda x: x = 'nation'))) + 1.0 * (len(list_filter(tw, lambda x: x = 'this')) + len(list_filter(tw, lambda x: x = 'nation')))
+      + 0.4 * len(regexp_extract_all(array_to_string(bw, ' ') || ' ', '\\bregion 2\\b'))) / (len(tw) + len(bw)), 6)::DOUBLE AS rank, tw, bw
+  FROM (SELECT *, {WORDS.replace('lower(text)', "lower(coalesce(title, ''))")} AS tw, {WORDS.replace('lower(text)', "lower(coalesce(body, ''))")} AS bw FROM {OBJECTS} o WHERE object_type IN ('memory', 'episode_object')))
+WHERE (list_contains(bw, 'this') AND NOT list_contains(bw, 'with') AND NOT list_contains(tw, 'with'))
+   OR (regexp_matches(array_to_string(bw, ' '), '\\bregion 2\\b') AND (list_contains(bw, 'nation') OR list_contains(tw, 'nation')))
+ORDER BY rank DESC, object_id, object_type LIMIT 60""")
+def text_search_web(c):
+    """A word without another, or a phrase with a word, over two types."""
+    m = c.governed()
+    every = m.table("memory").unionByName(m.table("episode_object")).select("object_type", "object_id", "title", "body")
+    found = text.web_search(every, 'this -with OR "region 2" nation')
+    return found.select("object_type", "object_id", "rank").orderBy(F.desc("rank"), "object_id", "object_type").limit(60)
+
+
+@query("""
+SELECT * FROM (VALUES (0, 'time_as_of', 'temporal_as_of,fts'), (1, 'by_confidence', 'confidence_floor,fts'), (2, 'by_source', 'source_filter,fts'),
+  (3, 'structured_doc_qa', 'tree_descent,fts'), (4, 'long_chat_recall', 'tree_descent'), (5, 'narrow', 'svpor_routing,fts,vector'), (6, 'recall', 'fuzzy_subject,fts'),
+  (7, 'broad', 'fts,vector,graph_walk'), (8, 'broad', 'vector,fts'), (9, 'recall', 'fts,fuzzy_subject'), (10, 'structured_doc_qa', 'tree_descent,fts')) t(query_id, intent, plan)""")
 def retrieval_intent(c):
-    asked = [
-        text.Envelope("what changed", as_of="1998-06-01"),
-        text.Envelope("ring", least_confidence=0.5),
-        text.Envelope("ring", source="src3"),
-        text.Envelope("ring", tree=1),
-        text.Envelope("ring", chat=1),
-        text.Envelope("ring", kinds=("fact",)),
-        text.Envelope("red ring", names=("red", "ring")),
-        text.Envelope("who bought it"),
-        text.Envelope("rings"),
+    known = c.governed().registry
+    asked: list[tuple[retrieval.Envelope, dict]] = [
+        (retrieval.Envelope("what changed", valid_as_of="1998-06-01", confidence_floor=0.5), {}),
+        (retrieval.Envelope("ring", confidence_floor=0.5), {}),
+        (retrieval.Envelope("ring", hints={"connector_id": 3}), {}),
+        (retrieval.Envelope("ring", hints={"tree_id": 1}), {}),
+        (retrieval.Envelope("ring", hints={"chat_index_tree_id": 1}), {}),
+        (retrieval.Envelope("Red economy bolts"), {}),
+        (retrieval.Envelope("  Show me bolts"), {}),
+        (retrieval.Envelope("rings of whatever"), {}),
+        (retrieval.Envelope("bolts"), {"force_path": ["vector"], "suppress_path": ["graph_walk"], "boost_weight": {"fts": 2.0}}),
+        (retrieval.Envelope("bolts"), {"intent_override": "recall", "force_path": ["fts", "absent"]}),
+        (retrieval.Envelope("bolts", object_types=("page_index_node",)), {}),
     ]
-    rows = [(i, text.intent(e), ",".join(text.planned(e, text.Hints(force=("fuzzy_subject",), suppress=("fts",))))) for i, e in enumerate(asked)]
-    return c.spark.createDataFrame(rows, "query_id int, intent string, plan string")
+    plans = [retrieval.planned(e, known, hints) for e, hints in asked]
+    return c.spark.createDataFrame([(i, p.intent, ",".join(p.strategies())) for i, p in enumerate(plans)], "query_id int, intent string, plan string")
 
 
 @query("""
@@ -909,5 +1063,66 @@ def chat_descent(c):
     topic = turns.groupBy("conv_id", "topic_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), " ").alias("title"))
     leaf = topic.select(F.concat_ws(":", F.lit("topic"), "conv_id", "topic_no").alias("node"), F.concat_ws(":", F.lit("chat"), "conv_id").alias("parent"), F.lit("topic").alias("kind"), F.col("topic_no").alias("ordinal"), "title")
     root = topic.select("conv_id").distinct().select(F.concat_ws(":", F.lit("chat"), "conv_id").alias("node"), F.lit(None).cast("string").alias("parent"), F.lit("chat").alias("kind"), F.col("conv_id").alias("ordinal"), F.lit("").alias("title"))
-    tree = leaf.unionByName(root)
-    return graph.descend(tree.drop("title"), text.overlap_scores(tree, "with this and for"), 2)
+    return graph.descend(leaf.unionByName(root), text.overlap_score(F.col("title"), "with this and for"), 2)
+
+
+@query(f"""
+SELECT fact_id, valid_to IS NULL OR valid_to > {AT} AS open FROM {FACTS} f
+WHERE {VALID} AND valid_from + INTERVAL 10 DAY <= {AT} AND (valid_to IS NULL OR valid_to + INTERVAL 40 DAY > {AT}) AND lifecycle_state = 'active'""")
+def fact_as_of_recorded(c):
+    """Valid and recorded at the time: facts are recorded ten days late."""
+    made = c.facts().withColumns({"recorded_from": F.col("valid_from") + F.expr("INTERVAL 10 DAYS"), "recorded_to": F.col("valid_to") + F.expr("INTERVAL 40 DAYS")})
+    return lifecycle.as_of(made, lifecycle.at_time("1998-06-01")).select("fact_id", F.coalesce(F.col("valid_to") > lifecycle.at_time("1998-06-01"), F.lit(True)).alias("open"))
+
+
+@query(f"""
+SELECT fact_id, CASE WHEN fact_id % 500 = 1 AND (valid_to IS NULL OR valid_to > {AT}) THEN {AT} ELSE valid_to END AS valid_to,
+       CASE WHEN fact_id % 500 = 1 THEN 'retired' ELSE lifecycle_state END AS lifecycle_state FROM {FACTS} f""")
+def retract_fact(c):
+    gone = c.facts().where("fact_id % 500 = 1").select("fact_id", F.lit("wrong").alias("reason"))
+    return lifecycle.retracted(c.facts(), gone, lifecycle.at_time("1998-06-01")).select("fact_id", "valid_to", "lifecycle_state")
+
+
+@query("""
+SELECT o_orderkey AS fact_id, CASE WHEN o_orderstatus = 'F' THEN 'already superseded' END AS reason FROM orders WHERE o_orderkey % 100 = 0 AND o_orderstatus = 'F'
+UNION ALL SELECT -5, 'unknown fact'""")
+def correction_faults(c):
+    asked = c.facts().where("fact_id % 100 = 0").select("fact_id").unionByName(c.spark.createDataFrame([(-5,)], "fact_id long"))
+    return lifecycle.correction_faults(c.facts(), asked)
+
+
+@query("""
+SELECT o_orderkey AS predecessor_id, o_orderkey + 100000000 AS successor_id, 'correction' AS supersession_kind, 'typo' AS reason FROM orders WHERE o_orderkey % 1000 = 0 UNION ALL
+SELECT o_orderkey, NULL, 'retraction', 'wrong' FROM orders WHERE o_orderkey % 500 = 1""")
+def supersession_edges(c):
+    fixes = c.facts().where("fact_id % 1000 = 0").select("fact_id", (F.col("fact_id") + 100_000_000).alias("new_fact_id"), F.lit("typo").alias("reason"))
+    gone = c.facts().where("fact_id % 500 = 1").select("fact_id", F.lit("wrong").alias("reason"))
+    return lifecycle.supersession_edges(fixes).unionByName(lifecycle.supersession_edges(gone, "retraction"))
+
+
+@query("""
+SELECT event_id, event_id % 4 = 0 AS same_number, event_id % 4 = 1 AS same_text, event_id % 4 = 2 AS same_flag, event_id % 4 = 3 AS in_array FROM events""")
+def json_containment_typed(c):
+    """A number, its text, a flag and an array of objects, told apart by type."""
+    made = [F.lit('{"a":{"k":7,"x":null}}'), F.lit('{"a":{"k":"7"}}'), F.lit('{"a":{"k":true}}'), F.lit('{"a":[{"k":1},{"k":7,"z":[2]}]}')]
+    said = F.element_at(F.array(*made), (F.col("event_id") % 4 + 1).cast("int"))
+    wanted = ({"a.k": 7}, {"a": {"k": "7"}}, {"a": {"k": True}}, {"a": [{"k": 7}]})
+    return c.events.select("event_id", *(records.contains_fields(said, w).alias(n) for n, w in zip(("same_number", "same_text", "same_flag", "in_array"), wanted, strict=True)))
+
+
+@query("""
+SELECT p_partkey AS model_id, p_type AS kind, CASE WHEN p_partkey = 3 THEN 'active' WHEN p_partkey % 5 = 0 AND p_type = (SELECT p_type FROM part WHERE p_partkey = 3) THEN 'retiring'
+  WHEN p_partkey % 5 = 0 THEN 'active' ELSE 'canary' END AS state FROM part""")
+def model_rollout(c):
+    """One model of a kind becomes active; those of its kind that were retire."""
+    models = c.part.select(F.col("p_partkey").alias("model_id"), F.col("p_type").alias("kind"), F.when(F.col("p_partkey") % 5 == 0, "active").otherwise("canary").alias("state"))
+    return records.advanced_model(models, 3, "active")
+
+
+@query(f"""
+SELECT 'nation:' || n_nationkey AS node, CASE WHEN n_nationkey % 2 = 0 THEN TIMESTAMP '1990-01-01'
+  WHEN n_nationkey IN (SELECT s_nationkey FROM supplier WHERE s_suppkey = 3) THEN {AT} END AS stale_after FROM nation""")
+def staleness_marks(c):
+    """Neighbours of a changed supplier are marked; older marks stay."""
+    objects = c.nation.select(F.concat(F.lit("nation:"), "n_nationkey").alias("node"), F.when(F.col("n_nationkey") % 2 == 0, lifecycle.at_time("1990-01-01")).alias("stale_after"))
+    return graph.marked_stale(objects, c.edges(), "supplier:3", lifecycle.at_time("1998-06-01"))

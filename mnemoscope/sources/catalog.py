@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from mnemoscope.operators.retrieval import Memory
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 ).split()
@@ -99,3 +103,55 @@ class Catalog:
             )
         )
         return self.part.select(F.col("p_partkey").alias("target_id"), F.explode(made).alias("s")).select("target_id", "s.*")
+
+    def labels_of(self) -> DataFrame:
+        """(kind, id, label) of nodes that have a name."""
+        parts = [("customer", "c"), ("supplier", "s"), ("part", "p"), ("nation", "n"), ("region", "r")]
+        made = [
+            getattr(self, kind).select(F.lit(kind).alias("kind"), F.col(f"{x}_{'part' if x == 'p' else 'cust' if x == 'c' else 'supp' if x == 's' else kind}key").cast("long").alias("id"), F.col(f"{x}_name").alias("label"))
+            for kind, x in parts
+        ]
+        return reduce(DataFrame.unionByName, made)
+
+    def compartments(self) -> DataFrame:
+        """Compartments by label: the last ones are of another namespace."""
+        own = self.embeddings.select(F.col("label").alias("compartment_id")).distinct()
+        return own.select(
+            "compartment_id",
+            F.when(F.col("compartment_id") < 8, "default").otherwise("other").alias("namespace"),
+            F.concat(F.lit("subject "), F.col("compartment_id") % 3).alias("subject_name"),
+            F.concat(F.lit("verb "), F.col("compartment_id") % 2).alias("verb_name"),
+        )
+
+    def cards(self) -> DataFrame:
+        """Embedded cards of two kinds; some have no vector, some one of another size."""
+        vector = F.when(F.col("vec_id") % 13 == 0, F.lit(None)).when(F.col("vec_id") % 11 == 0, F.slice("embedding", 1, 3)).otherwise(F.col("embedding"))
+        kind = F.when(F.col("vec_id") % 2 == 0, "subject").otherwise("svpor_statement")
+        return self.embeddings.select(kind.alias("object_kind"), F.col("vec_id").alias("object_id"), vector.alias("embedding"), F.lit("entity-v1").alias("embedding_space"))
+
+    def governed(self) -> Memory:
+        """The four governed types: parts as claims, orders as facts, documents as memories, nations as episodes."""
+        always, never = F.lit(None).cast("timestamp"), F.lit(None).cast("string")
+
+        def table(df, key, title, body, state=F.lit("active"), since=always, until=always, recorded=F.lit("1995-01-01").cast("timestamp"), subject=never, verb=never, package=F.lit(None).cast("long")):
+            return df.select(
+                F.col(key).cast("long").alias("object_id"), subject.alias("subject"), verb.alias("verb"), title.alias("title"), body.alias("body"), state.alias("lifecycle_state"),
+                package.alias("source_package_id"), since.alias("valid_from"), until.alias("valid_to"), recorded.alias("recorded_from"), always.alias("recorded_to"),
+            )
+
+        customer = F.concat(F.lit("customer "), F.col("o_custkey"))
+        ordered = F.col("o_orderdate").cast("timestamp")
+        registry = [("subject", 1, "red", ["crimson"]), ("subject", 3, "ring", None), ("verb", 4, "ring", None), ("verb", 5, "buy cheaply", ["Economy"]), ("predicate", 6, "Noon", None)]
+        return Memory(
+            claim=table(self.part, "p_partkey", F.col("p_name"), F.col("p_brand"), subject=F.col("p_name"), verb=F.col("p_type"), package=F.col("p_size").cast("long")),
+            fact=table(
+                self.orders, "o_orderkey", customer, F.concat(F.lit("order "), F.col("o_orderkey"), F.lit(" status "), F.col("o_orderstatus")),
+                F.when(F.col("o_orderstatus") == "P", "tombstoned").otherwise("active"), ordered, ordered + F.expr("INTERVAL 90 DAYS"), ordered + F.expr("INTERVAL 10 DAYS"), customer, F.col("o_orderpriority"),
+            ),
+            memory=table(
+                self.documents, "doc_id", F.col("source"), F.col("text"), F.when(F.col("doc_id") % 10 == 0, "retired").otherwise("active"), F.lit("2000-01-01").cast("timestamp") + F.make_dt_interval(days=F.col("doc_id").cast("int")),
+            ),
+            episode_object=table(self.nation, "n_nationkey", F.col("n_name"), F.concat(F.lit("nation of region "), F.col("n_regionkey")), since=F.lit("1990-01-01").cast("timestamp")),
+            confidences=self.labels.select(F.lit("memory").alias("object_type"), F.col("doc_id").alias("object_id"), F.col("quality").cast("double").alias("confidence")),
+            registry=self.spark.createDataFrame(registry, "kind string, entry_id long, canonical string, aliases array<string>"),
+        )

@@ -1,5 +1,6 @@
 """Small tables between the rounds of an iterative operator."""
 
+import re
 import tempfile
 import uuid
 
@@ -15,6 +16,8 @@ def settled(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="mnemoscope-")
         spark.conf.set("spark.checkpoint.dir", folder)
     path = f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}"

@@ -1,5 +1,6 @@
 from datetime import datetime
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,7 +8,7 @@ from mnemoscope.functions import governance as G
 from mnemoscope.functions import strings as S
 from mnemoscope.functions import temporal as T
 from mnemoscope.functions import vectors as V
-from mnemoscope.operators import graph, lifecycle, logs, records, text, vectors
+from mnemoscope.operators import graph, lifecycle, logs, records, retrieval, text, vectors
 from mnemoscope.sources import ingest
 from mnemoscope.sources.catalog import Catalog
 from mnemoscope.streaming import windows
@@ -30,6 +31,18 @@ def test_walks(spark):
     assert {r.node for r in graph.neighbors(e, "memory:1", "in").collect()} == {"memory:5"}
     assert {r.node for r in graph.neighbors(e, "memory:1", "out", ["part_of"]).collect()} == {"episode:4"}
     assert {r.node: r.depth for r in graph.reachable(e, "memory:1", 3).collect()} == {"memory:1": 0, "fact:2": 1, "fact:3": 1, "episode:4": 1, "memory:5": 1}
+    graph_pushed = graph.PUSHED
+    try:
+        graph.PUSHED = 1
+        assert {(r.depth, r.path) for r in graph.walk(e, "memory:1", 4, "out").collect()} == walk
+    finally:
+        graph.PUSHED = graph_pushed
+    tree = spark.createDataFrame([("a", None, 1), ("b", "a", 2), ("c", "a", 1), ("d", "c", 5), ("x", None, 9)], "node string, parent string, ordinal long")
+    assert graph.subtree_json(tree, "a", 2).first().subtree == '{"node":"a","children":[{"node":"c","children":[{"node":"d","children":[]}]},{"node":"b","children":[]}]}'
+    assert {r.node: (r.root, r.depth) for r in graph.roots(tree, 5).collect()} == {"a": ("a", 0), "b": ("a", 1), "c": ("a", 1), "d": ("a", 2), "x": ("x", 0)}
+    down = graph.descend(tree, (F.col("node") == "b").cast("int"), 3)
+    assert [r.node for r in down.orderBy("depth").collect()] == ["a", "b"]
+    assert [r.path for r in graph.ordered(graph.walk(e, "memory:1", 2, "out"), "dfs").limit(2).collect()] == ["memory:1>episode:4", "memory:1>fact:2"]
     loop = spark.createDataFrame([("t", 1, "fact", 1, "x", "fact", 1)], EDGE)
     assert graph.degree(loop).first().total == 2
     with pytest.raises(ValueError):
@@ -46,6 +59,51 @@ def test_vectors(spark):
         V.distance("other", F.col("a"), F.col("b"))
     with pytest.raises(ValueError):
         vectors.tag_search(df, F.col("a"), 1, [])
+    rows = [(1, 1, None), (2, 1, [1.0]), (3, 1, [1.0, 0.0]), (4, 1, [0.0, 1.0])]
+    mixed = spark.createDataFrame(rows, "chunk_id long, compartment_id long, embedding array<float>")
+    q = vectors.query_vector([1.0, 0.0])
+    for metric in ("cosine", "l2", "ip"):
+        best = vectors.exact_topk(mixed.where("chunk_id <> 2"), q, 5, metric).collect()
+        assert [(r.chunk_id, r.rank_no) for r in best] == [(3, 1), (4, 2)]
+        with pytest.raises(Exception, match="vectors of 1 and 2 elements"):
+            vectors.exact_topk(mixed, q, 5, metric).collect()
+    assert vectors.exact_topk(mixed.where("chunk_id > 2"), q, 1).first().similarity == 1.0
+    assert vectors.unit([3.0, 4.0]) == [0.6, 0.8] and vectors.unit([0.0]) == [0.0]
+    stones = vectors.forgotten(spark.createDataFrame([(4,)], "chunk_id long"), mixed, spark.createDataFrame([(3,), (3,), (9,)], "chunk_id long"))
+    assert {r.chunk_id for r in stones.collect()} == {3, 4}
+    with pytest.raises(ValueError):
+        vectors.memory_search(mixed, mixed, None, subject="s")
+    with pytest.raises(ValueError):
+        vectors.tagged(mixed, "default")
+
+
+@pytest.mark.parametrize("block", [3, 1000])
+def test_knn_over_blocks(spark, monkeypatch, block):
+    monkeypatch.setattr(vectors, "BLOCK", block)
+    rng = np.random.default_rng(2)
+    points = np.round(rng.normal(size=(40, 4)), 1)
+    points[7] = points[8]
+    rows = [(int(i) * 3, int(i) % 2, [float(x) for x in v]) for i, v in enumerate(points)] + [(999, 0, None)]
+    df = spark.createDataFrame(rows, "chunk_id long, compartment_id long, embedding array<double>")
+    unit = points / np.linalg.norm(points, axis=1, keepdims=True)
+    sims = np.minimum(1.0, np.round(unit @ unit.T, 6))
+    want = set()
+    for i in range(40):
+        near = sorted((-sims[i, j], j * 3) for j in range(40) if j != i and j % 2 == i % 2 and sims[i, j] >= 0.2)[:4]
+        want |= {(i * 3, j, -s, n + 1) for n, (s, j) in enumerate(near)}
+    got = {(r.source_id, r.target_id, round(r.similarity, 6), r.rank_no) for r in vectors.knn_edges(df, 4, 0.2).collect()}
+    assert got == {(a, b, round(float(s), 6), n) for a, b, s, n in want}
+
+
+def test_cells_on_disk(spark, small, tmp_path):
+    c = Catalog(spark, small)
+    index = vectors.CellIndex(c.chunks().where("chunk_id % 2 = 0")).write(f"file://{tmp_path}/cells")
+    index.added(c.chunks().where("chunk_id % 2 = 1"))
+    again = spark.read.parquet(index.path)
+    assert again.count() == c.chunks().count()
+    stones = again.select("chunk_id").where("chunk_id < 50")
+    query = c.chunks().where("chunk_id = 1").first().embedding
+    assert all(r.chunk_id >= 50 for r in index.search(query, 5, tombstones=stones).collect())
 
 
 def test_approximate_recall(spark, small):
@@ -73,8 +131,16 @@ def test_lifecycle(spark):
     fixed = {r.fact_id: r for r in lifecycle.corrected(facts, fixes, at("2025-03-01")).collect()}
     assert fixed[1].lifecycle_state == "superseded" and fixed[1].valid_to == datetime(2025, 3, 1)
     assert fixed[10].supersedes == 1 and fixed[10].object_value == 5.0 and fixed[10].verb == "v"
-    gone = lifecycle.retracted(facts, spark.createDataFrame([(1, "wrong"), (2, " ")], "fact_id long, reason string"), at("2025-03-01"))
+    gone = lifecycle.retracted(facts, spark.createDataFrame([(1, "wrong")], "fact_id long, reason string"), at("2025-03-01"))
     assert {r.fact_id: r.lifecycle_state for r in gone.collect()} == {1: "retired", 2: "active"}
+    for blank in (" ", "", None):
+        with pytest.raises(Exception, match="needs a reason"):
+            lifecycle.retracted(facts, spark.createDataFrame([(2, blank)], "fact_id long, reason string"), at("2025-03-01")).collect()
+    back = {r.fact_id: r for r in lifecycle.reopened(gone, spark.createDataFrame([(1,)], "fact_id long")).collect()}
+    assert back[1].valid_to is None and back[1].lifecycle_state == "active" and len(back) == 2
+    faults = lifecycle.correction_faults(gone, spark.createDataFrame([(1,), (2,), (7,)], "fact_id long"))
+    assert {r.fact_id: r.reason for r in faults.collect()} == {1: "not active", 7: "unknown fact"}
+    assert ids(lifecycle.current(facts, at("2025-05-15"))) == [1, 2]
     replay = {m: lifecycle.replayed(facts, m, at("2025-05-15")).first() for m in lifecycle.MODES}
     assert all(r.hidden == 0 and r.steps.count("fact_id") == 2 for r in replay.values())
     before = lifecycle.replayed(facts, "historical", at("2025-02-01")).first()
@@ -103,12 +169,9 @@ def test_text(spark):
     docs = spark.createDataFrame([(1, OUTLINE), (2, "no headings\nhere")], "doc_id long, text string")
     got = {(r.doc_id, r.title): (r.level, r.first_line, r.last_line) for r in text.outline(docs).collect()}
     assert got == {(1, "One"): (0, 0, 7), (1, "Two"): (1, 5, 6), (1, "Three"): (2, 6, 6), (1, "Four"): (1, 7, 7), (1, "Five"): (0, 8, 9), (2, ""): (0, 0, 1)}
-    E = text.Envelope
-    assert [text.intent(e) for e in (E("x", as_of="t", source="s"), E("why x"), E("a b", names=("a", "b")), E("x"))] == ["temporal", "recall", "narrow", "broad"]
-    assert text.planned(E("x"), text.Hints(suppress=("fts",), force=("vector",))) == ("vector", "fuzzy_subject")
-    said = spark.createDataFrame([(1, 'When did "Pool Exhausted" hit pg_pool')], "text_id int, text string")
-    found = {(r.kind, r.cue): r.weight for r in text.cues(said, ["pg_pool"]).collect()}
-    assert found[("phrase", "pool exhausted")] == 2.0 and found[("known", "pg_pool")] == 1.5 and found[("time", "when")] == 0.5
+    fenced = "~~~\n# in\n```\n# in too\n~~~\n# Out\n   ```\n~~~\n# in\n```\n## Last\n"
+    got = [(r.title, r.level, r.first_line, r.last_line) for r in text.outline(spark.createDataFrame([(1, fenced), (2, None)], "doc_id long, text string")).collect()]
+    assert sorted(got) == [("", 0, 0, 0), ("Last", 1, 10, 11), ("Out", 0, 5, 11)]
     chat = spark.createDataFrame([(1, 0, "a")], "conv_id int, turn int, text string")
     more = spark.createDataFrame([(1, 0, "b"), (1, 1, "c"), (1, 1, "c")], "conv_id int, turn int, text string")
     once = text.appended(chat, more)
@@ -118,6 +181,77 @@ def test_text(spark):
     assert text.skill_scores(skills, None, None, None, None).count() == 2
 
 
+def plain_web(query, title, body):
+    import re
+
+    cut = lambda t: re.findall("[a-z0-9_]+", (t or "").lower())
+    fields = cut(title), cut(body)
+    count = lambda term, f: sum(f[i : i + len(term)] == list(term) for i in range(len(f)))
+    alternatives = text.web_query(query).alternatives
+    if not any(all(sum(count(t, f) for f in fields) for t in yes) and not any(sum(count(t, f) for f in fields) for t in no) for yes, no in alternatives):
+        return None
+    terms = {t for yes, _ in alternatives for t in yes}
+    return round(sum(1.0 * count(t, fields[0]) + 0.4 * count(t, fields[1]) for t in terms) / sum(map(len, fields)), 6)
+
+
+def test_web_search(spark):
+    assert text.web_query('a "b c" -d or e -"f g" "').alternatives == (((("a",), ("b", "c")), (("d",),)), ((("e",),), (("f", "g"),)))
+    assert text.web_query('-a or ""').alternatives == () and text.web_search(spark.range(1), "-a") is None
+    docs = [("Pool", "the pool is exhausted"), (None, "a pooling of pools"), ("cap", None), ("x", "pool cap, exhausted; pool"), ("is exhausted", "not pool"), ("Pool_x", "pool-x"), ("", "")]
+    df = spark.createDataFrame([(i, *d) for i, d in enumerate(docs)], "n int, title string, body string")
+    for query in ("pool", "pool exhausted", '"is exhausted"', '"pool exhausted" or cap', "pool -cap", "pool_x or pool-x", '"cap exhausted" pool'):
+        got = {r.n: r["rank"] for r in text.web_search(df, query).collect()}
+        want = {i: w for i, d in enumerate(docs) if (w := plain_web(query, *d)) is not None}
+        assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 2e-6 for i in want), query
+
+
+def registry(spark):
+    rows = [("subject", 1, "postgres_pool", ["pg_pool", "pool"]), ("verb", 2, "exhausted", ["saturated"]), ("predicate", 3, "cap", None)]
+    return spark.createDataFrame(rows, "kind string, entry_id long, canonical string, aliases array<string>")
+
+
+def test_cues(spark):
+    said = '"pool exhaustion" pool exhausted cap during outage as of 2026-05-13'
+    found = retrieval.cues(spark.createDataFrame([(1, said), (2, None), (3, 'before noon, AFTER 2024-01-01T10:00:00Z "x" PG_Pool!')], "text_id int, text string"), registry(spark)).collect()
+    first = [(r.cue_kind, r.cue_text, r.weight) for r in sorted(found, key=lambda r: r.nth) if r.text_id == 1]
+    assert first == [("phrase", "pool exhaustion", 2.0), ("time_marker", "as of 2026-05-13", 0.5), ("subject", "pool", 1.5), ("verb", "exhausted", 1.5), ("predicate", "cap", 1.5), ("term", "during", 1.0), ("term", "outage", 1.0)]
+    third = [(r.cue_kind, r.cue_text, r.resolved_id) for r in sorted(found, key=lambda r: r.nth) if r.text_id == 3]
+    assert third == [("phrase", "x", None), ("time_marker", "AFTER 2024-01-01T10:00:00Z", None), ("term", "before", None), ("term", "noon", None), ("subject", "pg_pool", 1)]
+    assert not [r for r in found if r.text_id == 2]
+
+
+def test_plans(spark):
+    E, known = retrieval.Envelope, registry(spark)
+
+    def plan(e, **hints):
+        p = retrieval.planned(e, known, hints)
+        return p.intent, p.strategies()
+
+    assert plan(E("postgres_pool exhausted cap", ("fact",)))[0] == "narrow" and plan(E("show me anything about widgets"))[0] == "recall"
+    assert plan(E("plain free text")) == ("broad", ("fts", "vector", "graph_walk"))
+    assert plan(E("x", valid_as_of="2026-01-01"))[1][0] == "temporal_as_of" and plan(E("x", transaction_as_of="2026-01-01"))[0] == "time_as_of"
+    assert plan(E("x"), time_constraint_override={"valid_as_of": "2026-01-01"}, suppress_path=["vector"]) == ("broad", ("fts", "graph_walk"))
+    boosted = retrieval.planned(E("x", hints={"boost_weight": {"vector": 3}}), known).steps
+    assert [(s.strategy, s.boost) for s in boosted] == [("fts", None), ("vector", 3), ("graph_walk", None)]
+    floor = retrieval.planned(E("x"), known, {"confidence_floor_override": 0.9})
+    assert floor.envelope.confidence_floor == 0.9
+
+
+def test_execute_retrieval(spark, small):
+    m = Catalog(spark, small).governed()
+    empty = m.claim.limit(0)
+    assert retrieval.execute(m, retrieval.Envelope(None)).count() == 0
+    assert retrieval.execute(retrieval.Memory(empty, empty, empty, empty, m.confidences, m.registry), retrieval.Envelope("widget")).count() == 0
+    with pytest.raises(ValueError):
+        retrieval.execute(m, retrieval.Envelope("widget", ("odd",)))
+    only = retrieval.execute(m, retrieval.Envelope("widget", ("fact",)), limit=5)
+    assert only.count() == 0
+    got = retrieval.retrieve(m, retrieval.Envelope("widget", ("claim",)), limit=5)
+    assert got.intent == "broad" and got.final_count == got.hits.count() == 5
+    audit = got.decisions.collect()
+    assert sorted({r.stage for r in audit}) == ["assembly", "planning"] and {r.object_id for r in audit if r.object_id is not None} == {r.object_id for r in got.hits.collect()}
+
+
 def test_scalars(spark):
     one = spark.range(1)
     assert one.select(S.substituted(F.lit("{{b}} :a {{a}}"), {"a": F.lit("x"), "b": F.lit("y")})).first()[0] == "y x x"
@@ -129,7 +263,8 @@ def test_scalars(spark):
     schema = {"type": "object", "required": ["a"], "properties": {"a": {"type": "array", "items": {"type": "integer", "minimum": 2}, "maxItems": 2}, "s": {"pattern": "^x", "minLength": 2}}, "additionalProperties": False}
     assert G.json_errors({"a": [2, 3]}, schema) == []
     assert len(G.json_errors({"a": [1, 2, 3], "b": 1, "s": "y"}, schema)) == 5 and G.json_errors({}, schema) == ["$.a: missing"]
-    assert G.advanced("proposed", "canary", G.MODEL_MOVES) == "canary"
+    assert G.advanced("proposed", "canary", G.MODEL_MOVES) == "canary" and G.advanced("canary", "retired", G.MODEL_MOVES) == "retired"
+    assert G.advanced("dual_serve", "dual_serve", G.INDEX_MOVES) == "dual_serve"
     with pytest.raises(ValueError):
         G.advanced("done", "proposed", G.INDEX_MOVES)
     levels = spark.createDataFrame([("public",), (None,), ("odd",)], "l string")
@@ -175,6 +310,12 @@ def test_records(spark):
         "object_id long, level string, revoked_at timestamp, expires_at timestamp",
     )
     assert [r.object_id for r in records.granted(objects, grants, "read", at("2024-06-01")).collect()] == [1]
+    models = spark.createDataFrame([(1, "a", "active"), (2, "a", "canary"), (3, "b", "active")], "model_id long, kind string, state string")
+    assert {r.model_id: r.state for r in records.advanced_model(models, 2, "active").collect()} == {1: "retiring", 2: "active", 3: "active"}
+    with pytest.raises(ValueError):
+        records.advanced_model(models, 1, "canary")
+    with pytest.raises(ValueError):
+        records.advanced_model(models, 9, "canary")
     assert records.authorized_types({"a": objects, "b": objects.limit(0)}, ["a", "b"]) == ["a"]
     with pytest.raises(ValueError):
         records.authorized_types({}, ["a"])
