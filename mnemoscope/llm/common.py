@@ -7,6 +7,7 @@ costs only its own tasks, and row identities drawn while writing stay fixed.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -25,9 +26,11 @@ NO_ID = -(2**63)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where none is set."""
+    """The folder of ``spark.checkpoint.dir``; a temporary one only where none is set and all runs on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="mnemoscope-")
         spark.conf.set("spark.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)
@@ -67,23 +70,28 @@ def utf8_size(text: Column) -> Column:
     return F.octet_length(F.coalesce(text, F.lit(""))).cast("long")
 
 
-def with_entries(rows: DataFrame, entries: DataFrame, keys: Sequence[str], weight: str, spread: Sequence[str]) -> DataFrame:
+def with_entries(rows: DataFrame, entries: DataFrame, keys: Sequence[str], weight: str, spread: Sequence[str], alike: bool = False) -> DataFrame:
     """``rows`` with a struct ``_entry`` of what ``entries`` has under their keys, null where there is nothing.
 
     entries: a written table of one row a key, with the number of rows that hold the key
     in column ``weight``. Entries of hot keys, fewer than HOT by definition, are broadcast,
     and their rows are dealt by ``spread``; all others meet in a join, where no key has
-    more than one in HOT of all rows, or COLD.
+    more than one in HOT of all rows, or COLD. alike: that join moves both sides at every
+    size, so that its cost grows with the input and doesn't jump where a broadcast ends.
     """
+
+    def side(df: DataFrame) -> DataFrame:
+        return df.hint("merge") if alike else df
+
     total, most = entries.agg(F.sum(weight), F.max(weight)).first()
     value = F.struct(*(c for c in entries.columns if c not in keys)).alias("_entry")
     if not most or most <= COLD or most * HOT <= total:
-        return rows.join(entries.select(*keys, value), list(keys), "left")
+        return rows.join(side(entries.select(*keys, value)), list(keys), "left")
     hot = (F.col(weight) > COLD) & (F.col(weight) * HOT > total)
     found = rows.join(F.broadcast(entries.where(hot).select(*keys, value.alias("_hot"))), list(keys), "left")
     salt = F.when(F.col("_hot").isNotNull(), 1 + F.pmod(F.xxhash64(*spread), F.lit(1 << 20))).otherwise(F.lit(0).cast("long"))
     rest = entries.where(~hot).select(*keys, F.lit(0).cast("long").alias("_salt"), value.alias("_cold"))
-    both = found.withColumn("_salt", salt).join(rest, [*keys, "_salt"], "left")
+    both = found.withColumn("_salt", salt).join(side(rest), [*keys, "_salt"], "left")
     return both.withColumn("_entry", F.coalesce("_hot", "_cold")).drop("_hot", "_cold", "_salt")
 
 

@@ -102,7 +102,7 @@ class DigestIndex:
 
 def _false_hits(texts: DataFrame, hits: DataFrame) -> DataFrame:
     """Digests under which a text differs from the keeper's. texts: digest, id, text; hits: digest, keeper_row, keep_id, n."""
-    found = with_entries(texts, hits, ["digest"], "n", ["id"]).where(F.col("_entry").isNotNull())
+    found = with_entries(texts, hits, ["digest"], "n", ["id"], alike=True).where(F.col("_entry").isNotNull())
     found = found.select("digest", "id", "text", F.col("_entry.keep_id").alias("keep_id"), F.ceil(F.col("_entry.n") / ROWS_A_SALT).cast("int").alias("_salts"))
     keepers = (
         found.where(F.col("id").eqNullSafe(F.col("keep_id")))
@@ -113,7 +113,7 @@ def _false_hits(texts: DataFrame, hits: DataFrame) -> DataFrame:
     # Rows of equal identifiers may have different texts; the salt goes by both.
     members = found.select("digest", F.pmod(F.xxhash64("id", "text"), F.col("_salts")).cast("int").alias("_salt"), "text")
     return (
-        members.join(keepers, ["digest", "_salt"]).where(F.col("text") != F.col("kept_text")).select("digest").distinct()
+        members.join(keepers.hint("merge"), ["digest", "_salt"]).where(F.col("text") != F.col("kept_text")).select("digest").distinct()
     )
 
 
