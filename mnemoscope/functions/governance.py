@@ -2,9 +2,10 @@
 
 import json
 import re
+from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Sensitivity levels in order.
@@ -27,6 +28,39 @@ def in_scope(scope: Column, scopes: list[str] | None, session: list[str] | None
     return scope.isin(allowed) if allowed else F.lit(False)
 
 
+@dataclass(frozen=True)
+class Principal:
+    """Who asks: scopes that may be read (None: all) and the highest sensitivity."""
+
+    name: str
+    scopes: tuple[str, ...] | None
+    ceiling: int
+
+    def sees(self, scope: Column, level: Column) -> Column:
+        """Rows in a readable scope, at or under the ceiling; rows without a scope are of the default one."""
+        return in_scope(F.coalesce(scope, F.lit("default")), None if self.scopes is None else list(self.scopes)) & (sensitivity_rank(level) <= self.ceiling)
+
+
+def principal(rows: DataFrame, name: str) -> Principal:
+    """A principal of (name, enabled, scopes: JSON list or null, ceiling: level or null).
+
+    Unknown and disabled ones are refused. Scopes that aren't a JSON list of texts allow
+    nothing, and an unknown ceiling is the lowest: what can't be read is closed.
+    """
+    found = rows.where(F.col("name") == name).select("enabled", "scopes", "ceiling").first()
+    if found is None or not found.enabled:
+        raise PermissionError(f"principal {name!r} is unknown or disabled")
+    scopes: tuple[str, ...] | None = None
+    if found.scopes is not None:
+        try:
+            given = json.loads(found.scopes)
+        except ValueError:
+            given = None
+        scopes = tuple(given) if isinstance(given, list) and all(isinstance(s, str) for s in given) else ()
+    ceiling = len(LEVELS) - 1 if found.ceiling is None else LEVELS.index(found.ceiling) if found.ceiling in LEVELS else 0
+    return Principal(name, scopes, ceiling)
+
+
 def json_errors(value: Any, schema: dict, path: str = "$") -> list[str]:
     """What a JSON value breaks of a schema: type, enum, required, properties, items, bounds, pattern."""
     kinds = {"string": str, "number": (int, float), "integer": int, "boolean": bool, "object": dict, "array": list, "null": type(None)}

@@ -26,7 +26,7 @@ def closed(end: Column, at: Column) -> Column:
 
 
 def cron_field(field: str, low: int, high: int) -> list[int]:
-    """Values of one cron field: ``*``, lists, ranges and steps."""
+    """Values of one cron field: ``*``, lists, ranges and steps of either; a step behind one value changes nothing."""
     out: set[int] = set()
     for part in field.split(","):
         span, _, step = part.partition("/")
@@ -35,8 +35,7 @@ def cron_field(field: str, low: int, high: int) -> list[int]:
         elif "-" in span:
             a, b = map(int, span.split("-"))
         else:
-            a = int(span)
-            b = high if step else a
+            a = b = int(span)
         if not low <= a <= b <= high or step and int(step) < 1:
             raise ValueError(f"bad cron field {field!r}")
         out.update(range(a, b + 1, int(step or 1)))

@@ -144,9 +144,14 @@ def replayed(facts: DataFrame, mode: str, at: Column, by: str = "subject_id") ->
     )
 
 
-def upserted(base: DataFrame, delta: DataFrame, keys: list[str]) -> DataFrame:
-    """``base`` with the rows of ``delta`` put in or replaced by key."""
-    return base.join(delta, keys, "left_anti").unionByName(delta)
+def upserted(base: DataFrame, delta: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+    """``base`` with the rows of ``delta`` put in or replaced by key; of rows of one key the last by ``order`` counts, without it any."""
+    if order is None:
+        once = delta.dropDuplicates(keys)
+    else:
+        own = Window.partitionBy(*keys).orderBy(F.desc_nulls_last(order))
+        once = delta.withColumn("_n", F.row_number().over(own)).where("_n = 1").drop("_n")
+    return base.join(once, keys, "left_anti").unionByName(once)
 
 
 def confidence(scores: DataFrame, weights: DataFrame, by: str = "target_id") -> DataFrame:
@@ -159,7 +164,10 @@ def confidence(scores: DataFrame, weights: DataFrame, by: str = "target_id") ->
 
 
 def confidence_summary(scores: DataFrame, by: str = "target_id") -> DataFrame:
+    """Categories and bounds of subscores, and of the times of evaluation if there are (evaluated_at)."""
+    times = (F.min("evaluated_at").alias("first_evaluated"), F.max("evaluated_at").alias("last_evaluated")) if "evaluated_at" in scores.columns else ()
     return scores.groupBy(by).agg(
+        *times,
         F.count(F.lit(1)).alias("n_scores"),
         F.array_join(F.array_sort(F.collect_list("category")), ",").alias("categories"),
         F.min("subscore").alias("low"),

@@ -1126,3 +1126,128 @@ def staleness_marks(c):
     """Neighbours of a changed supplier are marked; older marks stay."""
     objects = c.nation.select(F.concat(F.lit("nation:"), "n_nationkey").alias("node"), F.when(F.col("n_nationkey") % 2 == 0, lifecycle.at_time("1990-01-01")).alias("stale_after"))
     return graph.marked_stale(objects, c.edges(), "supplier:3", lifecycle.at_time("1998-06-01"))
+
+
+JOBS = f"(SELECT event_id AS job_id, user_id % 3 AS queue_id, {STATUS} AS status, event_id % 4 AS attempts FROM events)"
+
+
+def _leased(c):
+    return _jobs(c).select(
+        "job_id", (F.col("queue_id") % 3).alias("queue_id"), "status", (F.col("job_id") % 4).alias("attempts"), "visible_at", F.lit(None).cast("string").alias("last_error"), F.concat(F.lit("p"), "job_id").alias("payload")
+    )
+
+
+def _nacked(c):
+    queues = c.spark.createDataFrame([(0, 2, 9), (1, 3, None), (2, 1, 8)], "queue_id long, max_retries int, dlq_queue_id long")
+    nacks = _leased(c).where("status = 'leased' AND job_id % 2 = 0").select("job_id", F.lit("boom").alias("error"))
+    return logs.nacked(_leased(c), nacks, queues, lifecycle.at_time("2024-03-01"))
+
+
+@query(f"SELECT job_id, CASE WHEN status = 'leased' AND job_id % 2 = 1 THEN 'done' ELSE status END AS status FROM {JOBS} j")
+def queue_ack(c):
+    return logs.acked(_leased(c), _leased(c).where("job_id % 2 = 1").select("job_id")).select("job_id", "status")
+
+
+@query(f"""
+SELECT job_id, CASE WHEN status = 'leased' AND job_id % 2 = 0 THEN CASE WHEN attempts >= [2, 3, 1][queue_id + 1] THEN 'dead' ELSE 'ready' END ELSE status END AS status,
+       CASE WHEN status = 'leased' AND job_id % 2 = 0 THEN 'boom' END AS last_error FROM {JOBS} j""")
+def queue_nack(c):
+    return _nacked(c)[0].select("job_id", "status", "last_error")
+
+
+@query(f"""
+SELECT CASE queue_id WHEN 0 THEN 9 ELSE 8 END AS queue_id, queue_id AS source_queue, job_id AS source_job_id, 'boom' AS last_error, 'p' || job_id AS payload FROM {JOBS} j
+WHERE status = 'leased' AND job_id % 2 = 0 AND attempts >= [2, 3, 1][queue_id + 1] AND queue_id <> 1""")
+def queue_dead_letters(c):
+    return _nacked(c)[1]
+
+
+@query("SELECT DISTINCT user_id % 7 AS pool_id, user_id AS account, 'presence_left' AS event_kind FROM events WHERE user_id % 5 = 0")
+def presence_leave(c):
+    members = c.events.select((F.col("user_id") % 7).alias("pool_id"), F.col("user_id").alias("account")).distinct()
+    leaves = members.where("account % 5 = 0").unionByName(c.spark.createDataFrame([(1, -1)], "pool_id long, account long"))
+    return logs.left(members, leaves, lifecycle.at_time("2024-03-01"))[1].drop("at")
+
+
+@query("SELECT doc_id AS object_id, CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 1 END AS generation FROM documents WHERE doc_id % 3 <> 0 OR doc_id % 2 = 0")
+def embedding_generations(c):
+    """Every third object was embedded as of its first generation; those queued again since stay."""
+    queue = c.documents.select(F.col("doc_id").alias("object_id"), F.when(F.col("doc_id") % 2 == 0, 2).otherwise(1).alias("generation"))
+    return logs.embedded(queue, c.documents.where("doc_id % 3 = 0").select(F.col("doc_id").alias("object_id"), F.lit(1).alias("generation")))
+
+
+TOOLED = """(SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, event_id, row_number() OVER (PARTITION BY user_id, date_trunc('day', ts) ORDER BY ts, event_id) AS step_idx,
+  event_type AS action, 'actor ' || (event_id % 3) AS actor, CASE WHEN event_id % 4 <> 0 THEN ' Tool' || (event_id % 2) END AS tool,
+  CASE WHEN event_type = 'error' THEN 'exception:io' || (event_id % 2) WHEN event_id % 6 = 0 THEN 'partial' ELSE 'success' END AS outcome FROM events)"""
+
+
+def _tooled(c):
+    number = F.col("event_id")
+    outcome = F.when(F.col("action") == "error", F.concat(F.lit("exception:io"), number % 2)).when(number % 6 == 0, "partial").otherwise("success")
+    return _steps(c).withColumns({"actor": F.concat(F.lit("actor "), number % 3), "tool": F.when(number % 4 != 0, F.concat(F.lit(" Tool"), number % 2)), "outcome": outcome})
+
+
+@query(f"""
+WITH t AS (SELECT user_id, day, last(outcome ORDER BY step_idx) AS last_, coalesce(string_agg(DISTINCT lower(trim(tool)), '|' ORDER BY lower(trim(tool))), '') AS tool_stack,
+  coalesce(replace(last(outcome ORDER BY step_idx) FILTER (WHERE starts_with(outcome, 'exception:')), 'exception:', ''), '') AS exception_pattern FROM {TOOLED} s GROUP BY user_id, day)
+SELECT CASE WHEN starts_with(last_, 'exception:') THEN 'failure' ELSE last_ END AS outcome, user_id % 2 AS environment, tool_stack, exception_pattern, count(*) AS n_traces,
+       count(*) FILTER (WHERE NOT starts_with(last_, 'exception:')) AS n_positive, count(*) FILTER (WHERE starts_with(last_, 'exception:')) AS n_negative FROM t GROUP BY ALL""")
+def workflow_six_keys(c):
+    """Clusters of traces by outcome, environment, tools and last exception; subject and action are one class here."""
+    made = logs.trace_summaries(_tooled(c), TRACE).withColumns({"subject_class": F.lit("user"), "action_class": F.lit("visit"), "environment": F.col("user_id") % 2})
+    return logs.clusters(made, logs.CLUSTER).drop("subject_class", "action_class")
+
+
+@query(f"""
+WITH s AS (SELECT * FROM {TOOLED} t), g AS (SELECT step_idx, round(count(*) FILTER (WHERE outcome = 'success') / count(*), 4) AS success_rate, count(*) AS sample_count FROM s GROUP BY step_idx),
+{', '.join(f"{x} AS (SELECT step_idx, {x} AS common_{x} FROM (SELECT step_idx, {x}, row_number() OVER (PARTITION BY step_idx ORDER BY count(*) DESC, {x}) AS k FROM s WHERE {x} IS NOT NULL GROUP BY step_idx, {x}) WHERE k = 1)" for x in ('action', 'actor', 'tool'))}
+SELECT g.*, common_action, common_actor, common_tool FROM g LEFT JOIN action USING (step_idx) LEFT JOIN actor USING (step_idx) LEFT JOIN tool USING (step_idx)""")
+def workflow_candidate(c):
+    return logs.candidate_template(_tooled(c))
+
+
+@query("""
+SELECT p_partkey AS query_id, CASE WHEN p_type = 'ECONOMY' THEN 'economise' WHEN contains(p_name, 'ring') THEN 'string' ELSE NULL END AS verb,
+       CASE WHEN p_type = 'ECONOMY' THEN 1 WHEN contains(p_name, 'ring') THEN 2 END AS verb_id,
+       CASE WHEN p_type = 'ECONOMY' THEN 'economy' WHEN contains(p_name, 'ring') THEN 'ring' END AS matched_token,
+       array_to_string(list_filter(string_split(lower(p_name || CASE WHEN contains(' ' || p_name || ' ', ' ' || lower(p_type) || ' ') THEN '' ELSE ' ' || p_type END), ' '), lambda w: w <> coalesce(CASE WHEN p_type = 'ECONOMY' THEN 'economy' WHEN contains(p_name, 'ring') THEN 'ring' END, '')), ',') AS subject_tokens
+FROM part WHERE p_name NOT LIKE '%string%'""")
+def note_query_parse(c):
+    verbs = c.spark.createDataFrame([(1, "economise", ["Economy"]), (2, "string", None), (3, "zzz", ["yyy"])], "verb_id int, canonical string, aliases array<string>")
+    asked = c.part.where("p_name NOT LIKE '%string%'").select(F.col("p_partkey").alias("query_id"), F.concat(F.lit("What about the "), "p_name", F.lit(" in "), "p_type", F.lit("?")).alias("query"))
+    return text.note_query(asked, verbs).select("query_id", "verb", "verb_id", "matched_token", F.array_join("subject_tokens", ",").alias("subject_tokens"))
+
+
+@query("""
+WITH hit AS (SELECT l_orderkey AS document_id, l_orderkey * 10 + l_linenumber AS statement_id FROM lineitem JOIN part ON l_partkey = p_partkey
+  WHERE p_type IN ('ECONOMY', 'PROMO') AND (contains(p_name, 'red') OR l_suppkey = 7))
+SELECT o_orderkey AS document_id, o_orderpriority AS title, count(DISTINCT statement_id) AS match_count FROM hit JOIN orders ON document_id = o_orderkey WHERE o_orderstatus = 'O'
+GROUP BY o_orderkey, o_orderpriority, o_orderdate ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 40 OFFSET 5""")
+def notes_about(c):
+    """Statements join a part's type (verb) and name (subject) to a supplier; documents are orders."""
+    types = [(1, "ECONOMY", ["cheap"]), (2, "PROMO", ["Cheap offer"]), (3, "LARGE", None), (4, "MEDIUM", None), (5, "STANDARD", None), (6, "SMALL", None)]
+    verbs = c.spark.createDataFrame(types, "id long, canonical string, aliases array<string>")
+    number = c.part.join(verbs, F.col("p_type") == F.col("canonical")).select("p_partkey", F.col("id").alias("verb_id"))
+    made = c.lineitem.join(number, F.col("l_partkey") == F.col("p_partkey")).select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("statement_id"), F.col("l_orderkey").alias("document_id"), "verb_id", F.col("l_partkey").alias("subject_id"), (-F.col("l_suppkey")).alias("object_id")
+    )
+    none = F.lit(None).cast("array<string>")
+    subjects = c.part.select(F.col("p_partkey").cast("long").alias("id"), F.col("p_name").alias("canonical"), none.alias("aliases")).unionByName(
+        c.supplier.select((-F.col("s_suppkey")).cast("long").alias("id"), F.col("s_name").alias("canonical"), F.when(F.col("s_suppkey") == 7, F.array(F.lit("Red Baron"))).alias("aliases"))
+    )
+    documents = c.orders.select(F.col("o_orderkey").alias("document_id"), F.col("o_orderpriority").alias("title"), F.when(F.col("o_orderstatus") == "O", "note").otherwise("mail").alias("source_type"), F.col("o_orderdate").alias("created_at"))
+    return text.notes_about(documents, made, verbs, subjects, ["red"], verb_like="cheap", limit=40, offset=5).select("document_id", "title", "match_count")
+
+
+@query("SELECT doc_id FROM documents WHERE source IN ('src1', 'src3') AND lang IN ('en', 'de')")
+def principal_scope(c):
+    """A principal reads two scopes up to a level."""
+    who = c.spark.createDataFrame([("a", True, '["src1", "src3"]', "internal"), ("b", False, None, None)], "name string, enabled boolean, scopes string, ceiling string")
+    level = F.when(F.col("lang") == "en", "public").when(F.col("lang") == "de", "internal").when(F.col("lang") == "fr", "restricted").otherwise("secret")
+    return c.documents.where(G.principal(who, "a").sees(F.col("source"), level)).select("doc_id")
+
+
+@query("SELECT label % 4 AS object_kind, label AS object_id, max(TIMESTAMP '2024-01-01' + INTERVAL 1 HOUR * vec_id) AS embedded_at FROM embeddings GROUP BY label")
+def embedding_newest(c):
+    cards = c.embeddings.select((F.col("label") % 4).alias("object_kind"), F.col("label").alias("object_id"), (lifecycle.at_time("2024-01-01") + F.make_dt_interval(hours=F.col("vec_id").cast("int"))).alias("embedded_at"))
+    return vectors.newest_embedding(cards)

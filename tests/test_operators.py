@@ -151,6 +151,8 @@ def test_lifecycle(spark):
     base = spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string")
     put = lifecycle.upserted(base, spark.createDataFrame([(2, "c"), (3, "d")], "k long, v string"), ["k"])
     assert {r.k: r.v for r in put.collect()} == {1: "a", 2: "c", 3: "d"}
+    twice = spark.createDataFrame([(2, "c"), (2, "z"), (2, None)], "k long, v string")
+    assert {r.k: r.v for r in lifecycle.upserted(base, twice, ["k"], "v").collect()} == {1: "a", 2: "z"} and lifecycle.upserted(base, twice, ["k"]).count() == 2
 
 
 def test_logs(spark):
@@ -160,6 +162,15 @@ def test_logs(spark):
     cursors = spark.createDataFrame([("x", 5), ("y", 5)], "consumer string, cursor long")
     acks = spark.createDataFrame([("x", 3), ("x", 9)], "consumer string, event_id long")
     assert {r.consumer: r.cursor for r in logs.acknowledged(cursors, acks).collect()} == {"x": 9, "y": 5}
+    jobs = spark.createDataFrame([(1, 1, "ready", 0, None, None, "p")], "job_id long, queue_id long, status string, attempts int, visible_at timestamp, last_error string, payload string")
+    queues = spark.createDataFrame([(1, 2, None)], "queue_id long, max_retries int, dlq_queue_id long")
+    with pytest.raises(Exception, match="isn't leased"):
+        logs.nacked(jobs, spark.createDataFrame([(1, "e")], "job_id long, error string"), queues, lifecycle.at_time("2024-01-01"))[0].collect()
+    odd = spark.createDataFrame([('a"b\\c\nd', 2)], "value string, n long")
+    assert logs.prometheus(odd, "m", "k").first().line == 'm{k="a\\"b\\\\c\\nd"} 2'
+    events = spark.createDataFrame([(1, "x", None, "p", 1), (2, "x", 5, "q", 1), (3, "x", 6, "p", 2)], "event_id long, event_type string, user_id long, partition string, pool long")
+    assert [r.event_id for r in logs.fetch_batch(events, 0, None, 9, account=5).collect()] == [1, 2]
+    assert [r.event_id for r in logs.fetch_batch(events, 0, None, 9, partition="p", pool=2).collect()] == [3]
 
 
 OUTLINE = "# One\ntext\n```\n# not a heading\n```\n## Two\n### Three\n## Four\n# Five\nend"
@@ -176,6 +187,13 @@ def test_text(spark):
     more = spark.createDataFrame([(1, 0, "b"), (1, 1, "c"), (1, 1, "c")], "conv_id int, turn int, text string")
     once = text.appended(chat, more)
     assert {(r.turn, r.text) for r in once.collect()} == {(0, "a"), (1, "c")} and text.appended(once, more).count() == 2
+    branched = spark.createDataFrame([(1, 0, "user", "a", None), (1, 1, "user", "b", "new"), (1, 2, "assistant", "c", None)], "conv_id int, turn int, role string, text string, topic_branch string")
+    assert [r.topic_no for r in text.chat_topics(branched).orderBy("turn").collect()] == [1, 2, 2]
+    named = text.outline(spark.createDataFrame([(1, "a\n# H")], "doc_id int, text string"), first=1).first()
+    assert (named.title, named.first_line, named.last_line) == ("H", 2, 2)
+    assert text.outline(spark.createDataFrame([(1, "a")], "doc_id int, text string"), 1, "whole").first().title == "whole"
+    with pytest.raises(ValueError):
+        text.notes_about(docs, docs, docs, docs, [" "])
     skills = spark.createDataFrame([(1, "a", "b", ["K"], "t"), (2, "z", "b", [], "")], "skill_id int, subject string, verb string, keywords array<string>, text string")
     assert {r.skill_id: (r.score, r.reasons) for r in text.skill_scores(skills, "A", "b", "k", None).collect()} == {1: (220, "subject,verb,keyword"), 2: (80, "verb")}
     assert text.skill_scores(skills, None, None, None, None).count() == 2
@@ -258,8 +276,17 @@ def test_scalars(spark):
     assert one.select(S.slug(F.lit("Ab C--d!"))).first()[0] == "ab_c_d"
     assert T.cron_next("*/15 3 * * *", datetime(2024, 1, 1, 3, 50)) == datetime(2024, 1, 2, 3, 0)
     assert T.cron_next("0 0 29 2 *", datetime(2024, 3, 1)) == datetime(2028, 2, 29)
+    assert T.cron_field("7/5", 0, 59) == [7] and T.cron_field("50-59/5,3", 0, 59) == [3, 50, 55]
     with pytest.raises(ValueError):
         T.cron_field("9-2", 0, 59)
+    rows = [("a", True, '["x"]', "internal"), ("b", False, None, None), ("c", True, "{", "odd"), ("d", True, None, None), ("e", True, '[1]', None)]
+    who = spark.createDataFrame(rows, "name string, enabled boolean, scopes string, ceiling string")
+    seen = spark.createDataFrame([("x", "internal"), ("x", "restricted"), (None, "public"), ("y", None)], "scope string, level string")
+    counts = {n: seen.where(G.principal(who, n).sees(F.col("scope"), F.col("level"))).count() for n in "acde"}
+    assert counts == {"a": 1, "c": 0, "d": 4, "e": 0}
+    for name in ("b", "nobody"):
+        with pytest.raises(PermissionError):
+            G.principal(who, name)
     schema = {"type": "object", "required": ["a"], "properties": {"a": {"type": "array", "items": {"type": "integer", "minimum": 2}, "maxItems": 2}, "s": {"pattern": "^x", "minLength": 2}}, "additionalProperties": False}
     assert G.json_errors({"a": [2, 3]}, schema) == []
     assert len(G.json_errors({"a": [1, 2, 3], "b": 1, "s": "y"}, schema)) == 5 and G.json_errors({}, schema) == ["$.a: missing"]
@@ -274,9 +301,20 @@ def test_scalars(spark):
 def test_sources(spark):
     good = '{"subjects":[{"name":"a","type":"t","aliases":["x"]},{"type":"t"}],"verbs":[{"name":"v"}],"edges":[{"subject":"a","verb":"v","object":"b"},{"subject":"a"}]}'
     made = ingest.extraction(spark.createDataFrame([(1, good), (2, "broken")], "doc_id int, payload string"))
-    assert {k: v.count() for k, v in made.items()} == {"subjects": 1, "verbs": 1, "edges": 1, "skipped": 3}
+    assert {k: v.count() for k, v in made.items()} == {"subjects": 1, "verbs": 1, "edges": 1, "relationships": 0, "skipped": 3}
+    linked = ingest.extraction(spark.createDataFrame([(1, '{"relationships":[{"source":"a","relation":"r","target":"b"},{"source":"a"}]}')], "doc_id int, payload string"))
+    assert linked["relationships"].count() == 1 and [r.item for r in linked["skipped"].collect()] == [1]
     nodes, links = ingest.graph(spark.createDataFrame([('{"nodes":[{"id":"a"},{"id":"b"}],"links":[{"source":"a","target":"b","confidence":"INFERRED"},{"source":"a","target":"q"}]}',)], "payload string"))
     assert nodes.count() == 2 and [r.confidence for r in links.collect()] == [0.7]
+    three = spark.createDataFrame([('{"nodes":[{"id":"a"},{"id":"b"},{"id":"c"}],"links":[]}',)], "payload string")
+    assert ingest.graph(three, 3)[0].count() == 3
+    with pytest.raises(Exception, match="more than 2 nodes"):
+        ingest.graph(three, 2)[0].collect()
+    try:
+        import pypdf  # noqa: F401
+    except ImportError:
+        with pytest.raises(RuntimeError):
+            ingest.pdf_pages(three)
     spark.range(1).createOrReplaceTempView("listed")
     assert ("listed.id", "belongs_to", "listed") in ingest.catalog_graph(spark)[1]
 
