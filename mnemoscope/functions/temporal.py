@@ -11,10 +11,6 @@ def valid_at(start: Column, end: Column, at: Column) -> Column:
     return (start.isNull() | (start <= at)) & (end.isNull() | (end > at))
 
 
-def overlaps(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:
-    return (a_end.isNull() | (b_start < a_end)) & (b_end.isNull() | (a_start < b_end))
-
-
 def decayed(weight: Column, at: Column, now: Column, half_life_days: float) -> Column:
     days = (F.unix_timestamp(now) - F.unix_timestamp(at)) / 86400.0
     return weight * F.pow(F.lit(0.5), days / half_life_days)

@@ -34,6 +34,16 @@ def acknowledged(cursors: DataFrame, acks: DataFrame) -> DataFrame:
     return cursors.join(top, "consumer", "left").select("consumer", F.greatest("cursor", F.coalesce("seen", "cursor")).alias("cursor"))
 
 
+def checkpoints(cursors: DataFrame, reports: DataFrame) -> DataFrame:
+    """Connectors' cursors (connector, cursor, items) after reports (connector, nth, cursor, items, error): items add up
+    always, a cursor moves to that of the last report without an error."""
+    told = reports.groupBy("connector").agg(
+        F.max_by("cursor", F.when(F.col("error").isNull(), F.col("nth"))).alias("_last"), F.sum("items").alias("_more"), F.count_if(F.col("error").isNull()).alias("_good")
+    )
+    moved = F.when(F.col("_good") > 0, F.col("_last")).otherwise(F.col("cursor"))
+    return cursors.join(told, "connector", "left").select("connector", moved.alias("cursor"), (F.col("items") + F.coalesce("_more", F.lit(0))).alias("items"))
+
+
 def queue_stats(queues: DataFrame, jobs: DataFrame, statuses: Sequence[str]) -> DataFrame:
     """Counts by status; queues without jobs stay."""
     counts = jobs.groupBy("queue_id").agg(*(F.count_if(F.col("status") == s).alias(f"n_{s}") for s in statuses))

@@ -23,7 +23,7 @@ from mnemoscope.operators import lifecycle, records, text
 TYPES = ("claim", "fact", "memory", "episode_object")
 #: Weights of cues by kind.
 CUE_WEIGHTS = {"phrase": 2.0, "time_marker": 0.5, "subject": 1.5, "verb": 1.5, "predicate": 1.5, "term": 1.0}
-#: Registries in the order in which they are asked, and words that open a recall.
+#: Registries in the order in which they are asked; patterns of a recall and of a time marker.
 REGISTRIES = ("subject", "verb", "predicate")
 RECALL = r"^\s*(what|show me|list|find|where|when|who)\b"
 MARKER = r"(?i)\b(as of|before|after)\s+(\d{4}-\d{2}-\d{2}(?:T\d{2}:\d{2}(?::\d{2})?Z?)?)"
@@ -185,11 +185,11 @@ def planned(e: Envelope, registry: DataFrame, hints: Mapping[str, Any] | None =
 
 def _hits(rows: DataFrame, rank: Column, strategy: str, title: Column | None = None) -> DataFrame:
     shown = F.coalesce("title", F.lit("?")) if title is None else title
-    return rows.select("object_type", "object_id", shown.alias("title"), F.substring(F.coalesce("body", F.lit("")), 1, SNIPPET).alias("snippet"), rank.cast("double").alias("rank"), F.lit(strategy).alias("strategy"))
+    return rows.select("object_type", "object_id", shown.alias("title"), F.substring(F.coalesce("body", F.lit("")), 1, SNIPPET).alias("snippet"), rank.cast("double").alias("rank"), F.lit(strategy).alias("strategy"), "lifecycle_state")
 
 
 def _every(m: Memory, kinds: Sequence[str]) -> DataFrame | None:
-    columns = ("object_type", "object_id", "title", "body")
+    columns = ("object_type", "object_id", "title", "body", "lifecycle_state")
     parts = [m.table(k).select(*columns) for k in TYPES if k in kinds]
     return reduce(DataFrame.unionByName, parts) if parts else None
 
@@ -212,7 +212,7 @@ def fuzzy_subject(m: Memory, params: Mapping[str, Any]) -> DataFrame | None:
     needle = params.get("needle")
     if not needle:
         return None
-    parts = [m.table(k).select("object_type", "object_id", "subject") for k in ("claim", "fact")]
+    parts = [m.table(k).select("object_type", "object_id", "subject", "lifecycle_state") for k in ("claim", "fact")]
     near = F.round(S.similarity(S.trigrams(F.col("subject")), S.trigrams(F.lit(needle))), 6)
     found = parts[0].unionByName(parts[1]).where("subject is not null").withColumn("near", near).where(F.col("near") >= params.get("threshold", THRESHOLD))
     best = found.orderBy(F.desc("near"), "subject", "object_type", "object_id").limit(params.get("limit") or STRATEGY_LIMIT)
@@ -257,8 +257,8 @@ def execute(m: Memory, e: Envelope, hints: Mapping[str, Any] | None = None, limi
     every = reduce(DataFrame.unionByName, made)
     own = Window.partitionBy("object_type", "object_id").orderBy(F.desc_nulls_last("rank"), "strategy")
     best = every.withColumn("_n", F.row_number().over(own)).where("_n = 1").drop("_n")
-    gone = reduce(DataFrame.unionByName, [m.table(k).where(F.col("lifecycle_state").isin(*GONE)).select("object_type", "object_id") for k in TYPES[1:]])
-    live = best.join(gone, ["object_type", "object_id"], "left_anti")
+    # Hits carry their state, so no table is read again to leave out what is gone; claims have no such states.
+    live = best.where((F.col("object_type") == "claim") | ~F.coalesce(F.col("lifecycle_state").isin(*GONE), F.lit(False)))
     if e.confidence_floor is not None:
         sure = F.coalesce("confidence", F.lit(1.0))
         live = live.join(m.confidences, ["object_type", "object_id"], "left").where(sure >= e.confidence_floor).drop("confidence")

@@ -12,7 +12,7 @@ from mnemoscope.functions import strings as S
 from mnemoscope.functions import temporal as T
 from mnemoscope.functions import vectors as VF
 from mnemoscope.operators import graph, lifecycle, logs, records, retrieval, text, vectors
-from mnemoscope.sources import ingest
+from mnemoscope.sources import ingest, transforms
 from mnemoscope.sources.catalog import Catalog
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -327,7 +327,9 @@ def tree_root(c):
     return graph.roots(c.tree(), 4)
 
 
-@query()
+@query(f"""
+SELECT parent, '[' || string_agg('{{"ordinal":' || ordinal || ',"node":"' || node || '","kind":"' || split_part(node, ':', 1) || '"}}', ',' ORDER BY ordinal) || ']' AS subtree
+FROM {TREE} t WHERE parent IS NOT NULL GROUP BY parent""")
 def tree_json(c):
     return graph.children_json(c.tree())
 
@@ -417,7 +419,11 @@ def replay_episode(c):
     return lifecycle.replayed(c.facts(), "current_valid", lifecycle.at_time("1998-06-01")).select("subject_id", "later_changes", "hidden")
 
 
-@query()
+@query(f"""
+SELECT subject_id, '[' || coalesce(string_agg('{{"valid_from":"' || strftime(valid_from, '%Y-%m-%dT%H:%M:%S.000Z') || '","fact_id":' || fact_id || ',"verb":"' || verb || '","lifecycle_state":"' || lifecycle_state || '"}}',
+         ',' ORDER BY valid_from, fact_id) FILTER (WHERE {VALID}), '') || ']' AS steps,
+       count(*) FILTER (WHERE valid_from > {AT}) AS later_changes, count(*) FILTER (WHERE valid_from <= {AT} AND NOT ({VALID})) AS hidden
+FROM {FACTS} f GROUP BY subject_id""")
 def replay_steps(c):
     return lifecycle.replayed(c.facts(), "historical", lifecycle.at_time("1998-06-01"))
 
@@ -678,7 +684,14 @@ def text_search_simple(c):
     return text.text_search(c.documents, "this with", 50)
 
 
-@query()
+BM25 = [(w, f"t{i}") for i, w in enumerate(("for", "this", "with"))]
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, len(w)::DOUBLE AS n, {', '.join(f"len(list_filter(w, lambda x: x = '{w}'))::DOUBLE AS {t}" for w, t in BM25)} FROM (SELECT doc_id, {WORDS} AS w FROM documents)),
+s AS (SELECT count(*) AS docs, avg(n) AS avg_n, {', '.join(f"count(*) FILTER (WHERE {t} > 0) AS d_{t}" for _, t in BM25)} FROM d)
+SELECT doc_id, round({' + '.join(f"ln(1 + (docs - d_{t} + 0.5) / (d_{t} + 0.5)) * {t} * 2.2 / ({t} + 1.2 * (0.25 + 0.75 * n / avg_n))" for _, t in BM25)}, 6) AS rank
+FROM d, s WHERE {' + '.join(t for _, t in BM25)} > 0 ORDER BY rank DESC, doc_id LIMIT 50""")
 def text_search_ranked(c):
     return text.ranked_search(c.documents, "this with for", 50)
 
@@ -1056,7 +1069,14 @@ def applicability(c):
     return c.orders.select("o_orderkey", records.applicable(live, F.array("o_orderstatus"), F.col("o_orderdate"), rule).alias("fits"))
 
 
-@query()
+@query("""
+WITH o AS (SELECT *, CASE WHEN role = 'user' AND (lag(role) OVER w IS NULL OR lag(role) OVER w = 'assistant') THEN 1 ELSE 0 END AS n
+           FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+t AS (SELECT conv_id, turn, text, sum(n) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS topic_no FROM o),
+g AS (SELECT conv_id, topic_no, lower(string_agg(text, ' ' ORDER BY turn)) AS title FROM t GROUP BY conv_id, topic_no),
+r AS (SELECT *, contains(title, 'with')::INT + contains(title, 'this')::INT + contains(title, 'and')::INT + contains(title, 'for')::INT AS score FROM g WHERE conv_id = (SELECT min(conv_id) FROM g))
+SELECT 0 AS depth, 'chat:' || min(conv_id) AS node FROM r UNION ALL
+SELECT * FROM (SELECT 1, 'topic:' || conv_id || ':' || topic_no FROM r ORDER BY score DESC, topic_no LIMIT 1)""")
 def chat_descent(c):
     """Topics of conversations as a tree; the walk follows the words of a question."""
     turns = text.chat_topics(c.conversations).join(c.conversations.select("conv_id", "turn", "text"), ["conv_id", "turn"])
@@ -1251,3 +1271,39 @@ def principal_scope(c):
 def embedding_newest(c):
     cards = c.embeddings.select((F.col("label") % 4).alias("object_kind"), F.col("label").alias("object_id"), (lifecycle.at_time("2024-01-01") + F.make_dt_interval(hours=F.col("vec_id").cast("int"))).alias("embedded_at"))
     return vectors.newest_embedding(cards)
+
+
+@query("""
+SELECT c_custkey AS connector, coalesce(arg_max('at ' || event_id, event_id) FILTER (WHERE event_type <> 'error'), 'start') AS cursor, 5 + coalesce(sum(event_id % 7), 0)::BIGINT AS items
+FROM customer LEFT JOIN events ON c_custkey = user_id GROUP BY c_custkey""")
+def connector_checkpoint(c):
+    cursors = c.customer.select(F.col("c_custkey").alias("connector"), F.lit("start").alias("cursor"), F.lit(5).cast("long").alias("items"))
+    failed = F.when(F.col("event_type") == "error", "broken")
+    reports = c.events.select(F.col("user_id").alias("connector"), F.col("event_id").alias("nth"), F.concat(F.lit("at "), "event_id").alias("cursor"), (F.col("event_id") % 7).alias("items"), failed.alias("error"))
+    return logs.checkpoints(cursors, reports)
+
+
+@query("SELECT 'document' AS object_kind, doc_id AS object_id, CASE WHEN doc_id % 3 = 0 THEN 1 WHEN doc_id % 3 = 1 THEN 4 ELSE 3 END AS generation FROM documents")
+def embedding_queue(c):
+    """Objects of one remainder are new, of another changed, of the third only queued before."""
+    kind = F.lit("document").alias("object_kind")
+    queue = c.documents.where("doc_id % 3 <> 0").select(kind, F.col("doc_id").alias("object_id"), F.lit(3).alias("generation"))
+    return transforms.queued(queue, c.documents.where("doc_id % 3 <> 2").select(kind, F.col("doc_id").alias("object_id")))
+
+
+@query("SELECT doc_id, coalesce(CASE WHEN source <> 'src2' THEN source END, 'src1') AS scope, 'loader' AS created_by FROM documents WHERE source IN ('src1', 'src2', 'src3')")
+def ingest_stamp(c):
+    """Rows without a scope get the principal's first."""
+    who = G.Principal("loader", ("src1", "src3"), 3)
+    rows = c.documents.where("source IN ('src1', 'src2', 'src3')").select("doc_id", F.when(F.col("source") != "src2", F.col("source")).alias("scope"))
+    return transforms.stamped(rows, who, lifecycle.at_time("2024-01-01")).select("doc_id", "scope", "created_by")
+
+
+@query("""
+SELECT o_orderkey AS source_id, o_custkey AS target_id FROM orders
+WHERE o_orderdate <= TIMESTAMP '1998-06-01' AND (o_orderstatus = 'O' OR o_orderdate + INTERVAL 60 DAY > TIMESTAMP '1998-06-01')""")
+def edges_as_of(c):
+    """Edges of open orders have no end."""
+    begun = F.col("o_orderdate").cast("timestamp")
+    made = c.orders.select(F.col("o_orderkey").alias("source_id"), F.col("o_custkey").alias("target_id"), begun.alias("valid_from"), F.when(F.col("o_orderstatus") != "O", begun + F.expr("INTERVAL 60 DAYS")).alias("valid_to"))
+    return lifecycle.edges_as_of(made, lifecycle.at_time("1998-06-01")).select("source_id", "target_id")

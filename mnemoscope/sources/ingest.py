@@ -101,6 +101,7 @@ def pdf_pages(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(read, "path string, page int, text string")
 
 
-def binary_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """Objects of a store that Spark reads: path, length, modification time, content."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
+def objects(spark: SparkSession, path: str, pattern: str = "*", content: bool = True) -> DataFrame:
+    """Objects of a store that Spark reads: path, length, modification time, and content if wanted (its bytes aren't read otherwise)."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
+    return found if content else found.drop("content")

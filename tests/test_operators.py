@@ -9,7 +9,7 @@ from mnemoscope.functions import strings as S
 from mnemoscope.functions import temporal as T
 from mnemoscope.functions import vectors as V
 from mnemoscope.operators import graph, lifecycle, logs, records, retrieval, text, vectors
-from mnemoscope.sources import ingest
+from mnemoscope.sources import ingest, transforms
 from mnemoscope.sources.catalog import Catalog
 from mnemoscope.streaming import windows
 
@@ -298,7 +298,7 @@ def test_scalars(spark):
     assert [r[0] for r in levels.select(G.sensitivity_rank(F.col("l"))).collect()] == [0, 1, 3]
 
 
-def test_sources(spark):
+def test_sources(spark, tmp_path):
     good = '{"subjects":[{"name":"a","type":"t","aliases":["x"]},{"type":"t"}],"verbs":[{"name":"v"}],"edges":[{"subject":"a","verb":"v","object":"b"},{"subject":"a"}]}'
     made = ingest.extraction(spark.createDataFrame([(1, good), (2, "broken")], "doc_id int, payload string"))
     assert {k: v.count() for k, v in made.items()} == {"subjects": 1, "verbs": 1, "edges": 1, "relationships": 0, "skipped": 3}
@@ -315,6 +315,10 @@ def test_sources(spark):
     except ImportError:
         with pytest.raises(RuntimeError):
             ingest.pdf_pages(three)
+    for name in ("a.bin", "b.txt"):
+        (tmp_path / name).write_bytes(name.encode() * 3)
+    assert [(r.length, bytes(r.content)) for r in ingest.objects(spark, str(tmp_path), "*.bin").collect()] == [(15, b"a.bin" * 3)]
+    assert ingest.objects(spark, str(tmp_path), content=False).columns == ["path", "modificationTime", "length"]
     spark.range(1).createOrReplaceTempView("listed")
     assert ("listed.id", "belongs_to", "listed") in ingest.catalog_graph(spark)[1]
 
@@ -369,3 +373,21 @@ def test_records(spark):
     )
     assert [(r.memory_id, r.title) for r in made.collect()] == [(100, "a\nb")] and edges.count() == 2
     assert records.tenant_view(spark.createDataFrame([("t", 1), ("u", 2)], "owner_schema string, v int"), "t").collect()[0].asDict() == {"v": 1}
+
+
+def test_transforms(spark):
+    who = G.Principal("a", ("x", "y"), 3)
+    rows = spark.createDataFrame([(1, None), (2, "y")], "k int, scope string")
+    at = lifecycle.at_time("2024-01-01")
+    assert {r.k: (r.scope, r.created_by) for r in transforms.stamped(rows, who, at).collect()} == {1: ("x", "a"), 2: ("y", "a")}
+    with pytest.raises(Exception, match="may not write to z"):
+        transforms.stamped(spark.createDataFrame([(1, "z")], "k int, scope string"), who, at).collect()
+    schema = {"type": "object", "required": ["a"]}
+    good = spark.createDataFrame([(1, '{"a":1}'), (2, None)], "k int, p string")
+    assert transforms.validated(good, {"p": schema}).count() == 2 and transforms.validated(good, {"p": schema}).columns == ["k", "p"]
+    with pytest.raises(Exception, match="a: missing"):
+        transforms.validated(spark.createDataFrame([(1, "{}")], "k int, p string"), {"p": schema}).collect()
+    old = spark.createDataFrame([(1, "t", datetime(2024, 1, 1)), (2, "u", None)], "k int, body string, sealed_at timestamp")
+    assert transforms.sealed(old, spark.createDataFrame([(1, "t"), (2, "v"), (3, "w")], "k int, body string"), "k", ["body"]).count() == 3
+    with pytest.raises(Exception, match="sealed row 1"):
+        transforms.sealed(old, spark.createDataFrame([(1, "other")], "k int, body string"), "k", ["body"]).collect()
