@@ -20,12 +20,16 @@ result; other columns of the input are not read.
 from __future__ import annotations
 
 from array import array
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import with_slots, written
+from .textvec import column_pieces
+from .tokens import encoder
 
 BUCKETS, BUDGET = 16, 32_768
 
@@ -35,6 +39,17 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"\S+")) + 1
 
 
+def with_token_counts(docs: DataFrame, tokenizer_path: str, text_col: str = "text", into: str = "n_tokens") -> DataFrame:
+    """``docs`` with the number of a tokenizer's ids of each text, and an end token, for ``packed(length=...)``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = [len(ids) + 1 for _, texts in column_pieces(batch.column(text_col)) for ids in encoder(tokenizer_path).encode(texts)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sizes, pa.int64())], names=[*batch.schema.names, into])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(into, LongType())]))
+
+
 def _hidden(first: tuple, second: tuple, slope: int, offset: int) -> bool:
     """Whether the second of three lines of falling slope is nowhere the lowest."""
     return (offset - first[1]) * (first[0] - second[0]) <= (second[1] - first[1]) * (first[0] - slope)

@@ -16,7 +16,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 
-from .textvec import LETTER, MARK, NUMBER, OTHER, SPACE, byte_places, classes, code_points, range_hashes, remembered, same_bytes
+from .textvec import LETTER, MARK, OTHER, SPACE, byte_places, classes, code_points, range_hashes, remembered, same_bytes
 
 #: Distinct words that an encoder remembers before it starts anew.
 REMEMBERED = 1_000_000

@@ -93,3 +93,17 @@ def test_odd_rows(spark):
     assert sorted(r.n_tokens for r in got) == [1, 1, 1, 3, 50_001]
     held(got, 100)
     assert packing.packed(df.limit(0)).count() == 0
+
+
+def test_lengths_by_a_tokenizer(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = str(public_tokenizers.path("byte_bpe_50k.json"))
+    rows = [(1, None), (2, "some words, and more"), (3, "日本語のテキスト" * 50), (4, "x" * 3000)]
+    counted = packing.with_token_counts(spark.createDataFrame(rows, "doc_id long, text string"), path, into="ids")
+    want = {i: len(Tokenizer.from_file(path).encode(t or "", add_special_tokens=False).ids) + 1 for i, t in rows}
+    assert {r.doc_id: r.ids for r in counted.collect()} == want
+    got = packing.packed(counted, length=F.col("ids")).collect()
+    assert {r.doc_id: r.n_tokens for r in got} == want
+    held(got, packing.BUDGET)
