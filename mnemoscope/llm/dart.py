@@ -22,6 +22,8 @@ import numpy as np
 from .textvec import mix
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+#: Darts that are thrown at once when few strips are left.
+THROWN = 1 << 14
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -70,17 +72,23 @@ def sketches(elements: np.ndarray, weights: np.ndarray, of: np.ndarray, count: i
     while len(open_):
         at = at[active[owner[at]]]
         while len(at):
-            within = rank[at] <= reach[owner[at]]
-            waiting.append(at[~within])
-            at = at[within]
-            if not len(at):
-                break
-            dart = mix(seed[at] ^ mix(nth[at] + GOLDEN))
-            hit = low[at] + width[at] * _unit(mix(dart + GOLDEN)) < top[at]
-            place = owner[at[hit]] * k + (mix(dart[hit]) % np.uint64(k)).astype(np.int64)
-            _keep(flat, least, place, rank[at[hit]], dart[hit])
-            nth[at] += np.uint64(1)
-            rank[at] += -np.log(_unit(mix(seed[at] + nth[at]))) / width[at]
+            # The fewer strips are left, the more darts of each are thrown at once.
+            many = max(1, THROWN // len(at))
+            count_of = nth[at, None] + np.arange(many + 1, dtype=np.uint64)
+            steps = -np.log(_unit(mix(seed[at, None] + count_of[:, 1:]))) / width[at, None]
+            ranks = np.cumsum(np.column_stack([rank[at], steps]), axis=1)
+            within = ranks[:, :many] <= reach[owner[at], None]
+            thrown = within.sum(axis=1)
+            strip, column = np.nonzero(within)
+            who = at[strip]
+            dart = mix(seed[who] ^ mix(count_of[strip, column] + GOLDEN))
+            hit = low[who] + width[who] * _unit(mix(dart + GOLDEN)) < top[who]
+            place = owner[who[hit]] * k + (mix(dart[hit]) % np.uint64(k)).astype(np.int64)
+            _keep(flat, least, place, ranks[strip[hit], column[hit]], dart[hit])
+            nth[at] += thrown.astype(np.uint64)
+            rank[at] = ranks[np.arange(len(at)), thrown]
+            waiting.append(at[thrown < many])
+            at = at[thrown == many]
         open_ = open_[np.isinf(least.reshape(count, k)[open_]).any(axis=1)]
         active[:] = False
         active[open_] = True
@@ -92,11 +100,6 @@ def sketches(elements: np.ndarray, weights: np.ndarray, of: np.ndarray, count: i
 
 def _keep(flat: np.ndarray, least: np.ndarray, place: np.ndarray, rank: np.ndarray, dart: np.ndarray) -> None:
     """Keep the dart of least rank at each place."""
-    order = np.lexsort((rank, place))
-    place, rank, dart = place[order], rank[order], dart[order]
-    lead = np.ones(len(place), bool)
-    lead[1:] = place[1:] != place[:-1]
-    place, rank, dart = place[lead], rank[lead], dart[lead]
-    better = rank < least[place]
-    least[place[better]] = rank[better]
-    flat[place[better]] = dart[better]
+    np.minimum.at(least, place, rank)
+    won = rank == least[place]
+    flat[place[won]] = dart[won]
