@@ -66,8 +66,8 @@ def drop_common_lines(
     held = with_entries(likely, common, ["digest"], "rows", ["id", "pos"])
     doc, th, drop = fresh(docs, "_id", "_th", "_drop")
     gone = held.where(F.col("_entry.holder") != F.col("id")).groupBy(F.col("id").alias(doc), F.col("th").alias(th)).agg(F.collect_set("pos").alias(drop))
-    # Written, so that the join may split a document that is repeated very often.
-    joined = docs.withColumns({doc: identity, th: F.xxhash64(whole)}).join(written(gone, "dropped-lines"), [doc, th], "left")
+    # Written, so that the join may split a document that is repeated very often; the same join at every size.
+    joined = docs.withColumns({doc: identity, th: F.xxhash64(whole)}).join(written(gone, "dropped-lines").hint("merge"), [doc, th], "left")
     rest = let(
         F.split(whole, "\n", -1).alias("lines"),
         F.col(drop).alias("drop"),

@@ -264,12 +264,12 @@ def _links(weigh: Weigh) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
 def _checked(pairs: DataFrame, texts: DataFrame, weigh: Weigh) -> DataFrame:
     """Pairs (a, b) that are links. Pairs of one node are dealt over salts, its text once a salt."""
     counts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_salts"))
-    other = pairs.join(counts, "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+    other = pairs.join(counts, "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b")
     other = other.withColumn("_salt", F.pmod(F.xxhash64("b"), F.col("_salts")).cast("int")).drop("_salts")
-    own = counts.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").select(
+    own = counts.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a").select(
         "a", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)).alias("_salt"), "text_a"
     )
-    both = other.join(own, ["a", "_salt"]).select("a", "b", "text_a", "text_b")
+    both = other.join(own.hint("merge"), ["a", "_salt"]).select("a", "b", "text_a", "text_b")
     return written(both.mapInArrow(_links(weigh), "a long, b long, similarity double").groupBy("a", "b").agg(F.max("similarity").alias("similarity")), "links")
 
 
@@ -397,7 +397,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sketched = written(source.mapInArrow(_sketch(weigh), SKETCH), "sketches")
     # A text that stands alone is its own node and needs no entry.
     same = written(sketched.groupBy("print").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1), "same")
-    named = with_entries(sketched.select("id", "print", "bands"), same, ["print"], "_n", ["id"])
+    named = with_entries(sketched.select("id", "print", "bands"), same, ["print"], "_n", ["id"], alike=True)
     rep = F.coalesce("_entry.rep", "id")
     # Rows of equal identifiers can be several nodes of one name, so a node is a name and a text.
     node = F.xxhash64("print").alias("node")
@@ -407,10 +407,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = with_entries(spread, written(full, "full"), ["key"], "_n", ["rep"]).where(F.col("_entry").isNotNull())
     shared = written(shared.select("rep", "node", "band", "key"), "shared")
     # Sketches go only to nodes that share a bucket.
-    drawn = sketched.select(F.col("id").alias("rep"), node, "sketch").join(shared.select("rep", "node").distinct(), ["rep", "node"], "left_semi")
+    drawn = sketched.select(F.col("id").alias("rep"), node, "sketch").join(shared.select("rep", "node").distinct().hint("merge"), ["rep", "node"], "left_semi")
     banded = written(shared.join(drawn.dropDuplicates(["rep", "node"]), ["rep", "node"]).drop("node"), "banded")
     near = shared.select(F.col("rep").alias("id")).distinct()
-    texts = written(source.join(near, "id", "left_semi"), "near-texts")
+    # Joins that move texts are the same at every size, so their cost grows with the input.
+    texts = written(source.join(near.hint("merge"), "id", "left_semi"), "near-texts")
     tested, links, classes = None, None, None
     for turn in range(FORESTS + 1):
         last = turn == FORESTS
