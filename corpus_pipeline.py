@@ -40,7 +40,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of least identifier of each class of near duplicates."""
     kept = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id").distinct()
-    both = docs.select(*COLUMNS).join(kept.withColumnRenamed("doc_id", "_kept"), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    # The same join at every size, so that its cost grows with the input.
+    both = docs.select(*COLUMNS).join(kept.withColumnRenamed("doc_id", "_kept").hint("merge"), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
     return both.select(*COLUMNS)
 
 
