@@ -335,7 +335,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     present = known.join(source.select("doc_id").distinct(), "doc_id", "left_semi")
     present = written(present.withColumn("turn", F.xxhash64("doc_id")), "labels")
     totals = {r.toxic: r["count"] for r in present.groupBy("toxic").count().collect()}
-    picked = [present.where(F.col("toxic") == c).orderBy("turn", "doc_id").limit(SAMPLE) for c in (0, 1)]
+    picked = [_first(present.where(F.col("toxic") == c), totals.get(c, 0)) for c in (0, 1)]
     # At most 2 * SAMPLE rows of three numbers each.
     sample = written(source.join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id").dropDuplicates(["doc_id"]), "examples")
     rows = [tuple(r) for r in sample.mapInArrow(_marks, "doc_id long, toxic int, turn long, marks array<long>").collect()]
@@ -373,6 +373,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return _calibrated(vocabulary, idf, rows, chosen, scale, totals[1] / (totals[0] + totals[1]), bool(len(runs)))
 
 
+def _first(rows: DataFrame, total: int) -> DataFrame:
+    """The SAMPLE rows of least turn, a uniform hash. Rows beyond twice their share are left out before they are sorted."""
+    if total > 4 * SAMPLE:
+        rows = rows.where(F.col("turn") <= -(2**63) + 2 * SAMPLE * 2**64 // total)
+    return rows.orderBy("turn", "doc_id").limit(SAMPLE)
+
+
 def _held(examples: DataFrame, vocabulary: np.ndarray, runs: bool = False) -> list[tuple[int, int, int, int]]:
     return [tuple(r) for r in examples.mapInArrow(_holding(np.sort(vocabulary), runs), "doc_id long, toxic int, term long, n long").collect()]
 

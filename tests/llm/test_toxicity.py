@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from mnemoscope.llm import toxicity as tx
 
@@ -152,6 +153,14 @@ def test_copies_are_one_example():
     assert tx.grouped(rows) == {1: (1, 3, 1), 4: (0, 0, 1)}
 
 
+def test_first_rows_by_turn(spark, monkeypatch):
+    monkeypatch.setattr(tx, "SAMPLE", 200)
+    rows = spark.range(3000).select(F.col("id").alias("doc_id"), F.xxhash64("id").alias("turn"))
+    want = sorted((r.turn, r.doc_id) for r in rows.collect())[:200]
+    for total in (3000, 10):
+        assert sorted((r.turn, r.doc_id) for r in tx._first(rows, total).collect()) == want
+
+
 def test_odd_tables(spark):
     rows, labels = corpus(300)
     rows += [(5000, None), (5001, ""), (None, "vilezz"), (3, rows[3][1]), (5002, "x " * 30_000 + "vilezz")]
