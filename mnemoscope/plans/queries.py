@@ -420,7 +420,7 @@ def replay_episode(c):
 
 
 @query(f"""
-SELECT subject_id, '[' || coalesce(string_agg('{{"valid_from":"' || strftime(valid_from, '%Y-%m-%dT%H:%M:%S.000Z') || '","fact_id":' || fact_id || ',"verb":"' || verb || '","lifecycle_state":"' || lifecycle_state || '"}}',
+SELECT subject_id, '[' || coalesce(string_agg('{{"valid_from":"' || strftime(valid_from, '%Y-%m-%dT%H:%M:%S.000') || '","fact_id":' || fact_id || ',"verb":"' || verb || '","lifecycle_state":"' || lifecycle_state || '"}}',
          ',' ORDER BY valid_from, fact_id) FILTER (WHERE {VALID}), '') || ']' AS steps,
        count(*) FILTER (WHERE valid_from > {AT}) AS later_changes, count(*) FILTER (WHERE valid_from <= {AT} AND NOT ({VALID})) AS hidden
 FROM {FACTS} f GROUP BY subject_id""")
