@@ -56,3 +56,15 @@ def cron_next(expression: str, after: datetime) -> datetime:
         else:
             return at
     raise ValueError(f"{expression!r} never fires")
+
+
+def next_fire(expression: Column, after: Column) -> Column:
+    """``cron_next`` of columns, by an Arrow-batched function; null where either is null."""
+    import pandas as pd
+
+    @F.pandas_udf("timestamp")
+    def fire(cron: pd.Series, at: pd.Series) -> pd.Series:
+        found = [None if c is None or pd.isna(t) else cron_next(c, t.to_pydatetime().replace(tzinfo=None)) for c, t in zip(cron, at, strict=True)]
+        return pd.Series(found, dtype="datetime64[ns]")
+
+    return fire(expression, after.cast("timestamp"))

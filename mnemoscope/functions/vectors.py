@@ -40,6 +40,11 @@ def normalized(a: Column) -> Column:
     return F.when(size == 0, a).otherwise(F.transform(a, lambda x: (x.cast("double") / size).cast("float")))
 
 
+def registered(a: Column) -> Column:
+    """(embedding, norm): a vector at length 1, and the length that it came with."""
+    return F.struct(normalized(a).alias("embedding"), norm(a).alias("norm"))
+
+
 def distance(metric: str, a: Column, b: Column) -> Column:
     if metric == "cosine":
         return cosine_distance(a, b)

@@ -187,6 +187,27 @@ def retention_candidates(objects: DataFrame, holds: DataFrame, cutoff: Column, s
     return objects.where(F.col("state").isin(states) & old).join(holds, "object_id", "left_anti")
 
 
+#: States that a legal hold forbids.
+HELD = ("tombstoned", "retired", "archived")
+
+
+def with_states(objects: DataFrame, changes: DataFrame, holds: DataFrame) -> DataFrame:
+    """Objects (object_id, state, ...) with the new states of ``changes`` (object_id, state); one that a legal hold forbids raises an error."""
+    new = changes.groupBy("object_id").agg(F.max("state").alias("_new"))
+    held = holds.select("object_id").distinct().withColumn("_held", F.lit(True))
+    found = objects.join(new, "object_id", "left").join(held, "object_id", "left")
+    refused = F.raise_error(F.concat(F.lit("a legal hold is on object "), F.col("object_id").cast("string"))).cast("string")
+    state = F.when(F.col("_new").isNull(), F.col("state")).when(F.col("_held") & F.col("_new").isin(*HELD), refused).otherwise(F.col("_new"))
+    return found.withColumn("state", state).select(*objects.columns)
+
+
+def pruned(objects: DataFrame, prunes: DataFrame, holds: DataFrame) -> DataFrame:
+    """Objects with those of ``prunes`` (object_id, reason) tombstoned; rows stay, as they show where others came from."""
+    given = F.length(F.coalesce("reason", F.lit(""))) > 0
+    wanted = prunes.select(F.when(given, F.col("object_id")).otherwise(F.raise_error(F.lit("pruning needs a reason")).cast("long")).alias("object_id"), F.lit("tombstoned").alias("state"))
+    return with_states(objects, wanted, holds)
+
+
 def cost(tokens_in: Column, tokens_out: Column, price_in: Column, price_out: Column, cached: Column) -> Column:
     """Nothing for a cache hit; null where a price is unknown."""
     return F.when(cached, F.lit(0.0)).otherwise(tokens_in * price_in + tokens_out * price_out)

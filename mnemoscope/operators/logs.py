@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mnemoscope.functions import temporal as T
+
 
 def _micros(at: Column) -> Column:
     return F.unix_micros(at.cast("timestamp"))
@@ -134,6 +137,19 @@ def prometheus(counts: DataFrame, metric: str, label: str) -> DataFrame:
     return counts.select(F.format_string(metric + "{" + label + '="%s"} %d', value, "n").alias("line"))
 
 
+def exposition(metrics: Mapping[str, tuple[DataFrame, str]]) -> DataFrame:
+    """Lines of several metrics: name to (rows, column); a metric counts its rows by the column's values."""
+    made = [prometheus(rows.groupBy(F.col(c).cast("string").alias("value")).agg(F.count(F.lit(1)).alias("n")).where("value is not null"), name, c) for name, (rows, c) in metrics.items()]
+    return reduce(DataFrame.unionByName, made)
+
+
+def ticked(schedules: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+    """Schedules (schedule_id, cron, enabled, next_run_at) after a tick, and those that fire: enabled ones whose time has come."""
+    due = F.col("enabled") & (F.col("next_run_at") <= now)
+    after = schedules.withColumn("next_run_at", F.when(due, T.next_fire(F.col("cron"), now)).otherwise(F.col("next_run_at")))
+    return after, schedules.where(due)
+
+
 def traces(events: DataFrame, key: Sequence[str]) -> DataFrame:
     """Steps of each trace in order, with the step before."""
     own = Window.partitionBy(*key).orderBy("ts", "event_id")

@@ -120,8 +120,9 @@ def contains_fields(payload: Column, wanted: Mapping[str, object]) -> Column:
 
 
 def typed_attributes(attributes: DataFrame) -> DataFrame:
-    """Attributes with the first value that is there (time, number, text, JSON) and its type; references keep theirs."""
-    kinds = (("timestamp", "value_timestamp"), ("numeric", "value_numeric"), ("text", "value_text"), ("jsonb", "value_json"))
+    """Attributes with the first value that is there (time, range of times, number, text, JSON) and its type; references keep theirs."""
+    kinds = (("timestamp", "value_timestamp"), ("tstzrange", "value_range"), ("numeric", "value_numeric"), ("text", "value_text"), ("jsonb", "value_json"))
+    kinds = tuple(k for k in kinds if k[1] in attributes.columns)
     value = F.coalesce(*(F.col(c).cast("string") for _, c in kinds))
     kind = F.when(F.col("ref_source").isNotNull(), "reference")
     for name, c in kinds:
@@ -136,6 +137,44 @@ def promoted(observations: DataFrame, least: int) -> tuple[DataFrame, DataFrame]
     return claims, observations.join(claims, keys, "left_anti")
 
 
+def promoted_to_facts(members: DataFrame, chosen: DataFrame, first_id: int) -> tuple[DataFrame, DataFrame]:
+    """Pool members (member_id, pool_id, kind, object_id, promoted_to) after ``chosen`` (member_id) became facts, and the facts (fact_id, claim_id, pool_id).
+
+    Only pending claims that weren't promoted may be; others raise an error. The claim
+    stays as a member that names its fact, and the fact becomes a member of the pool.
+    """
+    hit = members.join(chosen.select("member_id").distinct().withColumn("_hit", F.lit(True)), "member_id", "left")
+    wrong = F.raise_error(F.concat(F.lit("member "), F.col("member_id").cast("string"), F.lit(" is no pending claim"))).cast("long")
+    fits = (F.col("kind") == "pending_claim") & F.col("promoted_to").isNull()
+    fact = F.when(fits, F.col("member_id") + first_id).otherwise(wrong)
+    old = hit.withColumn("promoted_to", F.when(F.col("_hit"), fact).otherwise(F.col("promoted_to"))).select(*members.columns)
+    made = hit.where("_hit").select("member_id", "pool_id", fact.alias("fact_id"), F.col("object_id").alias("claim_id"))
+    new = made.select(F.col("fact_id").alias("member_id"), "pool_id", F.lit("fact").alias("kind"), F.col("fact_id").alias("object_id"), F.lit(None).cast("long").alias("promoted_to"))
+    return old.unionByName(new), made.select("fact_id", "claim_id", "pool_id")
+
+
+def routed(models: DataFrame, migrations: DataFrame, kind: str = "embedding") -> DataFrame:
+    """Spaces (strategy, space_id, weight, role, migration_id) that a query of a kind of model goes to.
+
+    models: (kind, state, space_id); migrations: (migration_id, source_space, target_space,
+    status, percent, started_at). Without an active model there is an error; a migration in
+    dual_serve splits, one in cutover or cleanup sends all to its target.
+    """
+    active = models.where((F.col("kind") == kind) & (F.col("state") == "active")).orderBy("space_id").select("space_id").first()
+    if active is None:
+        raise ValueError(f"no active model of kind {kind}")
+    going = migrations.where((F.col("source_space") == active.space_id) & F.col("status").isin("dual_serve", "cutover", "cleanup"))
+    last = going.orderBy(F.desc("started_at"), F.desc("migration_id")).first()
+    if last is None:
+        rows = [("active", active.space_id, 1.0, "active", None)]
+    elif last.status == "dual_serve":
+        share = round(last.percent / 100.0, 4)
+        rows = [("dual_serve", last.source_space, round(1 - share, 4), "source", last.migration_id), ("dual_serve", last.target_space, share, "target", last.migration_id)]
+    else:
+        rows = [("target_only", last.target_space, 1.0, "target", last.migration_id)]
+    return models.sparkSession.createDataFrame(rows, "strategy string, space_id long, weight double, role string, migration_id long")
+
+
 def consolidated(memories: DataFrame, groups: DataFrame, first_id: int) -> tuple[DataFrame, DataFrame]:
     """Successors of groups (group_id, memory_id) and the edges (source, rel, target) to what they take the place of."""
     joined = memories.join(groups, "memory_id")

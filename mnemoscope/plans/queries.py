@@ -1307,3 +1307,87 @@ def edges_as_of(c):
     begun = F.col("o_orderdate").cast("timestamp")
     made = c.orders.select(F.col("o_orderkey").alias("source_id"), F.col("o_custkey").alias("target_id"), begun.alias("valid_from"), F.when(F.col("o_orderstatus") != "O", begun + F.expr("INTERVAL 60 DAYS")).alias("valid_to"))
     return lifecycle.edges_as_of(made, lifecycle.at_time("1998-06-01")).select("source_id", "target_id")
+
+
+@query("""
+SELECT o_orderkey AS object_id, CASE WHEN o_orderkey % 7 = 0 AND o_custkey % 10 <> 0 THEN 'archived' WHEN o_orderkey % 7 = 0 THEN 'active' ELSE o_orderstatus END AS state FROM orders""")
+def lifecycle_states(c):
+    """Some objects are archived; those on hold may only go back to active."""
+    objects = c.orders.select(F.col("o_orderkey").alias("object_id"), F.col("o_orderstatus").alias("state"))
+    holds = c.orders.where("o_custkey % 10 = 0").select(F.col("o_orderkey").alias("object_id"))
+    changes = c.orders.where("o_orderkey % 7 = 0").select(F.col("o_orderkey").alias("object_id"), F.when(F.col("o_custkey") % 10 == 0, "active").otherwise("archived").alias("state"))
+    return lifecycle.with_states(objects, changes, holds)
+
+
+@query("SELECT o_orderkey AS object_id, CASE WHEN o_orderkey % 11 = 0 THEN 'tombstoned' ELSE o_orderstatus END AS state FROM orders")
+def prune_objects(c):
+    objects = c.orders.select(F.col("o_orderkey").alias("object_id"), F.col("o_orderstatus").alias("state"))
+    return lifecycle.pruned(objects, objects.where("object_id % 11 = 0").select("object_id", F.lit("old").alias("reason")), objects.where("object_id % 11 = 1").select("object_id"))
+
+
+@query("""
+WITH m AS (SELECT event_id AS member_id, user_id AS pool_id, CASE WHEN event_type = 'view' THEN 'pending_claim' ELSE 'observation' END AS kind, event_id * 2 AS object_id FROM events),
+f AS (SELECT * FROM m WHERE kind = 'pending_claim' AND member_id % 3 = 0)
+SELECT member_id, pool_id, kind, object_id, CASE WHEN kind = 'pending_claim' AND member_id % 3 = 0 THEN member_id + 1000000 END AS promoted_to FROM m UNION ALL
+SELECT member_id + 1000000, pool_id, 'fact', member_id + 1000000, NULL FROM f""")
+def pool_promote_to_fact(c):
+    kind = F.when(F.col("event_type") == "view", "pending_claim").otherwise("observation")
+    members = c.events.select(F.col("event_id").alias("member_id"), F.col("user_id").alias("pool_id"), kind.alias("kind"), (F.col("event_id") * 2).alias("object_id"), F.lit(None).cast("long").alias("promoted_to"))
+    return records.promoted_to_facts(members, members.where("kind = 'pending_claim' AND member_id % 3 = 0").select("member_id"), 1_000_000)[0]
+
+
+@query("""
+SELECT * FROM (VALUES ('dual_serve', 4, 0.7::DOUBLE, 'source', 12), ('dual_serve', 9, 0.3, 'target', 12)) t(strategy, space_id, weight, role, migration_id)""")
+def route_query(c):
+    models = c.spark.createDataFrame([("embedding", "active", 4), ("embedding", "canary", 9), ("rank", "active", 7)], "kind string, state string, space_id long")
+    moves = c.spark.createDataFrame([(11, 4, 8, "aborted", 50.0, 5), (12, 4, 9, "dual_serve", 30.0, 3), (13, 4, 8, "cutover", 0.0, 1)], "migration_id long, source_space long, target_space long, status string, percent double, started_at int")
+    return records.routed(models, moves)
+
+
+@query("""
+SELECT doc_id, rank FROM (SELECT doc_id, 0.0::DOUBLE AS rank, row_number() OVER (ORDER BY doc_id % 10, doc_id) AS n FROM documents WHERE doc_id % 2 = 0) WHERE n <= 30""")
+def pool_search_fallback(c):
+    """Nothing matches, so the members come in the order in which they were added."""
+    members = c.documents.where("doc_id % 2 = 0").select("doc_id", (F.col("doc_id") % 10).alias("added_at"))
+    return text.pool_search(c.documents, members, "zzzz nowhere", 30, fallback=True)
+
+
+@query(f"""
+SELECT skill_id, round(s + near, 6) AS score, concat_ws(',', CASE WHEN s >= 100 THEN 'subject' END, CASE WHEN near > 0 THEN 'embedding' END) AS reasons FROM (
+  SELECT p_partkey AS skill_id, CASE WHEN p_brand = 'Brand#2' THEN 100 ELSE 0 END AS s, coalesce(near, 0) AS near
+  FROM part LEFT JOIN (SELECT chunk_id, greatest(round(1 - {COSINE}, 6), 0) AS near FROM {CHUNKS} c, {Q} p) v ON chunk_id = p_partkey) WHERE s + near > 0""")
+def skill_score_embedding(c):
+    skills = c.part.select(F.col("p_partkey").alias("skill_id"), F.col("p_brand").alias("subject"), F.col("p_type").alias("verb"), F.array().cast("array<string>").alias("keywords"), F.col("p_name").alias("text"))
+    own = c.chunks().select(F.col("chunk_id").alias("skill_id"), "embedding")
+    return text.skill_scores(skills, "Brand#2", None, None, None, own, probe())
+
+
+@query(f"SELECT chunk_id, round(sqrt(list_sum(list_transform(e, lambda x: x * x))) * 3, 4) AS norm, 1.0::DOUBLE AS unit FROM {CHUNKS} c")
+def vector_register(c):
+    """Chunks come three times as long; they are kept at length 1, with the length that they had."""
+    longer = F.transform("embedding", lambda x: (x.cast("double") * 3).cast("float"))
+    made = c.chunks().select("chunk_id", VF.registered(longer).alias("r"))
+    return made.select("chunk_id", F.round("r.norm", 4).alias("norm"), F.round(VF.norm(F.col("r.embedding")), 4).alias("unit"))
+
+
+@query("""
+SELECT 'events_total{event_type="' || event_type || '"} ' || count(*) AS line FROM events GROUP BY event_type UNION ALL
+SELECT 'documents_total{lang="' || lang || '"} ' || count(*) FROM documents GROUP BY lang UNION ALL
+SELECT 'chunks_total{compartment_id="' || label || '"} ' || count(*) FROM embeddings GROUP BY label""")
+def metrics_exposition(c):
+    return logs.exposition({"events_total": (c.events, "event_type"), "documents_total": (c.documents, "lang"), "chunks_total": (c.chunks(), "compartment_id")})
+
+
+@query("""
+SELECT event_id AS schedule_id, CASE WHEN event_id % 2 = 0 AND date_trunc('day', ts) <= TIMESTAMP '2024-01-15 10:07:00' THEN TIMESTAMP '2024-01-15 10:15:00' ELSE date_trunc('day', ts)::TIMESTAMP END AS next_run_at FROM events""")
+def schedule_tick(c):
+    """Every second schedule is enabled; those due run again at the next quarter of an hour."""
+    own = c.events.select(F.col("event_id").alias("schedule_id"), F.lit("*/15 * * * *").alias("cron"), (F.col("event_id") % 2 == 0).alias("enabled"), F.date_trunc("day", "ts").alias("next_run_at"))
+    return logs.ticked(own, lifecycle.at_time("2024-01-15 10:07:00"))[0].select("schedule_id", "next_run_at")
+
+
+@query("""
+SELECT p_partkey::VARCHAR AS routine, n AS name FROM part, (VALUES ('widget'), ('blue rod')) t(n) WHERE contains(p_name, n)""")
+def catalog_mentions(c):
+    routines = c.part.select(F.col("p_partkey").cast("string").alias("routine"), F.concat(F.lit("SELECT "), F.upper("p_name")).alias("body"))
+    return ingest.mentions(routines, c.spark.createDataFrame([("widget",), ("rod",), ("blue rod",)], "name string")).select("routine", "name")

@@ -81,6 +81,21 @@ def referenced(base: DataFrame, external: DataFrame, ref: str, key: str, how: st
     return base.join(external, F.col(ref).cast("string") == F.col(key).cast("string"), how)
 
 
+def reference_view(name: str, base: DataFrame, external: DataFrame, ref: str, key: str, how: str = "left") -> DataFrame:
+    """``referenced`` as a view of the session under a name."""
+    joined = referenced(base, external, ref, key, how)
+    joined.createOrReplaceTempView(name)
+    return joined.sparkSession.table(name)
+
+
+def mentions(routines: DataFrame, names: DataFrame, least: int = 6) -> DataFrame:
+    """(routine, name) of routines (routine, body) whose text holds a name of ``least`` letters or more: an inferred link each."""
+    known = names.select("name").where(F.length("name") >= least).distinct()
+    small = known.limit(100_001).count() <= 100_000
+    found = routines.join(F.broadcast(known) if small else known, F.contains(F.lower("body"), F.lower("name")) & (F.lower("routine") != F.lower("name")))
+    return found.select("routine", "name", F.lit("mentions").alias("relation"), F.lit(CONFIDENCE["INFERRED"]).alias("confidence"))
+
+
 def pdf_pages(files: DataFrame) -> DataFrame:
     """(path, page, text) of PDF files (path, content), a file a row, by the pypdf library; an error without it."""
     try:

@@ -391,3 +391,34 @@ def test_transforms(spark):
     assert transforms.sealed(old, spark.createDataFrame([(1, "t"), (2, "v"), (3, "w")], "k int, body string"), "k", ["body"]).count() == 3
     with pytest.raises(Exception, match="sealed row 1"):
         transforms.sealed(old, spark.createDataFrame([(1, "other")], "k int, body string"), "k", ["body"]).collect()
+
+
+def test_states_and_promotions(spark):
+    objects = spark.createDataFrame([(1, "active"), (2, "active")], "object_id long, state string")
+    holds = spark.createDataFrame([(2,)], "object_id long")
+    with pytest.raises(Exception, match="legal hold"):
+        lifecycle.with_states(objects, spark.createDataFrame([(2, "retired")], "object_id long, state string"), holds).collect()
+    with pytest.raises(Exception, match="needs a reason"):
+        lifecycle.pruned(objects, spark.createDataFrame([(1, "")], "object_id long, reason string"), holds).collect()
+    members = spark.createDataFrame([(1, 1, "observation", 5, None), (2, 1, "pending_claim", 6, 9)], "member_id long, pool_id long, kind string, object_id long, promoted_to long")
+    for i in (1, 2):
+        with pytest.raises(Exception, match="no pending claim"):
+            records.promoted_to_facts(members, spark.createDataFrame([(i,)], "member_id long"), 100)[0].collect()
+    models = spark.createDataFrame([("e", "active", 4)], "kind string, state string, space_id long")
+    moves = spark.createDataFrame([(1, 4, 9, "cutover", 0.0, 1)], "migration_id long, source_space long, target_space long, status string, percent double, started_at int")
+    assert [tuple(r) for r in records.routed(models, moves, "e").collect()] == [("target_only", 9, 1.0, "target", 1)]
+    assert records.routed(models, moves.limit(0), "e").first().strategy == "active"
+    with pytest.raises(ValueError):
+        records.routed(models, moves, "other")
+
+
+def test_views_and_envelopes(spark):
+    base = spark.createDataFrame([(1, "a"), (2, None)], "k int, ref string")
+    view = ingest.reference_view("linked_rows", base, spark.createDataFrame([("a", 7)], "key string, v int"), "ref", "key")
+    assert spark.sql("SELECT sum(v) FROM linked_rows").first()[0] == 7 and view.count() == 2
+    import json
+
+    bodies = [json.loads(r.body)["records"] for r in windows.envelopes(spark.range(25).repartition(2), 10).collect()]
+    assert sorted(r["id"] for b in bodies for r in b) == list(range(25)) and max(map(len, bodies)) <= 10
+    typed = spark.createDataFrame([(1, "a", None, "[1,2]", 3.0)], "target_id int, attr_name string, value_timestamp timestamp, value_range string, value_numeric double").withColumn("ref_source", F.lit(None).cast("string"))
+    assert records.typed_attributes(typed).first().value_type == "tstzrange"
