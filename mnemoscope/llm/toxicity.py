@@ -49,6 +49,8 @@ from .textvec import column_pieces, found_words, mix, pieces, range_hashes, shin
 EXAMPLES, NEIGHBOURS, BLOCK = 4096, 15, 64
 #: Labelled rows of each class among which copies are looked for, and the examples are taken.
 SAMPLE = 4 * EXAMPLES
+#: Files of the sample, so that as many tasks can read it.
+PARTS = 32
 #: Least cosine of a neighbour that votes.
 LEAST_COSINE = 0.25
 #: Runs of words of an example that no term marks.
@@ -337,7 +339,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     totals = {r.toxic: r["count"] for r in present.groupBy("toxic").count().collect()}
     picked = [_first(present.where(F.col("toxic") == c), totals.get(c, 0)) for c in (0, 1)]
     # At most 2 * SAMPLE rows of three numbers each.
-    sample = written(source.join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id").dropDuplicates(["doc_id"]), "examples")
+    found = source.join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id").dropDuplicates(["doc_id"])
+    sample = written(found.repartition(PARTS, "doc_id"), "examples")
     rows = [tuple(r) for r in sample.mapInArrow(_marks, "doc_id long, toxic int, turn long, marks array<long>").collect()]
     turns, groups = {r[0]: r[2] for r in rows}, grouped(rows)
     chosen: dict[int, tuple[int, int, int]] = {}
