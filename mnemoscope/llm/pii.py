@@ -7,7 +7,8 @@ as far as the next match of its kind, adjust its score: the kind's own words rai
 it, words of part and serial numbers lower it. The base kinds stay whatever their
 score is; kinds that this module adds must reach LEAST_SCORE, so an account number
 (mod-97 confirms it) goes if it is called a serial number, and a social security
-number (no checksum confirms it) stays only if it is called one.
+number or a run of hexadecimal digits (no checksum confirms it) stays only if it is
+called one, or a token, key or password. Keys of known prefixes stay by their form.
 
 A text is cut by the pattern, so that the lengths of matches and of the gaps
 between them sum to positions in code points. The sums are window sums over the
@@ -72,6 +73,11 @@ def _iban(match: Column) -> Column:
     return F.when(F.length(plain).between(15, 34), mod97(plain)).otherwise(F.lit(False))
 
 
+def _mixed(match: Column) -> Column:
+    """Digits and letters both."""
+    return F.rlike(match, F.lit("[0-9]")) & F.rlike(match, F.lit("[A-Za-z]"))
+
+
 def _ssn(match: Column) -> Column:
     """Area, group and serial of numbers that are given out."""
     return ~F.rlike(match, F.lit("^(?:000|666|9)|-00-|-0000$"))
@@ -94,6 +100,7 @@ class Kind:
 
 
 LOCAL = "[A-Za-z0-9._%+-]"
+SECRETS = r"token|secret|passw(?:or)?d|api[_ -]?key|private key|credential|authorization|bearer"
 KINDS = (
     Kind(
         "email",
@@ -145,6 +152,24 @@ KINDS = (
         0.3,
         base=False,
     ),
+    Kind(
+        "key",
+        r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}+|xox[abprs]-[A-Za-z0-9-]{10,}+|sk_live_[A-Za-z0-9]{16,}+)(?![A-Za-z0-9])",
+        lambda m: F.lit(True),
+        lambda t: F.contains(t, F.lit("AKIA")) | F.rlike(t, F.lit("gh[pousr]_|xox[abprs]-|sk_live_")),
+        SECRETS,
+        0.6,
+        base=False,
+    ),
+    Kind(
+        "secret",
+        r"(?<![0-9A-Za-z])[0-9A-Fa-f]{32,128}+(?![0-9A-Za-z])",
+        _mixed,
+        lambda t: F.rlike(t, F.lit("[0-9A-Fa-f]{32}")),
+        SECRETS,
+        0.3,
+        base=False,
+    ),
 )
 
 

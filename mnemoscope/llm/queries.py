@@ -51,7 +51,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The base spans' counts and digest, all spans, and their scores in the same order."""
+    """The base spans' counts and digest, all spans, their scores in the same order, and their number."""
     found = find_personal_data(table(spark, sf_dir, "documents"))
     names = F.array(*(F.lit(k.name) for k in KINDS))
     base = [i for i, k in enumerate(KINDS) if k.base]
@@ -71,6 +71,7 @@ def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(listed(F.filter("found", lambda s: s["kind"].isin(base))), 256).alias("base_sha256"),
         listed(F.col("found")).alias("spans"),
         F.array_join(F.transform("found", lambda s: F.format_number(s["score"], 2)), ",").alias("scores"),
+        F.size("found").cast("long").alias("n_spans"),
     )
 
 

@@ -244,10 +244,15 @@ def test_pii_context_decides(spark):
         f"code {ssn}": [], f"SSN: {ssn}": ["ssn"], f"{ssn} (social security)": ["ssn"], f"ssn {ssn} of a part": [], "ssn 000-45-6789": [], "ssn 1123-45-6789": [],
         f"ssn {'x' * 60} {ssn}": [], f"version {ip}, a build": ["ip"], f"ssn 123-45-6780 123-45-6781 {ssn}": ["ssn"],
     }
+    digest = "2abc3ff2ca8fb1e4c565a0eb63815530a948bdde"
+    said |= {
+        f'token = "{digest}"': ["secret"], f"{digest} is my password": ["secret"], f"sha {digest}": [], f"checksum {digest} of a token": [], f"token {digest}g": [],
+        f"token {'7' * 40}": [], f"a key AKIA{'A1B2' * 4}!": ["key"], f"ghp_{'aB3' * 12}": ["key"], f"build ghp_{'aB3' * 12}": [], f"token {digest[:31]}": [],
+    }
     names = [k.name for k in pii.KINDS]
     got = {r.doc_id: r.found for r in pii.find_personal_data(docs(spark, list(enumerate(said)))).collect()}
     for i, (text, want) in enumerate(said.items()):
-        assert [names[s.kind] for s in got[i] if names[s.kind] in ("iban", "ssn", "ip")] == want, text
+        assert [names[s.kind] for s in got[i] if names[s.kind] in ("iban", "ssn", "ip", "key", "secret")] == want, text
     assert [s.score for s in got[3]] == [0.6] and [s.score for s in got[5]] == [0.55] and [s.score for s in got[11]] == [0.35]
 
 
@@ -261,6 +266,7 @@ def test_pii_query_on_table(spark, small):
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(w.startswith(k + ":") for w in want) for k in brute.PII]
         assert set(want) <= set(r.spans.split(",")) | {""}
         assert len(r.scores.split(",")) == len(r.spans.split(",")) and bool(r.scores) == bool(r.spans)
+        assert r.n_spans == len([x for x in r.spans.split(",") if x])
 
 
 def test_pii_odd_tables(spark):
