@@ -7,11 +7,14 @@
    blocks of about ``BLOCK`` nodes. Inside a cell (a block, or two) sketches of one
    byte a dart give estimates, and only few pairs leave it: first a spanning forest
    of the best estimates in FIRST bands, and then, in all bands, every pair between
-   nodes that are still in different classes. Pairs inside a class can't change it, so a group of
+   nodes that are still in different classes, once: in the first band whose bucket
+   both share, by the bands' whole keys. Pairs inside a class can't change it, so a group of
    n near copies costs about n checks, not their square. Nodes that a big class may
    hold are not paired with its members: blocks of such nodes meet blocks of the
-   class, texts and all, and only links leave.
-3. Every pair that leaves is checked on the whole sets; pairs whose weighted Jaccard
+   class, texts and all, and only links leave. So do the nodes of a crowded cell, one
+   of more than ``CROWDED`` pairs a node: they leave it as nodes, not as pairs.
+3. Every pair that leaves is checked on the whole sets, in crowded cells every node
+   of one side with every one of the other; pairs whose weighted Jaccard
    similarity (sum of least over sum of largest counts) is at least ``LEAST`` are links,
    and classes are their connected components.
 
@@ -51,7 +54,12 @@ FORESTS = 1
 FIRST = 8
 #: Nodes of a class from which on it is met as a whole, not by pairs.
 BIG = 32
+#: Pairs a node of a cell from which on its nodes leave it instead of its pairs.
+CROWDED = 2
+#: What leaves a cell: pairs (a, b); a node and a big class (a, b); a node (a, with its class) of the crowded cell (b, cell), on a side.
+PAIR, CLASS, CROWD = 0, 1, 2
 
+LEAVES = "a long, b long, kind int, cell long, side int, cls long"
 SKETCH = "id long, print binary, bands array<long>, sketch binary"
 
 #: Weights of shingles from their counts.
@@ -175,56 +183,74 @@ def _whole_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield held
 
 
-def _pairs(least: float, forest: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Pairs of each cell: rows (key, cell, side, rep, cls, big, sketch), sorted by key and cell.
+def _pairs(least: float, crowded: int | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """What leaves each cell (``LEAVES``): rows (key, cell, side, rep, cls, big, sketch), sorted by key and cell.
 
-    side 0 are nodes that meet all of the cell; side 1 are nodes that meet side 0
-    only. A pair is (a, b, false), or (a, class, true) for a node and a big class. It
-    leaves every cell in which its nodes meet.
+    crowded None: nodes of side 0 meet each other, and a forest of their best pairs
+    leaves. Otherwise nodes of side 0 meet those of side 1, and those of side 2, which
+    are on side 0 of some cell too, if they are of larger number; rows have ``bands``, and a
+    pair leaves only the bucket of the first band that both share.
     """
 
-    def cell(side: np.ndarray, rep: np.ndarray, cls: np.ndarray, big: np.ndarray, sketch: np.ndarray) -> list[tuple[int, int, bool]]:
-        order = np.lexsort((rep, side))
-        side, rep, cls, big, sketch = side[order], rep[order], cls[order], big[order], sketch[order]
-        first = np.flatnonzero(side == 0)
+    def forest(rep: np.ndarray, cls: np.ndarray, sketch: np.ndarray) -> list[tuple]:
+        order = np.argsort(rep, kind="stable")
+        rep, cls, sketch = rep[order], cls[order], sketch[order]
         left, right, score = [], [], []
-        for i in first.tolist():
+        for i in range(len(rep)):
             near = (sketch[i + 1 :] == sketch[i]).mean(axis=1)
             good = np.flatnonzero((near >= least) & (cls[i + 1 :] != cls[i]))
             left.append(np.full(len(good), i))
             right.append(good + i + 1)
             score.append(near[good])
+        a, b, s = np.concatenate(left), np.concatenate(right), np.concatenate(score)
+        best = np.lexsort((rep[b], rep[a], -s))
+        a, b = a[best], b[best]
+        taken = _forest(a, b, cls)
+        return [(x, y, PAIR, None, None, None) for x, y in zip(rep[a[taken]].tolist(), rep[b[taken]].tolist(), strict=True) if x != y]
+
+    def meeting(key: int, cell: int, side: np.ndarray, rep: np.ndarray, cls: np.ndarray, big: np.ndarray, sketch: np.ndarray, bands: np.ndarray) -> list[tuple]:
+        others = np.flatnonzero(side != 0)
+        drawn, again = sketch[others], side[others] == 2
+        left, right = [], []
+        for i in np.flatnonzero(side == 0).tolist():
+            near = (drawn == sketch[i]).mean(axis=1)
+            good = others[(near >= least) & (cls[others] != cls[i]) & ~(again & (rep[others] <= rep[i]))]
+            first = (bands[good] == bands[i]).argmax(axis=1)
+            good = good[bands[i][first] == key]
+            left.append(np.full(len(good), i))
+            right.append(good)
         if not left:
             return []
-        a, b, s = np.concatenate(left), np.concatenate(right), np.concatenate(score)
-        if forest:
-            best = np.lexsort((rep[b], rep[a], -s))
-            a, b = a[best], b[best]
-            taken = _forest(a, b, cls)
-            a, b = a[taken], b[taken]
-            whole = np.zeros(len(a), bool)
-        else:
-            whole = big[a] | big[b]
+        a, b = np.concatenate(left), np.concatenate(right)
+        whole = big[a] | big[b]
         # Of two big classes the one of the lesser number is met as a whole.
         turn = big[a] & (~big[b] | (cls[a] < cls[b]))
-        one, other = np.where(turn, b, a), np.where(turn, a, b)
-        met = {(x, y, True) for x, y in zip(rep[one[whole]].tolist(), cls[other[whole]].tolist(), strict=True)}
-        low, high = np.minimum(rep[a], rep[b])[~whole], np.maximum(rep[a], rep[b])[~whole]
-        return [*met, *((x, y, False) for x, y in zip(low.tolist(), high.tolist(), strict=True) if x != y)]
+        one, other = np.where(turn, b, a)[whole], np.where(turn, a, b)[whole]
+        out = [(x, y, CLASS, None, None, None) for x, y in {*zip(rep[one].tolist(), cls[other].tolist(), strict=True)}]
+        a, b = a[~whole], b[~whole]
+        sides = np.unique(a), np.unique(b)
+        if len(a) > crowded * sum(map(len, sides)):
+            return out + [(x, key, CROWD, cell, n, y) for n, nodes in enumerate(sides) for x, y in zip(rep[nodes].tolist(), cls[nodes].tolist(), strict=True)]
+        low, high = np.minimum(rep[a], rep[b]), np.maximum(rep[a], rep[b])
+        return out + [(x, y, PAIR, None, None, None) for x, y in zip(low.tolist(), high.tolist(), strict=True)]
 
     def results(batch: pa.RecordBatch) -> pa.RecordBatch:
         key, at = batch.column("key").to_numpy(), batch.column("cell").to_numpy()
         side, rep, cls, big = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("side", "rep", "cls", "big"))
         sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(len(rep), -1)
+        bands = None if crowded is None else batch.column("bands").flatten().to_numpy().reshape(len(rep), -1)
         edges = np.flatnonzero((key[1:] != key[:-1]) | (at[1:] != at[:-1])) + 1
         bounds = [0, *edges.tolist(), len(rep)]
-        out: set[tuple[int, int, bool]] = set()
+        out: set[tuple] = set()
         for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-            if b - a > 1:
-                out.update(cell(side[a:b], rep[a:b], cls[a:b], big[a:b], sketch[a:b]))
-        listed = sorted(out)
-        types = (pa.int64(), pa.int64(), pa.bool_())
-        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in listed], t) for i, t in enumerate(types)], names=["a", "b", "whole"])
+            if b - a < 2:
+                continue
+            if bands is None:
+                out.update(forest(rep[a:b], cls[a:b], sketch[a:b]))
+            else:
+                out.update(meeting(int(key[a]), int(at[a]), side[a:b], rep[a:b], cls[a:b], big[a:b], sketch[a:b], bands[a:b]))
+        types = dict(a=pa.int64(), b=pa.int64(), kind=pa.int32(), cell=pa.int64(), side=pa.int32(), cls=pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(types.values())], names=list(types))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _whole_cells(batches):
@@ -274,10 +300,10 @@ def _checked(pairs: DataFrame, texts: DataFrame, weigh: Weigh) -> DataFrame:
 
 
 def _met(weigh: Weigh) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Links between the sides of each cell: rows (key, cell, side, id, text), sorted by key and cell."""
+    """Links between the sides of each cell that join classes: rows (key, cell, side, id, cls, text), sorted by key and cell."""
 
     def links(part: pa.RecordBatch) -> Iterator[tuple[int, int, float]]:
-        side, ids = part.column("side").to_numpy(), part.column("id").to_numpy()
+        side, ids, cls = (part.column(c).to_numpy() for c in ("side", "id", "cls"))
         texts = part.column("text").to_pylist()
         members = np.flatnonzero(side == 1)
         sets, weights = [], []
@@ -291,6 +317,7 @@ def _met(weigh: Weigh) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
             return
         every, many = np.concatenate([sets[i] for i in members]), np.concatenate([weights[i] for i in members])
         owner = np.repeat(np.arange(len(members)), [len(sets[i]) for i in members])
+        left, right, score = [], [], []
         for i in np.flatnonzero(side == 0).tolist():
             if not len(sets[i]):
                 continue
@@ -298,9 +325,16 @@ def _met(weigh: Weigh) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
             same = sets[i][spot] == every
             both = np.bincount(owner[same], np.minimum(weights[i][spot[same]], many[same]), minlength=len(members))
             share = both / (total[i] + total[members] - both)
-            for m in np.flatnonzero(share >= LEAST).tolist()[:1]:
-                # One link joins the classes; more would say nothing new.
-                yield int(ids[i]), int(ids[members[m]]), float(share[m])
+            good = np.flatnonzero((share >= LEAST) & (cls[members] != cls[i]))
+            # One link joins two classes; more would say nothing new.
+            good = good[np.unique(cls[members[good]], return_index=True)[1]]
+            left.append(np.full(len(good), i))
+            right.append(members[good])
+            score.append(share[good])
+        if left:
+            a, b, s = np.concatenate(left), np.concatenate(right), np.concatenate(score)
+            for n in _forest(a, b, cls):
+                yield int(ids[a[n]]), int(ids[b[n]]), float(s[n])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _whole_cells(batches):
@@ -326,13 +360,24 @@ def _met_classes(pairs: DataFrame, classes: DataFrame, texts: DataFrame, weigh:
         found = found.select(F.col("cls").alias("key"), F.col(node).alias("id"), "_entry._groups", "_entry._blocks")
         return found.join(texts, "id")
 
+    # Each of these nodes counts as a class of its own here; it is in none of the classes that it meets.
     own = placed(pairs, "_rows", "a").select(
-        "key", F.pmod(F.xxhash64("id"), F.col("_groups")).alias("_g"), F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_b"), "_blocks", F.lit(0).alias("side"), "id", "text"
+        "key", F.pmod(F.xxhash64("id"), F.col("_groups")).alias("_g"), F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_b"), "_blocks", F.lit(0).alias("side"), "id", F.col("id").alias("cls"), "text"
     )
     members = placed(classes, "_n", "node").select(
-        "key", F.explode(F.sequence(F.lit(0), F.col("_groups") - 1)).alias("_g"), F.pmod(F.xxhash64("id"), F.col("_blocks")).alias("_b"), "_blocks", F.lit(1).alias("side"), "id", "text"
+        "key", F.explode(F.sequence(F.lit(0), F.col("_groups") - 1)).alias("_g"), F.pmod(F.xxhash64("id"), F.col("_blocks")).alias("_b"), "_blocks", F.lit(1).alias("side"), "id", F.col("key").alias("cls"), "text"
     )
-    cells = own.unionByName(members).select("key", (F.col("_g") * F.col("_blocks") + F.col("_b")).cast("long").alias("cell"), "side", "id", "text")
+    cells = own.unionByName(members).select("key", (F.col("_g") * F.col("_blocks") + F.col("_b")).cast("long").alias("cell"), "side", "id", "cls", "text")
+    return _met_cells(cells, weigh)
+
+
+def _met_crowds(rows: DataFrame, texts: DataFrame, weigh: Weigh) -> DataFrame:
+    """Links between the nodes of crowded cells, rows (a, b, cell, side, cls)."""
+    cells = rows.select(F.col("b").alias("key"), "cell", "side", F.col("a").alias("id"), "cls").join(texts.hint("merge"), "id")
+    return _met_cells(cells.select("key", "cell", "side", "id", "cls", "text"), weigh)
+
+
+def _met_cells(cells: DataFrame, weigh: Weigh) -> DataFrame:
     dealt = cells.repartition("key", "cell").sortWithinPartitions("key", "cell")
     return written(dealt.mapInArrow(_met(weigh), "a long, b long, similarity double"), "met")
 
@@ -366,8 +411,8 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _cells(banded: DataFrame, last: bool) -> DataFrame:
-    """Rows of cells (key, cell, side, rep, cls, big, sketch) of buckets that hold several classes."""
-    node = ["rep", "cls", "big", "sketch"]
+    """Rows of cells (key, cell, side, rep, cls, big, sketch, in the last round bands) of buckets that hold several classes."""
+    node = ["rep", "cls", "big", "sketch", *(["bands"] if last else [])]
     sizes = banded.groupBy("key").agg(F.min("cls").alias("_low"), F.max("cls").alias("_high"), F.count(F.lit(1)).alias("_n"))
     mixed = sizes.where(F.col("_low") != F.col("_high")).select("key", "_n")
     if not last:
@@ -386,7 +431,12 @@ def _cells(banded: DataFrame, last: bool) -> DataFrame:
         "key", F.explode(F.sequence(F.lit(0), F.col("_w") - 1)).alias("_c"), F.pmod(hashed, F.col("_rows")).cast("int").alias("_r"), "_w", F.lit(0).alias("side"), *node
     )
     all_ = dealt.select(
-        "key", F.explode(F.sequence(F.lit(0), F.col("_rows") - 1)).alias("_r"), F.pmod(hashed, F.col("_w")).cast("int").alias("_c"), "_w", F.lit(1).alias("side"), *node
+        "key",
+        F.explode(F.sequence(F.lit(0), F.col("_rows") - 1)).alias("_r"),
+        F.pmod(hashed, F.col("_w")).cast("int").alias("_c"),
+        "_w",
+        F.when(F.col("cls") == F.col("_main"), 1).otherwise(2).alias("side"),
+        *node,
     )
     return few.unionByName(all_).select("key", (F.col("_r") * F.col("_w") + F.col("_c")).cast("int").alias("cell"), "side", *node)
 
@@ -407,7 +457,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = with_entries(spread, written(full, "full"), ["key"], "_n", ["rep"]).where(F.col("_entry").isNotNull())
     shared = written(shared.select("rep", "node", "band", "key"), "shared")
     # Sketches go only to nodes that share a bucket.
-    drawn = sketched.select(F.col("id").alias("rep"), node, "sketch").join(shared.select("rep", "node").distinct().hint("merge"), ["rep", "node"], "left_semi")
+    drawn = sketched.select(F.col("id").alias("rep"), node, "sketch", "bands").join(shared.select("rep", "node").distinct().hint("merge"), ["rep", "node"], "left_semi")
     banded = written(shared.join(drawn.dropDuplicates(["rep", "node"]), ["rep", "node"]).drop("node"), "banded")
     near = shared.select(F.col("rep").alias("id")).distinct()
     # Joins that move texts are the same at every size, so their cost grows with the input.
@@ -424,14 +474,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if turn == 0:
             current = current.where(F.col("band") < FIRST)
         cells = _cells(current, last).repartition("key", "cell").sortWithinPartitions("key", "cell")
-        pairs = cells.mapInArrow(_pairs(CHECKED if last else JOINED, not last), "a long, b long, whole boolean").distinct()
+        pairs = cells.mapInArrow(_pairs(CHECKED, CROWDED) if last else _pairs(JOINED, None), LEAVES).distinct()
         if tested is not None:
-            pairs = pairs.join(tested, ["a", "b", "whole"], "left_anti")
+            pairs = pairs.join(tested, ["a", "b", "kind"], "left_anti")
         pairs = written(pairs, "pairs")
         tested = pairs if tested is None else tested.unionByName(pairs)
-        found = _checked(pairs.where(~F.col("whole")), texts, weigh)
+        found = _checked(pairs.where(F.col("kind") == PAIR), texts, weigh)
         if last:
-            found = found.unionByName(_met_classes(pairs.where("whole").select("a", F.col("b").alias("cls")), classes, texts, weigh))
+            found = found.unionByName(_met_classes(pairs.where(F.col("kind") == CLASS).select("a", F.col("b").alias("cls")), classes, texts, weigh))
+            found = found.unionByName(_met_crowds(pairs.where(F.col("kind") == CROWD), texts, weigh))
         # Classes stand for the links that made them.
         links = found if classes is None else found.select("a", "b").unionByName(classes.toDF("a", "b"))
         classes = written(components(links), "classes")

@@ -2,6 +2,8 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import pytest
 
 from mnemoscope.llm import near_dedup as nd
@@ -109,6 +111,65 @@ def test_chain_of_near_copies(spark, monkeypatch):
     assert got[1000] == 1000 and {v for k, v in got.items() if k != 1000} == {0}
 
 
+def test_many_texts_alike_without_links(spark, monkeypatch):
+    """Texts all about 0.7 alike, with few links among them: what leaves the cells is far less than the square of
+    their number, and no link is lost."""
+    rng = random.Random(3)
+    base = rng.choices(["w%d" % i for i in range(5000)], k=400)
+    rows = []
+    for i in range(300):
+        changed = list(base)
+        for at in rng.sample(range(400), 7):
+            changed[at] = f"x{i}y{at}"
+        if i % 20 == 19:
+            changed = rows[rng.randrange(i)][1].split()
+            changed[rng.randrange(400)] = f"z{i}"
+        rows.append((i, " ".join(changed)))
+    made, written = [], nd.written
+
+    def counting(df, label, *args):
+        out = written(df, label, *args)
+        if label == "pairs":
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(nd, "written", counting)
+    want = plain_classes(rows)
+    assert 15 <= len(rows) - len(set(want.values())) < 100
+    for crowded in (nd.CROWDED, 0):
+        monkeypatch.setattr(nd, "CROWDED", crowded)
+        assert classes(spark, rows) == want
+    assert max(made) < 30 * len(rows)
+
+
+def test_a_pair_leaves_one_cell_only():
+    """Nodes that share several bands, on both sides of their cells: of all rows that leave them none is a repetition."""
+    rng = np.random.default_rng(2)
+    n = 40
+    bands = rng.integers(0, 1 << 62, (n, nd.BANDS))
+    bands[:, 3:9] = np.arange(6) + 100
+    sketch = [np.zeros(nd.BANDS * nd.ROWS, np.uint8).tobytes()] * n
+    rows = [(key, side, i) for key in range(100, 106) for i in range(n) for side in ((0, 2) if i < 10 else (1,))]
+    column = lambda values, kind: pa.array(values, kind)
+    batch = pa.RecordBatch.from_arrays(
+        [
+            column([k for k, _, _ in rows], pa.int64()),
+            column([0] * len(rows), pa.int32()),
+            column([s for _, s, _ in rows], pa.int32()),
+            column([i for _, _, i in rows], pa.int64()),
+            column([i if i < 10 else 10 for _, _, i in rows], pa.int64()),
+            column([False] * len(rows), pa.bool_()),
+            column([sketch[i] for _, _, i in rows], pa.binary()),
+            column([bands[i].tolist() for _, _, i in rows], pa.list_(pa.int64())),
+        ],
+        names=["key", "cell", "side", "rep", "cls", "big", "sketch", "bands"],
+    )
+    # One row a cell is a batch of its own, as in tasks of a large table.
+    cells = [batch.filter(pa.compute.equal(batch.column("key"), k)) for k in range(100, 106)]
+    left = [(a, b) for cell in cells for out in nd._pairs(0.66, 10**9)(iter([cell])) for a, b in zip(out.column("a").to_pylist(), out.column("b").to_pylist(), strict=True)]
+    assert sorted(left) == [(a, b) for a in range(10) for b in range(a + 1, n)]
+
+
 def thue_morse(n):
     word = "a"
     while len(word) < n:
