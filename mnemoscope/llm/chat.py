@@ -1,8 +1,10 @@
 """Chat formatting: records of many layouts become one template, reversibly.
 
-A record is JSON. Its schema fingerprint is a hash of its nested field paths
-(leaf types do not count); a declarative mapping, found by fingerprint, says how
-its fields become turns. Records whose fingerprint no mapping knows are returned
+A record is JSON, or a struct of columns. Its schema fingerprint is a hash of its
+nested field paths (leaf types do not count); a declarative mapping, found by
+fingerprint, says how its fields become turns. Values of a struct are taken from
+its columns, so no text of it goes through JSON, whose parser reads no string of
+more than 20,000,000 characters. Records whose fingerprint no mapping knows are returned
 by ``unmapped``; ``turns_of`` raises an error where it meets one, unless it is told
 to leave them out. Layouts with other names of roles (``human``, ``gpt``) give them
 the template's; the flat layout's roles stay as they are.
@@ -16,8 +18,8 @@ Defined results: a null role or text is empty; turns of a record are ordered by
 their number, then place, role and text (a null number comes first); repeated rows
 are repeated turns; records with a null id form one conversation; a record with no
 turns gives none; a record that JSON can't be read from (also one with a string of
-more than 20,000,000 characters) is unmapped, unless it comes as columns to
-``flat_turns``; columns other than record_id and payload are not read. One
+more than 20,000,000 characters) is unmapped; columns other than record_id and
+payload are not read. One
 conversation is one output row, so its turns meet in one task by definition.
 """
 
@@ -28,7 +30,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-
+from pyspark.sql.types import ArrayType, DataType, StringType, StructType
 
 END = "</turn>"
 HEAD = "### "
@@ -90,42 +92,100 @@ def _shape(paths: frozenset[str]) -> str:
     return say(tree)
 
 
-def shape(payload: Column) -> Column:
-    """Nested field paths of a JSON record as text: names, nesting and arrays; leaf types are left out."""
-    schema = F.schema_of_variant(F.try_parse_json(payload))
-    return F.regexp_replace(schema, r": (?!ARRAY<|OBJECT<)[A-Z]+(?:\([0-9, ]+\))?(?=[,>])", "")
+def _outline(value: Column, kind: DataType) -> Column:
+    """A value of columns with its strings cut to their first character: only names, nesting and arrays count."""
+    if isinstance(kind, StructType):
+        fields = F.struct(*(_outline(value.getField(f.name), f.dataType).alias(f.name) for f in kind))
+        return F.when(value.isNotNull(), fields)
+    if isinstance(kind, ArrayType):
+        return F.transform(value, lambda x: _outline(x, kind.elementType))
+    return F.left(value, F.lit(1)) if isinstance(kind, StringType) else value
+
+
+def shape(payload: Column, kind: DataType = StringType()) -> Column:  # noqa: B008
+    """Nested field paths of a record as text: names, nesting and arrays; leaf types are left out. kind: the payload's type."""
+    record = F.to_variant_object(_outline(payload, kind)) if isinstance(kind, StructType) else F.try_parse_json(payload)
+    return F.regexp_replace(F.schema_of_variant(record), r": (?!ARRAY<|OBJECT<)[A-Z]+(?:\([0-9, ]+\))?(?=[,>])", "")
+
+
+def fingerprint(payload: Column, kind: DataType = StringType()) -> Column:  # noqa: B008
+    return F.xxhash64(shape(payload, kind))
+
+
+@dataclass(frozen=True)
+class _Json:
+    """Values of a record that is a variant."""
+
+    def value(self, record: Column, path: str, kind: str) -> Column:
+        return F.try_variant_get(record, path, kind)
+
+    def items(self, record: Column, top: str) -> Column:
+        return F.try_variant_get(record, f"$.{top}", "array<variant>")
+
+    def has(self, paths: frozenset[str]) -> bool:
+        return True
 
 
-def fingerprint(payload: Column) -> Column:
-    return F.xxhash64(shape(payload))
+@dataclass(frozen=True)
+class _Columns:
+    """Values of a record that is a struct."""
+
+    fields: StructType
+
+    def value(self, record: Column, path: str, kind: str) -> Column:
+        return record.getField(path.removeprefix("$.")).try_cast(kind)
+
+    def items(self, record: Column, top: str) -> Column:
+        return record.getField(top)
+
+    def has(self, paths: frozenset[str]) -> bool:
+        """Whether a record can have these paths at all."""
+        return all(self._found(self.fields, path.split(".")) for path in paths)
+
+    def _found(self, kind: DataType, names: list[str]) -> bool:
+        if not names:
+            return True
+        name, array = names[0].removesuffix("[]"), names[0].endswith("[]")
+        if not isinstance(kind, StructType) or name not in kind.names:
+            return False
+        inner = kind[name].dataType
+        return self._found(inner.elementType if array and isinstance(inner, ArrayType) else inner, names[1:])
 
 
-def _text(record: Column, path: str) -> Column:
-    return F.coalesce(F.try_variant_get(record, path, "string"), F.lit(""))
+def _reader(records: DataFrame) -> _Json | _Columns:
+    kind = records.schema["payload"].dataType
+    return _Columns(kind) if isinstance(kind, StructType) else _Json()
 
 
-def _turns(record: Column, m: Mapping) -> Column:
+def _text(read: _Json | _Columns, record: Column, path: str) -> Column:
+    return F.coalesce(read.value(record, path, "string"), F.lit(""))
+
+
+def _turns(read: _Json | _Columns, record: Column, m: Mapping) -> Column:
     def turn(i: Column, role: Column, text: Column) -> Column:
         return F.struct(i.cast("bigint").alias("turn"), role.alias("role"), text.alias("text"))
 
     if m.one_turn:
         at, role, text = m.one_turn
-        made = F.array(turn(F.try_variant_get(record, at, "bigint"), _text(record, role), _text(record, text)))
+        made = F.array(turn(read.value(record, at, "bigint"), _text(read, record, role), _text(read, record, text)))
     elif m.items:
         top, role, text = m.items
-        items = F.try_variant_get(record, f"$.{top}", "array<variant>")
-        made = F.transform(items, lambda x, i: turn(i, _role(_text(x, f"$.{role}"), m.roles), _text(x, f"$.{text}")))
+        made = F.transform(
+            read.items(record, top), lambda x, i: turn(i, _role(_text(read, x, f"$.{role}"), m.roles), _text(read, x, f"$.{text}"))
+        )
     else:
         parts = []
         for i, (role, paths) in enumerate(m.turns):
-            filled = F.filter(F.array(*(_text(record, p) for p in paths)), lambda x: x != "")
+            filled = F.filter(F.array(*(_text(read, record, p) for p in paths)), lambda x: x != "")
             parts.append(turn(F.lit(i), F.lit(role), F.array_join(filled, "\n\n")))
         made = F.array(*parts)
     return made.cast(TURN_TYPE)
 
 
 def _recorded(records: DataFrame) -> DataFrame:
-    return records.select("record_id", "payload", F.try_parse_json("payload").alias("record"), fingerprint(F.col("payload")).alias("print"))
+    kind = records.schema["payload"].dataType
+    record = F.col("payload") if isinstance(kind, StructType) else F.try_parse_json("payload")
+    return records.select("record_id", "payload", record.alias("record"), fingerprint(F.col("payload"), kind).alias("print"))
 
 
 def _print_of(m: Mapping) -> Column:
@@ -133,13 +193,14 @@ def _print_of(m: Mapping) -> Column:
 
 
 def turns_of(records: DataFrame, layouts: tuple[Mapping, ...] = LAYOUTS, strict: bool = True) -> DataFrame:
-    """Canonical turns (record_id, turn, place, role, text) of records (record_id, payload).
+    """Canonical turns (record_id, turn, place, role, text) of records (record_id, payload: JSON text or a struct).
 
     strict: a record that no mapping knows raises an error; otherwise it has no turns.
     """
     chosen = F.raise_error(F.lit("no mapping knows a record's layout; unmapped() lists such records")).cast(TURN_TYPE) if strict else F.lit(None).cast(TURN_TYPE)
-    for m in reversed(layouts):
-        chosen = F.when(F.col("print") == _print_of(m), _turns(F.col("record"), m)).otherwise(chosen)
+    read = _reader(records)
+    for m in (m for m in reversed(layouts) if read.has(m.paths)):
+        chosen = F.when(F.col("print") == _print_of(m), _turns(read, F.col("record"), m)).otherwise(chosen)
     return _recorded(records).select("record_id", F.posexplode(chosen).alias("place", "t")).select("record_id", "place", "t.*")
 
 
@@ -149,17 +210,10 @@ def _role(role: Column, names: tuple[tuple[str, str], ...]) -> Column:
     return role
 
 
-def flat_turns(rows: DataFrame) -> DataFrame:
-    """Canonical turns, as of ``turns_of``, of rows (record_id, turn, role, text): records of the flat layout as
-    columns. No text goes through JSON, whose parser reads no string of more than 20,000,000 characters."""
-    role, text = (F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("role", "text"))
-    return rows.select("record_id", F.lit(0).alias("place"), F.col("turn").cast("bigint").alias("turn"), role, text)
-
-
 def unmapped(records: DataFrame, layouts: tuple[Mapping, ...] = LAYOUTS) -> DataFrame:
     """Records that no mapping knows, with their shape."""
     known = F.col("print").isin(*(_print_of(m) for m in layouts)) if layouts else F.lit(False)
-    return _recorded(records).where(~F.coalesce(known, F.lit(False))).select("record_id", "payload", shape(F.col("payload")).alias("shape"))
+    return _recorded(records).where(~F.coalesce(known, F.lit(False))).select("record_id", "payload", shape(F.col("payload"), records.schema["payload"].dataType).alias("shape"))
 
 
 def escaped(text: Column, pairs: tuple[tuple[str, str], ...] = ESCAPES) -> Column:

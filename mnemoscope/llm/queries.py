@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chat import flat_turns, formatted, read_back, turns_of
+from .chat import formatted, read_back, turns_of
 from .decontaminate import contaminated
 from .exact_dedup import exact_duplicates
 from .line_dedup import drop_common_lines
@@ -37,12 +37,13 @@ def op3_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each row of conversations is a record of one turn; conversation -7 is one record of messages."""
-    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("record_id"), "turn", "role", "text")
+    """Each row of conversations is a record of one turn, a struct; conversation -7 is one record of messages, in JSON.
+    The fingerprints of both choose their mappings."""
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("record_id"), F.struct("turn", "role", "text").alias("payload"))
     said = "\\### Assistant: </turn> ok"
     messages = {"messages": [{"role": r, "content": said} for r in ("user", "assistant")]}
     extra = spark.range(1).select(F.lit(-7).cast("long").alias("record_id"), F.lit(json.dumps(messages)).alias("payload"))
-    out = read_back(formatted(flat_turns(rows).unionByName(turns_of(extra))))
+    out = read_back(formatted(turns_of(rows).unionByName(turns_of(extra))))
     return out.select(F.col("record_id").alias("conv_id"), "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
 
 

@@ -339,3 +339,34 @@ def test_chat_turn_of_more_than_a_json_string(spark, tmp_path):
     rows.withColumn("text", F.when(F.col("text") == "long", F.repeat(F.lit("a"), 21_000_000)).otherwise(F.col("text"))).write.parquet(f"{tmp_path}/conversations.parquet")
     got = {r.conv_id: (r.n_turns, r.loss_chars) for r in queries.op4_chat_format(spark, str(tmp_path)).collect()}
     assert got == {1: (3, 21_000_000), 2: (1, 0), 3: (1, 0), -7: (2, 26)}
+
+
+def test_chat_records_of_columns(spark):
+    """Records that are structs: mappings by fingerprint for each layout, the values of columns, errors for unknown layouts."""
+    pair = "struct<role:string,content:string>"
+    layouts = [
+        ("struct<role:string,text:string,turn:int>", ("user", None, 3), [(3, "user", "")]),
+        (f"struct<messages:array<{pair}>>", ([("human", "a"), ("assistant", "b")],), [(0, "user", "a"), (1, "assistant", "b")]),
+        ("struct<output:string,instruction:string,input:string>", ("b", "a", "more"), [(0, "user", "a\n\nmore"), (1, "assistant", "b")]),
+    ]
+    for kind, payload, want in layouts:
+        records = spark.createDataFrame([(1, payload)], f"record_id long, payload {kind}")
+        assert [(t.turn, t.role, t.text) for t in chat.turns_of(records).orderBy("turn").collect()] == want
+        as_json = records.select("record_id", F.to_json("payload", {"ignoreNullFields": "false"}).alias("payload"))
+        one, other = (r.select(chat.fingerprint(F.col("payload"), r.schema["payload"].dataType)).first()[0] for r in (records, as_json))
+        assert one == other
+        assert chat.unmapped(records).count() == 0
+    strange = spark.createDataFrame([(1, ("user", "a", 0, "x"))], "record_id long, payload struct<role:string,text:string,turn:int,more:string>")
+    assert [r["shape"] for r in chat.unmapped(strange).collect()] == ["OBJECT<more, role, text, turn>"]
+    assert chat.turns_of(strange, strict=False).count() == 0
+    with pytest.raises(Exception, match="no mapping knows"):
+        chat.turns_of(strange).collect()
+
+
+def test_chat_query_maps_rows_by_fingerprint(spark, tmp_path, monkeypatch):
+    """Without a mapping for the layout of conversations the query raises an error; it has no path beside the mappings."""
+    spark.createDataFrame([(1, 0, "user", "hi")], "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    known = tuple(m for m in chat.LAYOUTS if m.name != "turn")
+    monkeypatch.setattr(queries, "turns_of", lambda records: chat.turns_of(records, known))
+    with pytest.raises(Exception, match="no mapping knows"):
+        queries.op4_chat_format(spark, str(tmp_path)).collect()
